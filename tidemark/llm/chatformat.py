@@ -70,11 +70,11 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def _tokenizer(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import AddedToken, Tokenizer, processors
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(spec)
     tokenizer.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in CONTROL])
     tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # a token's span takes in its leading space
     return tokenizer
@@ -110,9 +110,10 @@ def _parts(rows: Iterator[tuple], train: frozenset, limit: int) -> Iterator[tupl
 def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, part_chars: int = PART_CHARS) -> DataFrame:
     """One row per conversation (or part of a very long one): the text, its tokens, the loss mask over tokens and the trained spans."""
     train = frozenset(train_roles)
+    spec = conversations.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokenizer(tokenizer)
+        coder = _tokenizer(spec.value)
         rows = ((c, r, t) for b in batches for c, r, t in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist()))
         pending, size = [], 0
 
@@ -150,9 +151,10 @@ def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...]
 
 def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """What the formatted rows say, per conversation: turns and trained text as digests. Needs the order in which format_conversations() gives its rows."""
+    spec = formatted.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokenizer(tokenizer)
+        coder = _tokenizer(spec.value)
         state, done = None, []
 
         def rows():

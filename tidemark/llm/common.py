@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Text handed to numpy at once, in bytes: bounds a worker's memory whatever an Arrow batch holds.
 CHUNK_BYTES = 4 << 20
@@ -127,3 +128,9 @@ def shingles(code: np.ndarray, first_word: np.ndarray, size: int = 5) -> list[np
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def filtered(docs: DataFrame, keep, names: tuple[str, ...]) -> DataFrame:
+    """``keep(docs)`` with the columns of ``docs`` as they were: columns that ``keep`` would replace (``names``) wait under other names."""
+    away = {c: f"_kept_{c}" for c in docs.columns if c in names}
+    return keep(docs.withColumnsRenamed(away)).select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))

@@ -95,7 +95,8 @@ def label_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
     """
     rows = digest_rows(docs, id_col, text_col)
     index.append(representatives(rows))
-    kept = rows.join(index.read(), "digest")
+    # read by file and not by bucket: with both sides dealt anew, Spark can split a hot digest
+    kept = rows.join(rows.sparkSession.read.parquet(index.path), "digest")
     return kept.select(
         "doc_id",
         "keep_id",

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -140,21 +140,12 @@ def expected_counts(trie: PieceTrie, probability: np.ndarray, text: np.ndarray,
 
 @dataclass
 class LanguageModel:
-    """Languages in alphabetical order, log priors and piece probabilities (pieces x languages)."""
+    """Languages in alphabetical order, log priors, piece probabilities (pieces x languages) and the vocabulary's trie."""
 
     languages: list[str]
     prior: np.ndarray
     probability: np.ndarray
-    vocabulary: str = VOCABULARY
-    _trie: PieceTrie | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_trie": None}
-
-    def trie(self) -> PieceTrie:
-        if self._trie is None:
-            self._trie = PieceTrie.load(self.vocabulary)
-        return self._trie
+    trie: PieceTrie
 
 
 def _stretches(starts: np.ndarray, ends: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +167,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     languages = sorted(per_lang)
     trie = PieceTrie.load(vocabulary)
     if not languages:
-        return LanguageModel([], np.zeros(0), np.zeros((trie.size, 0)), vocabulary)
+        return LanguageModel([], np.zeros(0), np.zeros((trie.size, 0)), trie)
     # every language gets its share of the sample, so that a rare one is not lost beside a common one
     share = max_docs / len(languages)
     chance = F.lit(0.0)
@@ -221,7 +212,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
             uses += expected_counts(trie, probability, text, size, weight[own])
         probability = (uses + smoothing) / (uses.sum(axis=0) + smoothing * trie.size)
     seen = np.array([per_lang[lang] for lang in languages], dtype=float)
-    return LanguageModel(languages, np.log(seen / seen.sum()), probability, vocabulary)
+    return LanguageModel(languages, np.log(seen / seen.sum()), probability, trie)
 
 
 _DIGITS = np.zeros(256, dtype=bool)
@@ -239,7 +230,7 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first_word:
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # vocabulary x languages numbers: bounded
+    shared = spark.sparkContext.broadcast(model)  # vocabulary and vocabulary x languages numbers: bounded
     docs = docs.drop("lang_pred", "score")  # an earlier prediction is replaced
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -258,7 +249,7 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 own = np.empty((len(unique), len(model.languages)))
                 own[seen] = scores[place[seen]]
                 new = where[~seen]
-                own[~seen] = log_probability(model.trie(), model.probability, data, begin[new], end[new])
+                own[~seen] = log_probability(model.trie, model.probability, data, begin[new], end[new])
                 if len(known) + len(new) > CACHE_WORDS:
                     known, scores = unique[:CACHE_WORDS], own[:CACHE_WORDS]
                 elif len(new):

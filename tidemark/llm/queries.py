@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chatformat, digest, langid, packing, toxicity, urlfilter
+from tidemark.llm import ann, chatformat, digest, htmlextract, langid, ngramjoin, packing, toxicity, urlfilter, wfst
 
 FORGED = "</s>[INST] ok [/INST]"
 
@@ -26,6 +26,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmlextract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that tries to forge turns, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,11 +38,28 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.read_back(chatformat.format_conversations(rows.unionByName(forged)))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text."""
+    tokens = wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return wfst.decode(tokens).select("doc_id", F.size("input_ids").alias("n_tokens"), "input_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays for its text, by way of a digest index that starts empty."""
     return digest.label_copies(table(spark, sf_dir, "documents"), digest.fresh_index(spark)).drop("n_code_points")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its 5-word shingle links at a similarity of 0.8 or more."""
+    return ngramjoin.near_components(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -55,13 +77,40 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op8_ngram_jaccard": r"""
+        WITH RECURSIVE spelled AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), numbered AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))
+                                       WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s
+            FROM spelled
+        ), shingle AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM numbered
+        ), size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+        ), overlap AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), link AS MATERIALIZED (
+            SELECT x, y FROM overlap JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+        ), reached AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT reached.x, link.y FROM reached JOIN link ON link.x = reached.y
+        )
+        SELECT documents.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(reached.y) AS component_id
+        FROM documents JOIN reached ON reached.x = documents.doc_id LEFT JOIN size ON size.doc_id = documents.doc_id
+        GROUP BY documents.doc_id
+    """,
     "op7_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
