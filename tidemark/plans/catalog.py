@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import clicks, ingest, quality, stats, text
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (stats, clicks, quality, ingest, text):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
