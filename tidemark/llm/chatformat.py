@@ -1,8 +1,9 @@
 """Chat formatting with a loss mask aligned to token offsets.
 
-A conversation is rendered whole, encoded once with character offsets, and the sorted spans of the
-trained turns are intersected with the token spans by binary search. Texts cannot forge a turn:
-control strings inside them get a backslash, which unescape() takes out again.
+A conversation is rendered whole and encoded once with offsets (a token's length in bytes is known, so
+offsets are running sums), and the sorted spans of the trained turns are intersected with the token
+spans by binary search. Texts cannot forge a turn: control strings inside them get a backslash, which
+unescape() takes out again.
 
 Rows are dealt by conversation and streamed in turn order, so that a task holds one part at a time.
 A conversation of more than ``part_chars`` rendered characters is given out in parts cut between
@@ -15,8 +16,8 @@ null conv_id is one conversation; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,9 @@ CLOSE = {"user": " [/INST]", "assistant": "</s>", "system": "\n<</SYS>>"}
 OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE = "<<TURN>>", "<</ROLE>>", "<</TURN>>"
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE]
 _ESCAPE = re.compile("([<\\[])(\\\\*)(" + "|".join(sorted((re.escape(c[1:]) for c in CONTROL), key=len, reverse=True)) + ")")
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# The public pre-tokenisation pattern that belongs to this vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PART_CHARS = 1 << 20
 
 SCHEMA = "conv_id long, part int, text string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
@@ -69,15 +72,43 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(mark)
 
 
+class Tokenizer:
+    """Byte-level pairs with the control strings as tokens of their own, after the vocabulary's."""
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        pairs = [line.split() for line in ranks.splitlines() if line.strip()]
+        known = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        first = max(known.values()) + 1
+        control = {c: first + k for k, c in enumerate(CONTROL)}
+        self.coder = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=known, special_tokens=control)
+        self.bytes = [b""] * (first + len(CONTROL))
+        for token, rank in [*known.items(), *((c.encode(), k) for c, k in control.items())]:
+            self.bytes[rank] = token
+        self.size = np.array([len(b) for b in self.bytes], dtype=np.int64)
+
+    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Tokens, and the byte offset at which each ends."""
+        ids = self.coder.encode(text, allowed_special="all")
+        return ids, np.cumsum(self.size[ids]) if ids else np.zeros(0, dtype=np.int64)
+
+    def text(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")
+
+
 @lru_cache(2)
-def _tokenizer(spec: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer, processors
+def _tokenizer(ranks: bytes) -> Tokenizer:
+    return Tokenizer(ranks)
+
 
-    tokenizer = Tokenizer.from_str(spec)
-    tokenizer.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in CONTROL])
-    tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # a token's span takes in its leading space
-    return tokenizer
+def byte_spans(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Character spans, sorted and disjoint, as byte spans."""
+    if text.isascii():
+        return np.array(spans, dtype=np.int64).reshape(-1, 2)
+    lead = np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0 != 0x80
+    starts = np.append(np.flatnonzero(lead), len(lead))
+    return starts[np.array(spans, dtype=np.int64).reshape(-1, 2)]
 
 
 def token_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -110,7 +141,7 @@ def _parts(rows: Iterator[tuple], train: frozenset, limit: int) -> Iterator[tupl
 def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, part_chars: int = PART_CHARS) -> DataFrame:
     """One row per conversation (or part of a very long one): the text, its tokens, the loss mask over tokens and the trained spans."""
     train = frozenset(train_roles)
-    spec = conversations.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
+    spec = conversations.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(spec.value)
@@ -118,17 +149,17 @@ def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...]
         pending, size = [], 0
 
         def flush():
-            codes = coder.encode_batch([p[2] for p in pending], add_special_tokens=False)
-            masks = []
-            for p, code in zip(pending, codes):
-                offsets = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
-                masks.append(token_mask(offsets[:, 0], offsets[:, 1], np.array(p[3], dtype=np.int64).reshape(-1, 2)).tolist())
+            ids, masks = [], []
+            for _, _, text, spans in pending:
+                tokens, ends = coder.encode(text)
+                ids.append(tokens)
+                masks.append(token_mask(ends - coder.size[tokens], ends, byte_spans(text, spans)).tolist() if tokens else [])
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([p[0] for p in pending], pa.int64()),
                     pa.array([p[1] for p in pending], pa.int32()),
                     pa.array([p[2] for p in pending], pa.string()),
-                    pa.array([c.ids for c in codes], pa.list_(pa.int32())),
+                    pa.array(ids, pa.list_(pa.int32())),
                     pa.array(masks, pa.list_(pa.bool_())),
                     pa.array([[{"start": a, "end": b} for a, b in p[3]] for p in pending], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
@@ -151,7 +182,7 @@ def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...]
 
 def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """What the formatted rows say, per conversation: turns and trained text as digests. Needs the order in which format_conversations() gives its rows."""
-    spec = formatted.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
+    spec = formatted.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(spec.value)
@@ -173,17 +204,11 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 for role, said in parse(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())
-                offsets = coder.encode(text, add_special_tokens=False).offsets
-                a = None
-                for (start, end), on in [*zip(offsets, mask), ((len(text), len(text)), False)]:
-                    if on and a is None:
-                        a, b = start, end
-                    elif on:
-                        b = max(b, end)
-                    elif a is not None:
-                        under, a = unescape(text[a:b]), None
-                        state[3] += len(under)
-                        state[4].update(under.encode())
+                on = np.flatnonzero(np.diff(np.array([False, *mask, False], dtype=np.int8)))
+                for a, b in zip(on[::2].tolist(), on[1::2].tolist()):
+                    under = unescape(coder.text(ids[a:b]))
+                    state[3] += len(under)
+                    state[4].update(under.encode())
                 state[5] += len(text)
                 state[6] += len(ids)
             if len(done) >= 5000:

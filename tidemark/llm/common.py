@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's rows per Arrow batch, so that batches of long texts fit beside each other in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)) or rows)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit of 64-bit codes."""
     h = h ^ (h >> np.uint64(33))
@@ -134,3 +141,17 @@ def filtered(docs: DataFrame, keep, names: tuple[str, ...]) -> DataFrame:
     """``keep(docs)`` with the columns of ``docs`` as they were: columns that ``keep`` would replace (``names``) wait under other names."""
     away = {c: f"_kept_{c}" for c in docs.columns if c in names}
     return keep(docs.withColumnsRenamed(away)).select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the statements inside, by name with dots as double underscores."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small_batches, written
 from tidemark.llm.urlfilter import host_of
 
 WINNERS = 3
@@ -261,6 +261,7 @@ def winners(counted: DataFrame, n: int = WINNERS) -> DataFrame:
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """``pages`` without html, with text, n_chars and the container path used."""
+    small_batches(pages.sparkSession)
     won = written(winners(votes(pages, html_col, url_col)), "host-paths")
     kept = pages.drop("text", "n_chars", "container", "_host", "_paths").withColumn("_host", host_of(F.col(url_col)))
     rows = kept.join(won.select(F.col("host").alias("_host"), F.col("paths").alias("_paths")), "_host", "left").drop("_host")

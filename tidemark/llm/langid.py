@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import codes, text_chunks, words
+from tidemark.llm.common import codes, small_batches, text_chunks, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 UNKNOWN = "und"
@@ -229,6 +229,7 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first_word:
 
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # vocabulary and vocabulary x languages numbers: bounded
     docs = docs.drop("lang_pred", "score")  # an earlier prediction is replaced

@@ -9,11 +9,12 @@ rows' overlap is accumulated exactly.
 Columns are ordered by a table of counts over all documents (a fixed number of hashed buckets) and
 then by code: any order that all rows share is exact, this one keeps frequent passages out.
 
-Equal rows are one class with one representative. A column of g rows is not multiplied out to g * g
-entries: its first row is compared with the others, rows that a chain of links already connects need
-no further comparison, and rounds go on with the next row until the columns left are short enough to
-be multiplied out or hold one component only. So no link between components is lost, and the work of
-a family of near copies grows with its size. Columns of very many rows are split by a salt first.
+Equal rows are one class with one representative. A column of g rows is not written out as g * g pairs:
+its first row is compared with the others, and rows that links already connect need no comparison. The
+columns that still hold several components are gathered into families by their smallest row; small
+families are paired, large ones multiplied block by block inside tasks, which give out no more links
+than join their rows. So no link between components is lost and the rows between stages stay in
+proportion to the input. Columns of very many rows are split by a salt first.
 
 Edge cases: a null or empty text, or one without words, has no shingles and links with nothing; a
 text of one to four words has its whole sequence as one shingle; rows of one doc_id with different
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, shingles, text_chunks, words, written
+from tidemark.llm.common import mix, settings, shingles, small_batches, text_chunks, words, written
 
 SHINGLE_WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 BUCKET_BITS = 18
 COLUMN_ROWS = 100_000  # rows of a column beyond which it is dealt in several parts
-RUN_FACTOR = 50  # columns are multiplied out once that makes at most so many entries a row
+SMALL_ROWS = 64  # families of up to so many rows are multiplied out as pairs, larger ones block by block
+BLOCK_ROWS = 1_000
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -80,8 +82,8 @@ def rows_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("bucket is null").select("doc_id", "n", "signature"), counts
 
 
-def index_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The matrix entries that the product runs over: column, rep, n, position, parts; one row set per class."""
+def index_rows(docs: DataFrame, counts: np.ndarray, parted: bool) -> DataFrame:
+    """The matrix entries that the product runs over: column, rep, n, position, and with ``parted`` in how many parts the column is dealt; one row set per class."""
     spark = docs.sparkSession
     excess = np.maximum(counts - np.median(counts), 0)
     order = spark.sparkContext.broadcast(np.minimum(np.log2(1 + counts) * 1024, 65535).astype(np.uint64))
@@ -111,20 +113,19 @@ def index_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             size = np.array([len(p) // 8 for p in batch["prefix"].to_pylist()], dtype=np.int64)
             column = np.frombuffer(b"".join(batch["prefix"].to_pylist()), dtype=np.uint64)
             position = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(column.view(np.int64)),
-                    pa.array(np.repeat(batch["rep"].to_numpy(), size)),
-                    pa.array(np.repeat(batch["n"].to_numpy(), size), pa.int32()),
-                    pa.array(position, pa.int32()),
-                    pa.array(split[(column >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], pa.int32()),
-                ],
-                names=["column", "rep", "n", "position", "parts"],
-            )
+            out = {
+                "column": pa.array(column.view(np.int64)),
+                "rep": pa.array(np.repeat(batch["rep"].to_numpy(), size)),
+                "n": pa.array(np.repeat(batch["n"].to_numpy(), size), pa.int32()),
+                "position": pa.array(position, pa.int32()),
+            }
+            if parted:
+                out["parts"] = pa.array(split[(column >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], pa.int32())
+            yield pa.RecordBatch.from_pydict(out)
 
     classes = docs.mapInArrow(prefixes, "doc_id long, n int, signature binary, prefix binary")
     classes = classes.groupBy("signature").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
-    return classes.select("rep", "n", "prefix").mapInArrow(entries, "column long, rep long, n int, position int, parts int")
+    return classes.select("rep", "n", "prefix").mapInArrow(entries, "column long, rep long, n int, position int" + ", parts int" * parted)
 
 
 _MET = "column long, rep long, n int, position int, component long, head long, near boolean"
@@ -139,9 +140,11 @@ def compare_with_head(entries: DataFrame, parted: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # key, rep, n, position, component of the run that goes on
         for batch in batches:
-            column, part, rep, n, position, component, parts = (batch[c].to_numpy() for c in ("column", "part", "rep", "n", "position", "component", "parts"))
+            column, rep, n, position = (batch[c].to_numpy() for c in ("column", "rep", "n", "position"))
             if not len(column):
                 continue
+            component = batch["component"].to_numpy() if labelled else rep
+            part, parts = (batch[c].to_numpy() for c in ("part", "parts")) if parted else (np.zeros(len(column), dtype=np.int32), np.ones(len(column), dtype=np.int32))
             new = np.ones(len(column), dtype=bool)
             new[1:] = (column[1:] != column[:-1]) | (part[1:] != part[:-1])
             goes_on = head is not None and head[0] == (column[0], part[0])
@@ -159,20 +162,43 @@ def compare_with_head(entries: DataFrame, parted: bool) -> DataFrame:
                 names=["column", "rep", "n", "position", "component", "head", "near"],
             )
 
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int") if parted else F.lit(0)
-    dealt = entries.select("column", part.alias("part"), "rep", "n", "position", "component", "parts")
-    return dealt.repartition("column", "part").sortWithinPartitions("column", "part", "rep").mapInArrow(run, _MET)
+    labelled = "component" in entries.columns
+    key = ["column"]
+    if parted:
+        entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int"))
+        key = ["column", "part"]
+    return entries.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(run, _MET)
+
+
+_LOW = np.uint64(24)  # whole rows travel as 40-bit codes, which keep 500 shingles apart but for one chance in four million
+
+
+def packed(codes: np.ndarray) -> bytes:
+    return (codes >> _LOW).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    """Sorted codes from packed()."""
+    low = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(low), 8), dtype=np.uint8)
+    wide[:, :5] = low
+    return wide.reshape(-1).view(np.uint64)
 
 
 def row_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, codes: the whole rows of the documents in ``ids``."""
+    """rep, codes: the whole rows of the documents in ``ids``, stored.
+
+    Spark may build its own Bloom filter of the ids, of a fixed largest size, so that few other texts are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _sets(batch):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "codes"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(sets)), pa.array([packed(s) for s in sets], pa.binary())], names=["rep", "codes"])
 
-    return docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, codes binary")
+    wanted = written(ids, "ngram-ids").where(F.col("rep") >= F.lit(-(1 << 63)))  # true of every id; a condition lets Spark consider the filter
+    with settings(docs.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="10GB"):
+        return written(docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, codes binary"), "ngram-sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,7 +208,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             overlap, enough = [], []
             for x, y in zip(batch["codes_a"], batch["codes_b"]):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 common = int((y[at] == x).sum()) if len(y) else 0
                 overlap.append(common)
@@ -209,53 +235,127 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries with the component of their row, in columns that still hold several components."""
+def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """family, rep, n, component, rows: the rows of columns that still hold several components, by the columns' smallest row.
+
+    Near copies share most columns, and with them the smallest row, so a family's rows come together
+    once and not once a column; two rows of one column are always in its family.
+    """
     known = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    rows = written(entries.join(known, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label"), "ngram-open")
-    several = rows.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high")
-    return written(rows.join(several.select("column", "rows"), "column"), "ngram-open")
+    rows = met.select("column", "rep", "n").join(known, "rep", "left").select("column", "rep", "n", F.coalesce("label", "rep").alias("component"))
+    rows = written(rows, "ngram-open")
+    several = rows.groupBy("column").agg(F.min("rep").alias("family"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    groups = written(rows.join(several.select("column", "family"), "column").select("family", "rep", "n", "component").distinct(), "ngram-groups")
+    return groups.join(groups.groupBy("family").agg(F.count(F.lit(1)).alias("rows")), "family")
+
+
+def small_products(groups: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components within families of few rows whose sizes let them link."""
+    x, y = (groups.where(F.col("rows") <= SMALL_ROWS).select("family", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component"))) for k in "xy")
+    limit = F.ceil(NUMERATOR * (F.col("n_x") + F.col("n_y")) / (DENOMINATOR + NUMERATOR))
+    on: Column = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") >= limit)
+    return x.join(y, "family").where(on).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
+def overlaps(sets: list[np.ndarray], other: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Overlap counts of every set with every other one: the product of two 0/1 matrices, by blocks of columns that both have."""
+    sizes, sizes_other = [len(s) for s in sets], [len(s) for s in other]
+    codes, codes_other = np.concatenate(sets), np.concatenate(other)
+    column = np.intersect1d(codes, codes_other)
+    row, row_other = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(other)), sizes_other)
+    total = np.zeros((len(sets), len(other)), dtype=np.float32)
+
+    def entries(values, rows):
+        at = np.minimum(np.searchsorted(column, values), max(len(column) - 1, 0))
+        hit = column[at] == values if len(column) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], rows[hit][order]
+
+    (at, of), (at_other, of_other) = entries(codes, row), entries(codes_other, row_other)
+    for low in range(0, len(column), width):
+        block, block_other = np.zeros((len(sets), width), dtype=np.float32), np.zeros((len(other), width), dtype=np.float32)
+        for where, rows, into in ((at, of, block), (at_other, of_other, block_other)):
+            a, b = np.searchsorted(where, (low, low + width))
+            into[rows[a:b], where[a:b] - low] = 1
+        total += block @ block_other.T
+    return total
+
+
+def block_products(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, overlap: links that join the rows of large families, a spanning forest of each block of at most 2 * BLOCK_ROWS rows.
+
+    A family's rows are dealt into blocks and every two blocks meet in a group of their own, so no
+    group outgrows a task; counts are summed within it and pairs below their bound are dropped there.
+    """
+    large = groups.where(F.col("rows") > SMALL_ROWS)
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = large.select("family", "rep", "n", "component", "block", F.explode(pair).alias("p")).select("family", "p.i", "p.j", "rep", "n", "component", "block")
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("rep", "ascending")])
+        rep, n, component, block = (table[c].to_numpy() for c in ("rep", "n", "component", "block"))
+        codes = [unpacked(c.as_buffer()) for c in table["codes"].combine_chunks()]
+        cut = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+        left = slice(0, cut or len(rep))
+        right = slice(cut, len(rep))
+        found = overlaps(codes[left], codes[right])
+        links = found >= needed(n[left, None].astype(np.int64), n[None, right].astype(np.int64))
+        # what earlier links connect needs no link: rows of a component count as one from the start
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(links)):
+            p, q = root(int(component[left][x])), root(int(component[right][y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(rep[left][x]), int(rep[right][y]), int(found[x, y])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "overlap": pa.array([o[2] for o in out], pa.int64())})
+
+    return dealt.join(sets, "rep").groupBy("family", "i", "j").applyInArrow(product, "a long, b long, overlap long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: every document with the size of its set and the smallest doc_id that links reach from it."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, counts = rows_and_counts(docs)
-    entries = index_rows(docs, counts).withColumn("component", F.col("rep"))
     parted = bool((counts - np.median(counts) >= COLUMN_ROWS).any())
-    met = written(compare_with_head(entries, parted), "ngram-met")
-    if parted:
-        heads = met.where("head is null").select("column", "rep", "n", "position", "component", F.lit(1).alias("parts"))
-        met = met.where("head is not null").unionByName(compare_with_head(heads, False))
-    sets = written(row_sets(docs, met.select(F.col("rep")).union(met.select("head")).distinct()), "ngram-sets")
-    open_rows, links = met, written(linked(met.where("near").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), sets), "ngram-links")
-    while True:
-        labels = components(links)
-        open_rows = _labelled(open_rows.select("column", "rep", "n", "position"), labels)
-        size, entries_out = open_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("rows") - 1) / 2), F.lit(0.0))).first()
-        if not size:
-            break
-        if entries_out <= RUN_FACTOR * size:
-            pairs = _multiplied_out(open_rows)
-        else:
-            met = written(compare_with_head(open_rows.withColumn("parts", F.lit(1)), False), "ngram-met")
-            open_rows = met
-            pairs = met.where("near").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-        more = linked(pairs, sets)
-        links = written(links.unionByName(more), "ngram-links")
-        if entries_out <= RUN_FACTOR * size:
-            labels = components(links)
-            break
+    met = written(compare_with_head(index_rows(docs, counts, parted), parted), "ngram-met")
+    compared = met.where("head is not null")
+    if parted:  # the parts' first rows meet each other, and stay open towards the other parts' rows
+        compared = compared.unionByName(compare_with_head(met.where("head is null").select("column", "rep", "n", "position"), False))
+    pairs = _near(compared)
+    sets = row_sets(docs, _ids(pairs))
+    links = _linked(pairs, sets)
+    labels = components(links)
+    groups = written(open_groups(met, labels), "ngram-groups")
+    pairs = written(small_products(groups), "ngram-pairs")
+    ids = _ids(pairs).union(groups.where(F.col("rows") > SMALL_ROWS).select("rep")).distinct()
+    sets = sets.unionByName(row_sets(docs, ids.join(sets.select("rep"), "rep", "left_anti")))
+    more = _linked(pairs, sets).unionByName(block_products(groups, sets))
+    labels = components(links.unionByName(more))
     return _result(rows, labels)
 
 
-def _multiplied_out(rows: DataFrame) -> DataFrame:
-    """All pairs of rows of different components that meet in a column and whose sizes and positions let them link."""
-    x, y = rows.select("column", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "position", "component"))), rows.select("column", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "position", "component")))
-    limit = F.ceil(NUMERATOR * (F.col("n_x") + F.col("n_y")) / (DENOMINATOR + NUMERATOR))
-    bound = F.least("position_x", "position_y") + F.least(F.col("n_x") - F.col("position_x"), F.col("n_y") - F.col("position_y"))
-    on: Column = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") >= limit) & (bound >= limit)
-    return x.join(y, "column").where(on).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    with settings(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="200"):  # two whole rows in each
+        return written(linked(pairs, sets), "ngram-links")
+
+
+def _near(met: DataFrame) -> DataFrame:
+    return written(met.where("near").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "ngram-pairs")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
 def _result(rows: DataFrame, labels: DataFrame) -> DataFrame:

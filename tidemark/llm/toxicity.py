@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import codes, mix, text_chunks, words
+from tidemark.llm.common import codes, mix, small_batches, text_chunks, words
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4096
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 def score(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (expected, 0 to 2), ``grade`` (the likeliest) and ``toxic`` (more likely than not above grade 0)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("severity", "grade", "toxic")
     schema = T.StructType([*docs.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features words

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_chunks
+from tidemark.llm.common import small_batches, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -147,6 +147,7 @@ def _with(df: DataFrame, column: T.StructField) -> tuple[DataFrame, T.StructType
 
 def encode(docs: DataFrame, text_col: str = "text", to: str = "input_ids", model: str = MODEL) -> DataFrame:
     """``docs`` with the tokens of each text."""
+    small_batches(docs.sparkSession)
     docs, schema = _with(docs, T.StructField(to, T.ArrayType(T.IntegerType())))
     spec = docs.sparkSession.sparkContext.broadcast(open(model, "rb").read())
 
