@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01 00:00:00"
-CLICKS_AS_OF = "2024-01-31 00:00:00"
+CLICKS_AS_OF = "2024-01-30 18:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
