@@ -38,42 +38,53 @@ def usable(vector: Column) -> Column:
 class CollisionIndex:
     """The sorted projection arrays of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = 96, reach: float = 1.0, slack: float = 2.0, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = 48, reach: float = 1.0, slack: float = 1.75, seed: int = 11):
         self.ids, self.vectors, self.reach = ids, vectors, reach
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         values = (vectors @ self.axes).astype(np.float64)
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.values = np.take_along_axis(values, self.order.T.astype(np.int64), axis=0).T.copy()
+        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(values, self.order.T, axis=0).T.copy()
         # of two vectors at the radius, the chance to share a window of half-width reach * radius
         p = 2 * NormalDist().cdf(reach) - 1
         self.threshold = max(1, int(projections * p - slack * np.sqrt(projections * p * (1 - p))))
+        # all arrays behind each other, far enough apart that one search serves every projection
+        self.shift = np.arange(projections) * (4 * float(np.abs(values).max()) + 1)
+        self.flat = (self.values + self.shift[:, None]).ravel()
+        self.starts = np.arange(projections) * len(ids)
+        self.flat_order = self.order.ravel()
         self.spread = float(np.median(np.abs(values - np.median(values, axis=0)))) or 1.0
 
-    def search(self, query_id: int, query: np.ndarray, k: int, growth: float = 1.12) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, k: int, growth: float = 1.06) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest found and their distances."""
-        n, m = self.order.shape[1], self.order.shape[0]
-        centre = query @ self.axes
-        counts = np.zeros(n, dtype=np.int32)
+        n = self.order.shape[1]
+        limit = float(self.shift[1] / 2) if len(self.shift) > 1 else np.inf  # a window never leaves its own array
+        centre = np.clip(query @ self.axes, -limit / 2, limit / 2) + self.shift
+        counts = np.zeros(n, dtype=np.int64)
         verified = np.zeros(n, dtype=bool)
         found, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
-        low = np.array([np.searchsorted(self.values[j], centre[j]) for j in range(m)])
+        low = np.clip(np.searchsorted(self.flat, centre), self.starts, self.starts + n)
         high = low.copy()
-        radius = self.spread * 0.1
+        radius = self.spread * 0.5
         while True:
-            half = self.reach * radius
-            newly = []
-            for j in range(m):
-                a, b = np.searchsorted(self.values[j], (centre[j] - half, centre[j] + half))
-                a, b = min(a, low[j]), max(b, high[j])
-                newly += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(newly), minlength=n).astype(np.int32)
+            half = min(self.reach * radius, limit)
+            a = np.clip(np.searchsorted(self.flat, centre - half), self.starts, low)
+            b = np.clip(np.searchsorted(self.flat, centre + half, side="right"), high, self.starts + n)
+            order = self.flat_order
+            newly = [order[x:y] for x, y in zip([*a.tolist(), *high.tolist()], [*low.tolist(), *b.tolist()]) if x < y]
+            low, high = a, b
+            if newly:
+                counts += np.bincount(np.concatenate(newly), minlength=n)
             fresh = np.flatnonzero((counts >= self.threshold) & ~verified)
             verified[fresh] = True
             fresh = fresh[self.ids[fresh] != query_id]
             if len(fresh):
-                d = np.sqrt(((self.vectors[fresh] - query) ** 2).sum(axis=1))
+                gap = self.vectors[fresh] - query
+                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
                 found, distance = np.concatenate([found, fresh]), np.concatenate([distance, d])
+                if len(found) > 4 * k:  # the rest, with room for rows of one id and for rounding, cannot be among the nearest
+                    near = distance <= np.partition(distance, 4 * k)[4 * k] * (1 + 1e-12)
+                    found, distance = found[near], distance[near]
+                distance = np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1))
                 best = np.lexsort((self.ids[found], distance))
                 _, first = np.unique(self.ids[found[best]], return_index=True)
                 best = best[np.sort(first)][:k]
@@ -89,7 +100,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, min_blocks: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``vectors`` found for each row of ``queries``."""
     spark = vectors.sparkSession
 
@@ -99,8 +110,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     every, asked = rows(vectors), rows(queries)
     n, n_queries = every.count(), asked.count()
-    blocks = max(1, -(-n // block_rows), min(min_blocks or spark.sparkContext.defaultParallelism, -(-n // 4000)))
-    query_blocks = max(1, -(-n_queries // query_rows))
+    blocks = max(1, -(-n // block_rows))
+    # large blocks end their search at a smaller radius; where there are few, the queries give every core its share
+    query_blocks = max(1, -(-n_queries // query_rows), min(-(-spark.sparkContext.defaultParallelism // blocks), -(-n_queries // 32)))
     spread = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")
     left = every.select("dim", spread.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "embedding")
     own = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
