@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +62,23 @@ class Transducer:
         self.arcs = {p for p in self.score if self.merged(p) == [p]}
         self.longest = max(map(len, self.arcs), default=1)
         self.stands: dict[tuple[str, str], bool] = {}
-        self.solved: dict[str, tuple[int, ...]] = {}
-        spans_space = any(SPACE in p.lstrip(SPACE) for p in self.score)
-        spans_line = any("\n" in p and len(p) > 1 for p in self.score)
-        self.segments = re.compile(".+" if spans_space else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if spans_line else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", re.S)
+        self.solved: dict[str, bytes] = {}
+        self.segments = re.compile(self._segments(), re.S)
+
+    def _segments(self) -> str:
+        """A pattern that cuts a text only where no piece reaches across: before spaces, around line feeds, between letters and others."""
+        numbers = "".join(sorted({c for p in self.score for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+        letters, others = rf"[^\W\d_{re.escape(numbers)}]", rf"[\W\d_{re.escape(numbers)}]"
+        letter = re.compile(letters)
+        bare = [p.lstrip(SPACE) for p in self.score]
+        mixed = any(bool(letter.match(x)) != bool(letter.match(y)) for p in bare for x, y in zip(p, p[1:]))
+        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+            return ".+"
+        if any("\n" in p and len(p) > 1 for p in self.score):
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        if mixed:
+            return f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+        return rf"\n|{SPACE}*{letters}+|{SPACE}*(?:(?![{SPACE}\n]){others})+|{SPACE}+"
 
     def merged(self, text: str) -> list[str]:
         """Merging neighbours whose union is the piece of highest score, the leftmost first, until none is a piece."""
@@ -91,12 +103,17 @@ class Transducer:
 
     def path(self, segment: str) -> list[str]:
         """The shortest path through the segment's lattice, as pieces (or single uncovered characters)."""
-        n, arcs, longest = len(segment), self.arcs, self.longest
+        n, arcs, longest, stands = len(segment), self.arcs, self.longest, self.stands
         last: list[str] = [""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            # one piece only ends the prefix's path: the order of trial is free, and short pieces are the likelier
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
                 piece = segment[start:end]
-                if (piece in arcs or end - start == 1) and (not start or self.boundary(last[start], piece)):
+                if piece in arcs or end - start == 1:
+                    if start:
+                        known = stands.get((last[start], piece))
+                        if not (self.boundary(last[start], piece) if known is None else known):
+                            continue
                     last[end] = piece
                     break
         out = []
@@ -105,7 +122,8 @@ class Transducer:
             n -= len(last[n])
         return out[::-1]
 
-    def solve(self, segment: str) -> tuple[int, ...]:
+    def solve(self, segment: str) -> bytes:
+        """The segment's tokens as 32-bit numbers."""
         ids: list[int] = []
         for piece in self.path(segment):
             known = self.id.get(piece)
@@ -113,22 +131,28 @@ class Transducer:
                 ids += [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 ids.append(known)
-        return tuple(ids)
+        return np.array(ids, dtype=np.int32).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> bytes:
+        """The tokens of a text as 32-bit numbers."""
         if not text:
-            return []
-        solved, out = self.solved, []
-        for segment in self.segments.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = solved.get(segment)
-            if ids is None:
-                ids = self.solve(segment)
-                if len(segment) <= KEPT_LENGTH:
-                    if len(solved) >= KEPT_SEGMENTS:
-                        solved.clear()
-                    solved[segment] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+            return b""
+        solved = self.solved
+        segments = self.segments.findall(self.prefix + text.replace(" ", SPACE))
+        found = list(map(solved.get, segments))
+        if None in found:
+            if len(solved) >= KEPT_SEGMENTS:
+                solved.clear()
+            for k, ids in enumerate(found):
+                if ids is None:
+                    segment = segments[k]
+                    ids = found[k] = solved.get(segment) or self.solve(segment)
+                    if len(segment) <= KEPT_LENGTH:
+                        solved[segment] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -156,9 +180,9 @@ def encode(docs: DataFrame, text_col: str = "text", to: str = "input_ids", model
         for batch in batches:
             valid = batch[text_col].is_valid()
             for at, chunk in text_chunks(batch[text_col]):
-                found = [machine.encode(t) for t in chunk.to_pylist()]
-                cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(cuts[-1]))
+                found = [machine.encoded(t) for t in chunk.to_pylist()]
+                cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(found), dtype=np.int32)
                 offsets = pa.array(cuts, pa.int32(), mask=np.append(~valid.slice(at, len(chunk)).to_numpy(zero_copy_only=False), False))
                 part = batch.slice(at, len(chunk))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*batch.schema.names, to])
