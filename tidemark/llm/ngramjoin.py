@@ -196,9 +196,21 @@ def row_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for at, sets in _sets(batch):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(sets)), pa.array([packed(s) for s in sets], pa.binary())], names=["rep", "codes"])
 
-    wanted = written(ids, "ngram-ids").where(F.col("rep") >= F.lit(-(1 << 63)))  # true of every id; a condition lets Spark consider the filter
-    with settings(docs.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="10GB"):
-        return written(docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, codes binary"), "ngram-sets")
+    wanted = written(ids, "ngram-ids").where(_any("rep")).select(F.col("rep").alias("doc_id"))
+    with settings(docs.sparkSession, **BLOOM_FILTERS):
+        return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, codes binary"), "ngram-sets")
+
+
+# Spark's own Bloom filters, whatever the sizes: rows without a partner are dropped before they are shuffled.
+BLOOM_FILTERS = {
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "10GB",
+}
+
+
+def _any(column: str) -> Column:
+    """True of every id; only a side with a condition is considered for a filter."""
+    return F.col(column) >= F.lit(-(1 << 63))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,7 +230,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("rep").alias("a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("codes").alias("codes_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a long, b long, overlap long")
+    pairs = pairs.where(_any("a") & _any("b"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a long, b long, overlap long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -319,7 +332,7 @@ def block_products(groups: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((int(rep[left][x]), int(rep[right][y]), int(found[x, y])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "overlap": pa.array([o[2] for o in out], pa.int64())})
 
-    return dealt.join(sets, "rep").groupBy("family", "i", "j").applyInArrow(product, "a long, b long, overlap long")
+    return dealt.where(_any("rep")).join(sets.hint("merge"), "rep").groupBy("family", "i", "j").applyInArrow(product, "a long, b long, overlap long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,13 +353,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(small_products(groups), "ngram-pairs")
     ids = _ids(pairs).union(groups.where(F.col("rows") > SMALL_ROWS).select("rep")).distinct()
     sets = sets.unionByName(row_sets(docs, ids.join(sets.select("rep"), "rep", "left_anti")))
-    more = _linked(pairs, sets).unionByName(block_products(groups, sets))
+    more = _linked(pairs, sets)
+    with settings(docs.sparkSession, **BLOOM_FILTERS):
+        more = more.unionByName(written(block_products(groups, sets), "ngram-links"))
     labels = components(links.unionByName(more))
     return _result(rows, labels)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    with settings(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="200"):  # two whole rows in each
+    with settings(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="200", **BLOOM_FILTERS):  # two whole rows in each
         return written(linked(pairs, sets), "ngram-links")
 
 
