@@ -1 +1,73 @@
+"""Queries over texts, titles and addresses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import agents, normalize, positions, skills, text
+from tidemark.operators import duplicates
+from tidemark.operators.landing import slugify
+from tidemark.sources import standin
+from tidemark.sources.standin import POSTINGS_SQL
+
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
+_TEXT = "coalesce(text, '')"
+_PATTERNS = {n: p.replace("'", "''") for n, p in (("nl", text.DUTCH_WORDS), ("en", text.ENGLISH_WORDS), ("de", text.GERMAN_WORDS))}
+_COUNT = {n: f"len(regexp_extract_all(lower({_TEXT}), '{p}'))" for n, p in _PATTERNS.items()}
+# RE2's word boundary is ASCII: the oracle folds accented letters to plain ones around words
+register("x14_language", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", text.detect_language(F.concat_ws(" ", "title", F.when(F.col("id") % 2 == 0, "wij zoeken een collega voor het team").otherwise("join the team and work with us"))).alias("language")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN 'nl' ELSE 'en' END AS language FROM postings")
+register("x14_document_language", lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", text.detect_language(F.coalesce("text", F.lit(""))).alias("language")))
+register("x5_scrub_contact", lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", F.sha1(normalize.scrub_contact(F.coalesce("text", F.lit("")))).alias("hash")))
+register("x6_norm_title", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.norm_title(F.col("title")).alias("title")),
+         f"WITH {POSTINGS_SQL} SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9+#.]+', ' ', 'g')) AS title FROM postings")
+register("x6_dedup_key", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.dedup_key(F.col("company"), F.col("title"), F.col("city")).alias("key")),
+         f"WITH {POSTINGS_SQL} SELECT id, sha1(lower(company) || '|' || trim(regexp_replace(lower(title), '[^a-z0-9+#.]+', ' ', 'g')) || '|' || lower(coalesce(city, ''))) AS key FROM postings")
+register("x6_content_hash", lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", normalize.content_hash(F.col("source"), F.coalesce("text", F.lit(""))).alias("hash")),
+         f"SELECT doc_id, sha256(trim(source) || chr(10) || trim({_TEXT})) AS hash FROM documents")
+register("x1_detect_city", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.detect_city(F.when(F.col("id") % 3 == 0, "Veldhoven, NL").when(F.col("id") % 3 == 1, "Den Haag").otherwise(F.col("city"))).alias("city")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE id % 3 WHEN 0 THEN 'Eindhoven' WHEN 1 THEN 'The Hague' END AS city FROM postings")
+register("x2_detect_country", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.detect_country(F.col("city"), F.when(F.col("id") % 5 == 0, "nl")).alias("country")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'NL' WHEN lower(city) IN ('germany', 'france', 'united kingdom', 'romania', 'india', 'indonesia', 'japan', 'china', 'vietnam', 'egypt', 'kenya', 'argentina', 'brazil', 'canada', 'peru', 'united states') THEN 'XX' END AS country FROM postings")
+register("x3_is_remote", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.is_remote(F.when(F.col("id") % 3 == 0, "Remote (NL)").otherwise(F.col("city")), F.col("remote")).alias("remote")),
+         f"WITH {POSTINGS_SQL} SELECT id, remote OR id % 3 = 0 AS remote FROM postings")
+register("x7_plausible_posted", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.plausible_posted(F.col("posted_at"), "2001-06-01 00:00:00").alias("posted_at")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN posted_at <= TIMESTAMP '2001-06-03' AND year(posted_at) >= 2000 THEN posted_at END AS posted_at FROM postings")
+register("x30_slugs", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("company").distinct().select("company", slugify(F.col("company")).alias("slug")),
+         f"WITH {POSTINGS_SQL} SELECT DISTINCT company, trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM postings")
+register("x31_url_helpers", lambda spark, sf_dir: standin.table(spark, sf_dir, "pages").select("page_id", duplicates.url_stem(F.col("url")).alias("stem"), duplicates.language_stem(F.col("url")).alias("lang_stem"), duplicates.language_rank(F.col("url")).alias("lang_rank")), """
+    SELECT page_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS stem,
+           regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') || '/' || array_to_string(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: s NOT IN ('', 'en', 'fr', 'de', 'es')), '/') AS lang_stem,
+           CASE regexp_extract(url, '://[^/?#]*/([a-z]{2})/', 1) WHEN 'en' THEN 0 WHEN '' THEN 1 ELSE 3 END AS lang_rank FROM pages""")
+register("x26_positions", lambda spark, sf_dir: standin.postings(spark, sf_dir).groupBy(positions.position(F.concat_ws(" ", F.when(F.col("id") % 4 == 0, "Data").when(F.col("id") % 4 == 1, "DevOps").when(F.col("id") % 4 == 2, "Embedded").otherwise("Sales"), F.lit("Engineer"))).alias("position")).agg(F.count(F.lit(1)).alias("n")),
+         f"WITH {POSTINGS_SQL} SELECT CASE id % 4 WHEN 0 THEN 'data_engineer' WHEN 1 THEN 'devops' WHEN 2 THEN 'embedded' ELSE 'sales_engineer' END AS position, count(*) AS n FROM postings GROUP BY 1")
+register("x12_find_skills", lambda spark, sf_dir: standin.postings(spark, sf_dir).select(F.explode(skills.find_skills(F.concat_ws(" ", "title", F.when(F.col("id") % 2 == 0, "We use Python, Go and Postgres.").otherwise("Java (not JavaScript), k8s")))).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")),
+         f"WITH {POSTINGS_SQL}, s AS (SELECT unnest(CASE WHEN id % 2 = 0 THEN ['Python', 'PostgreSQL', 'SQL'] ELSE ['Java', 'JavaScript', 'Kubernetes'] END) AS skill FROM postings) SELECT skill, count(*) AS n FROM s GROUP BY skill")
+register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", text.detect_seniority(F.when(F.col("id") % 3 == 0, "Senior Engineer").when(F.col("id") % 3 == 1, "Stage Data").otherwise("Engineer"), F.col("years_experience")).alias("seniority")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'senior' WHEN id % 3 = 1 THEN 'intern' WHEN years_experience >= 5 THEN 'senior' WHEN years_experience >= 3 THEN 'medior' WHEN years_experience IS NOT NULL THEN 'junior' ELSE 'unknown' END AS seniority FROM postings")
+register("x22_salary", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", text.parse_salary(F.format_string("We offer € %d - € %d per year.", F.col("id") % 60 * 1000 + 10000, F.col("id") % 60 * 1000 + 20000)).alias("s")).select("id", "s.low", "s.high"),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 60 >= 10 THEN id % 60 * 1000 + 10000 END AS low, CASE WHEN id % 60 >= 10 THEN id % 60 * 1000 + 20000 END AS high FROM postings")
+register("x9_html_to_text", lambda spark, sf_dir: standin.table(spark, sf_dir, "pages").select("page_id", F.sha1(text.html_to_text(F.col("html"))).alias("hash")))
+register("c1_parse_agent", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.parse_agent(F.when(F.col("event_id") % 3 == 0, "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36").when(F.col("event_id") % 3 == 1, "Mozilla/5.0 (compatible; Googlebot/2.1)")).alias("a")).select("event_id", "a.*"),
+         "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Googlebot' ELSE 'Unknown' END AS browser, CASE event_id % 3 WHEN 0 THEN 'Windows' WHEN 1 THEN 'Other' ELSE 'Unknown' END AS os, CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'bot' ELSE 'unknown' END AS device, event_id % 3 <> 0 AS bot FROM events")
+register("c2_classify_path", lambda spark, sf_dir: standin.page_views(spark, sf_dir).groupBy(agents.classify_path(F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
+         "SELECT CASE event_type WHEN 'error' THEN 'api' ELSE 'page' END AS kind, count(*) AS n FROM events GROUP BY 1")
+register("c3_referrer", lambda spark, sf_dir: standin.table(spark, sf_dir, "pages").select("page_id", agents.referrer_host(F.col("url"), "ththre.example.com").alias("host")),
+         r"SELECT page_id, nullif(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', ''), 'ththre.example.com') AS host FROM pages")
+register("c4_visitor", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.visitor_id(F.lit("salt"), F.col("visitor"), F.col("browser")).alias("visitor")),
+         "SELECT event_id, left(sha256('salt|' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '|' || CASE WHEN user_id % 10 = 9 THEN 'Bot' || (user_id % 3) ELSE 'Browser' || (user_id % 5) END), 16) AS visitor FROM events")
+register("c5_search_detail", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.search_detail(F.format_string("q=data+engineer&page=%d&city=Delft&remote=false", F.col("event_id") % 3)).alias("detail")),
+         "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'q=data engineer&city=Delft' END AS detail FROM events")

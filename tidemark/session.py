@@ -34,3 +34,11 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ship-"), "tidemark"), "zip", root, "tidemark")
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def stored(df):
+    """``df`` computed and kept in the checkpoint folder that all executors share; a local one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
