@@ -69,12 +69,12 @@ register("r2_retained", lambda v: clicks.retained(v, NOW).select("event_id"), f"
 register("r3_forget_visitor", lambda v: clicks.forget_visitor(v, "00000007", NOW).select("event_id"), f"SELECT event_id FROM page_views WHERE NOT (visitor = '00000007' AND ts >= date_trunc('day', {_NOW}))")
 register("r4_rate_breaches", lambda v: clicks.rate_breaches(v, 1), "SELECT visitor, date_trunc('minute', ts) AS minute, count(*) AS hits FROM page_views GROUP BY 1, 2 HAVING count(*) > 1")
 register("r4_sliding_peaks", lambda v: clicks.sliding_counts(v), ", a AS (SELECT visitor, epoch(date_trunc('second', ts)) AS s FROM page_views), b AS (SELECT visitor, count(*) OVER (PARTITION BY visitor ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hits FROM a) SELECT visitor, max(hits) AS peak FROM b GROUP BY visitor")
-register("c15_all_time", lambda v: clicks.all_time(clicks.rollup(v, "2024-01-01", "2024-01-29"), v, NOW), _MONTH + f""", live AS (SELECT * FROM today WHERE kind <> 'event')
-    SELECT CAST((SELECT coalesce(sum(hits), 0) FROM daily WHERE dim = 'total') + (SELECT count(*) FROM live) AS BIGINT) AS hits,
-           CAST((SELECT coalesce(sum(humans), 0) FROM daily WHERE dim = 'total') + (SELECT count(*) FROM live WHERE NOT bot) AS BIGINT) AS humans, hits - humans AS bots,
-           CAST((SELECT coalesce(sum(uniques), 0) FROM daily WHERE dim = 'total') + (SELECT count(DISTINCT visitor) FROM live WHERE NOT bot) AS BIGINT) AS uniques,
-           (SELECT min(day) FROM daily) AS since, date_diff('day', since, CAST({_NOW} AS DATE)) + 1 AS days,
-           (SELECT count(DISTINCT key) FROM (SELECT key FROM daily WHERE dim = 'country' UNION SELECT country FROM live WHERE NOT bot)) AS countries, CAST(round(humans / days) AS BIGINT) AS avg_daily_humans""")
+register("c15_all_time", lambda v: clicks.all_time(clicks.rollup(v, "2024-01-01", "2024-01-29"), v, NOW), _MONTH + f""", live AS (SELECT * FROM today WHERE kind <> 'event'),
+    one AS (SELECT CAST((SELECT coalesce(sum(hits), 0) FROM daily WHERE dim = 'total') + (SELECT count(*) FROM live) AS BIGINT) AS h,
+           CAST((SELECT coalesce(sum(humans), 0) FROM daily WHERE dim = 'total') + (SELECT count(*) FROM live WHERE NOT bot) AS BIGINT) AS p,
+           CAST((SELECT coalesce(sum(uniques), 0) FROM daily WHERE dim = 'total') + (SELECT count(DISTINCT visitor) FROM live WHERE NOT bot) AS BIGINT) AS u, (SELECT min(day) FROM daily) AS s,
+           (SELECT count(DISTINCT key) FROM (SELECT key FROM daily WHERE dim = 'country' UNION SELECT country FROM live WHERE NOT bot)) AS c), two AS (SELECT *, date_diff('day', s, CAST({_NOW} AS DATE)) + 1 AS d FROM one)
+    SELECT h AS hits, p AS humans, h - p AS bots, u AS uniques, s AS since, d AS days, c AS countries, CAST(round(p / d) AS BIGINT) AS avg_daily_humans FROM two""")
 register("c15_daily_series", lambda v: clicks.daily_series(clicks.rollup(v, "2024-01-01", "2024-01-29"), v, NOW), _MONTH + f""", stored AS (SELECT day, hits, humans, uniques FROM daily WHERE dim = 'total'
         UNION ALL SELECT CAST({_NOW} AS DATE), count(*), count(*) FILTER (WHERE NOT bot), count(DISTINCT visitor) FILTER (WHERE NOT bot) FROM today WHERE kind <> 'event')
     SELECT CAST({_NOW} AS DATE) - CAST(i AS INTEGER) AS day, coalesce(humans, 0) AS humans, coalesce(hits - humans, 0) AS bots, coalesce(uniques, 0) AS uniques FROM range(14) t(i) LEFT JOIN stored ON day = CAST({_NOW} AS DATE) - CAST(i AS INTEGER)""")

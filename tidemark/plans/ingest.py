@@ -133,13 +133,13 @@ register("x40_sectors", lambda spark, sf_dir: matching.sectors(_open(spark, sf_d
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame([("Eleven", ["customer000000011"]), ("France", ["=france"]), ("Nobody", ["nobody at all"]), ("Peru", ["peru "])], "name string, match array<string>")
+    entries = spark.createDataFrame([("Eleven", ["customer000000011"]), ("Third", ["=nation3"]), ("Nobody", ["nobody at all"]), ("Seventh", ["nation7 "])], "name string, match array<string>")
     return matching.tracker(entries, standin.postings(spark, sf_dir), standin.sources(spark, sf_dir))
 
 
 register("j6_tracker", lambda spark, sf_dir: _tracked(spark, sf_dir).select("name", "status", "live_postings"), """, live AS (SELECT company, count(*) AS n FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL GROUP BY company)
     SELECT 'Eleven' AS name, CASE WHEN count(*) > 0 THEN 'covered' ELSE 'missing' END AS status, CAST(coalesce(sum(n), 0) AS BIGINT) AS live_postings FROM live WHERE company = 'Customer#000000011'
-    UNION ALL SELECT 'France', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'france' UNION ALL SELECT 'Peru', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'peru' UNION ALL SELECT 'Nobody', 'missing', 0""")
+    UNION ALL SELECT 'Third', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_3' UNION ALL SELECT 'Seventh', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_7' UNION ALL SELECT 'Nobody', 'missing', 0""")
 register("a12_tracker_summary", lambda spark, sf_dir: matching.tracker_summary(_tracked(spark, sf_dir)))
 
 

@@ -66,7 +66,7 @@ FILTER_CASES = {
     "f14_enrollment_open": (Filters(enrollment="open"), "enrollment_required IS DISTINCT FROM true"),
     "f14_enrollment_required": (Filters(enrollment="required"), "enrollment_required"),
     "f14_enrollment_stated_open": (Filters(enrollment="stated_open"), "enrollment_required = false"),
-    "f15_city": (Filters(city="France,remote"), "coalesce(lower(city) IN ('france', 'remote'), false) OR remote OR len(list_filter(coalesce(also_in, []), lambda x: lower(x) = 'france')) > 0"),
+    "f15_city": (Filters(city="Nation_3,remote"), "coalesce(lower(city) IN ('nation_3', 'remote'), false) OR remote OR len(list_filter(coalesce(also_in, []), lambda x: lower(x) = 'nation_3')) > 0"),
     "f16_company": (Filters(company="customer#000000011"), "lower(company) = 'customer#000000011'"),
     "f17_exclude_companies": (Filters(exclude_companies="Customer#000000011, customer#000000012"), "lower(company) NOT IN ('customer#000000011', 'customer#000000012')"),
     "f18_exclude_agencies": (Filters(exclude_agencies=True), "kind <> 'agency'"),
@@ -195,5 +195,5 @@ _PAGES_SQL = """, live AS (SELECT *, list_distinct(list_concat([upper(city)], co
         UNION ALL SELECT 'theme_city', NULL, theme, page_city, count(*) FROM theme JOIN placed USING (id) WHERE theme IN ('english', 'visa', 'junior') AND place <= 6 GROUP BY theme, page_city HAVING count(*) >= 20)"""
 register("a25_landing_pages", lambda spark, sf_dir: landing.landing_pages(rows(spark, sf_dir), AS_OF), _PAGES_SQL + " SELECT kind, role, theme, city, postings FROM pages")
 register("o7_popular_pages", lambda spark, sf_dir: landing.popular(landing.landing_pages(rows(spark, sf_dir), AS_OF)), _PAGES_SQL + " SELECT * FROM pages ORDER BY postings DESC, kind, role NULLS FIRST, theme NULLS FIRST, city NULLS FIRST LIMIT 18")
-register("o7_related_pages", lambda spark, sf_dir: landing.related(landing.landing_pages(rows(spark, sf_dir), AS_OF), "building", "FRANCE"), _PAGES_SQL + """ SELECT * FROM pages WHERE coalesce(role = 'building' OR city = 'FRANCE', false) AND NOT (role IS NOT DISTINCT FROM 'building' AND city IS NOT DISTINCT FROM 'FRANCE')
+register("o7_related_pages", lambda spark, sf_dir: landing.related(landing.landing_pages(rows(spark, sf_dir), AS_OF), "building", "NATION_3"), _PAGES_SQL + """ SELECT * FROM pages WHERE coalesce(role = 'building' OR city = 'NATION_3', false) AND NOT (role IS NOT DISTINCT FROM 'building' AND city IS NOT DISTINCT FROM 'NATION_3')
     ORDER BY postings DESC, kind, role NULLS FIRST, theme NULLS FIRST, city NULLS FIRST LIMIT 14""")

@@ -40,8 +40,8 @@ register("x6_content_hash", lambda spark, sf_dir: docs(spark, sf_dir).select("do
          f"SELECT doc_id, sha256(trim(source) || chr(10) || trim({_TEXT})) AS hash FROM documents")
 register("x1_detect_city", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.detect_city(F.when(F.col("id") % 3 == 0, "Veldhoven, NL").when(F.col("id") % 3 == 1, "Den Haag").otherwise(F.col("city"))).alias("city")),
          f"WITH {POSTINGS_SQL} SELECT id, CASE id % 3 WHEN 0 THEN 'Eindhoven' WHEN 1 THEN 'The Hague' END AS city FROM postings")
-register("x2_detect_country", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.detect_country(F.col("city"), F.when(F.col("id") % 5 == 0, "nl")).alias("country")),
-         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'NL' WHEN lower(city) IN ('germany', 'france', 'united kingdom', 'romania', 'india', 'indonesia', 'japan', 'china', 'vietnam', 'egypt', 'kenya', 'argentina', 'brazil', 'canada', 'peru', 'united states') THEN 'XX' END AS country FROM postings")
+register("x2_detect_country", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.detect_country(F.when(F.col("id") % 3 == 0, "Berlin").when(F.col("id") % 3 == 1, "Remote - Netherlands").otherwise("Somewhere"), F.when(F.col("id") % 5 == 0, "nl")).alias("country")),
+         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 5 = 0 OR id % 3 = 1 THEN 'NL' WHEN id % 3 = 0 THEN 'XX' END AS country FROM postings")
 register("x3_is_remote", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.is_remote(F.when(F.col("id") % 3 == 0, "Remote (NL)").otherwise(F.col("city")), F.col("remote")).alias("remote")),
          f"WITH {POSTINGS_SQL} SELECT id, remote OR id % 3 = 0 AS remote FROM postings")
 register("x7_plausible_posted", lambda spark, sf_dir: standin.postings(spark, sf_dir).select("id", normalize.plausible_posted(F.col("posted_at"), "2001-06-01 00:00:00").alias("posted_at")),

@@ -65,7 +65,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda days: F.expr(f"o_orderdate + make_dt_interval(cast({days} as int))")
     first, last = day(_DAYS["first_seen"]), day(_DAYS["last_seen"])
     empty = F.array().cast("array<string>")
-    also = F.expr("CASE WHEN o_orderkey % 12 = 0 THEN array('FRANCE', 'GERMANY') END")
+    also = F.expr("CASE WHEN o_orderkey % 12 = 0 THEN array('NATION_3', 'NATION_8') END")
     return rows.select(
         *(F.expr(e).alias(c) for c, e in _POSTING.items()),
         first.alias("first_seen"),
@@ -142,7 +142,7 @@ POSTINGS_SQL = f"""
                CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST({_DAYS['last_seen']} + 1 AS INTEGER)) END AS closed_at,
                CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate + to_days(CAST({_DAYS['last_seen']} + 3 AS INTEGER)) END AS link_checked_at,
                coalesce(skills_required, []) AS skills_required, coalesce(skills_nice, []) AS skills_nice,
-               CASE WHEN o_orderkey % 12 = 0 THEN ['FRANCE', 'GERMANY'] END AS also_in
+               CASE WHEN o_orderkey % 12 = 0 THEN ['NATION_3', 'NATION_8'] END AS also_in
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN skills ON l_orderkey = o_orderkey
     ), sources AS (
         SELECT {_columns(_SOURCE)},
