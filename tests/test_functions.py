@@ -27,7 +27,7 @@ def test_titles_and_keys(spark):
     keys = values(spark, normalize.dedup_key, [("Adyen B.V.", "Backend Engineer", "Amsterdam"), ("Adyen", "backend engineer", "amsterdam"), ("Other", "x", None)])
     assert keys[0] == keys[1] != keys[2]
     assert values(spark, landing.slugify, ["Foo & Bar B.V.", "!!!"]) == ["foo-bar-b-v", "company"]
-    found = values(spark, positions.position, ["Test Automation Engineer", "Data-analist", "SAP ABAP Developer", "Operations & AI Traineeship", "Creative Director (CGI/AI)", "Senior Frontend Developer", "Kok", "PhD candidate", "Automation Engineer", None])
+    found = values(spark, positions.position, ["Test Automation Engineer", "Data-analist", "SAP ABAP Developer", "AI Translator", "Creative Director (CGI/AI)", "Senior Frontend Developer", "Kok", "PhD candidate", "Automation Engineer", None])
     assert found == ["qa_test", "bi_analyst", "software_engineer", "ml_engineer", "other", "frontend", "other", "phd_research", "plc_automation", "other"]
 
 

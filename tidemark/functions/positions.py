@@ -67,8 +67,16 @@ def _first(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(text.rlike(folded(rx)), F.lit(key)) for key, rx in rules))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def position(title: Column) -> Column:
     """The main part of the title is tried before all of it, and every specific type before the catch-alls."""
-    full = clean_title(title)
-    main = F.split(F.regexp_replace(full, r"\([^)]*\)?|\[[^\]]*\]?", " "), r"(?U)\s+[-–|]\s+|,\s|\s+(?:bij|at|met|with)\s+", 2)[0]
-    return F.coalesce(_first(main, SPECIFIC), _first(full, SPECIFIC), _first(main, MAIN_PART_ONLY + CATCH_ALL), _first(full, CATCH_ALL), F.lit("other"))
+
+    def of(full: Column) -> Column:
+        main = F.split(F.regexp_replace(full, r"\([^)]*\)?|\[[^\]]*\]?", " "), r"(?U)\s+[-–|]\s+|,\s|\s+(?:bij|at|met|with)\s+", 2)[0]
+        return _let(main, lambda m: F.coalesce(_first(m, SPECIFIC), _first(full, SPECIFIC), _first(m, MAIN_PART_ONLY + CATCH_ALL), _first(full, CATCH_ALL), F.lit("other")))
+
+    return _let(clean_title(title), of)
