@@ -94,9 +94,10 @@ def label_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
     ``group_size`` counts the rows of the batch that brought the digest.
     """
     rows = digest_rows(docs, id_col, text_col)
-    index.append(representatives(rows))
+    found = representatives(rows)
+    index.append(found)
     # read by file and not by bucket: with both sides dealt anew, Spark can split a hot digest
-    kept = rows.join(rows.sparkSession.read.parquet(index.path), "digest")
+    kept = rows.join(rows.sparkSession.read.schema(found.schema).parquet(index.path), "digest")
     return kept.select(
         "doc_id",
         "keep_id",
