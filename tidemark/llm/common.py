@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text handed to numpy at once, in bytes: bounds a worker's memory whatever an Arrow batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+# Freed batches go back to the system at once, so that idle workers stay small beside busy ones.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
