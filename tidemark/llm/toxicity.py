@@ -11,8 +11,8 @@ The model is fitted on a bounded, hash-chosen sample of labelled rows; scoring r
 whole, once, without a shuffle.
 
 Edge cases: a null or empty text has no features and gets the severity that the thresholds give
-alone; without labelled rows of both kinds every severity is 0; repeated labels of a text count as
-often as they occur; an empty table gives an empty result; other columns stay as they are.
+alone; without labelled rows of both kinds every severity is 0; of equal texts one is learned from;
+an empty table gives an empty result; other columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -67,12 +67,13 @@ def feature_counts(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, n
     return pair // max(len(features), 1), pair % max(len(features), 1), count
 
 
-def fit_cumulative(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int, ridge: float = 1e-6, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int, prior: float = 0.3, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised likelihood of ``grade``, by Adam on the full sample.
 
     Threshold k is the first one plus a sum of k positive gaps, so the order holds throughout.
     """
     n = len(grade)
+    ridge = prior / n  # a prior of fixed width on each weight: words of few texts stay weak however large the sample
     share = [(np.sum(grade > k) + 1) / (n + 2) for k in range(n_grades - 1)]
     theta = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + np.arange(n_grades - 1) * 1e-3)
     free = np.concatenate([np.zeros(n_features), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
@@ -99,7 +100,7 @@ def fit_cumulative(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade
     return free[:n_features], free[n_features] + np.concatenate([[0], np.cumsum(np.exp(free[n_features + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_z: float = 4.5, min_texts: int = 4) -> SeverityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_z: float = 5.0, min_texts: int = 5) -> SeverityModel:
     """Learn from at most ``max_labelled`` labelled documents, those of the smallest hashes."""
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     n = marked.count()
@@ -107,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * max_labelled / n * (1 << 20))).limit(max_labelled)
     # at most max_labelled pairs of an id and a flag: small by that bound
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    sample = sample.dropDuplicates(["text"])  # copies of one text would speak for its rare words
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
