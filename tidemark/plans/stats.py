@@ -86,7 +86,7 @@ for _name, (_filter, _condition) in FILTER_CASES.items():
     _open = "true" if _filter.include_closed else "closed_at IS NULL"
     register(_name, lambda spark, sf_dir, f=_filter: f.apply(rows(spark, sf_dir), AS_OF).select("id"), f"SELECT id FROM rows WHERE {_open} AND ({_condition})")
 
-register("f11_position", lambda spark, sf_dir: Filters(position="software_engineer,other").apply(_positioned(spark, sf_dir), AS_OF).select("id"), "SELECT id FROM rows WHERE closed_at IS NULL")
+register("f11_position", lambda spark, sf_dir: Filters(position="software_engineer,other").apply(_positioned(spark, sf_dir), AS_OF).select("id"), "SELECT id FROM rows WHERE closed_at IS NULL AND role_family <> 'automobile'")  # 'mobile' is a position of its own
 
 
 def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ for _key in stats.BREAKDOWN_KEYS:
         register(f"a6_breakdown_{_key}", lambda spark, sf_dir, k=_key: stats.breakdown(live(spark, sf_dir), k, 20),
                  f", live AS (SELECT * FROM rows WHERE closed_at IS NULL) SELECT {_value} AS key, count(*) AS count, round(count(*) / greatest((SELECT count(*) FROM live), 1), 4) AS share FROM live GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 register("a6_breakdown_position", lambda spark, sf_dir: stats.breakdown(Filters().apply(_positioned(spark, sf_dir), AS_OF), "position", 20),
-         "SELECT 'software_engineer' AS key, count(*) AS count, 1.0 AS share FROM rows WHERE closed_at IS NULL")
+         "SELECT CASE role_family WHEN 'automobile' THEN 'mobile' ELSE 'software_engineer' END AS key, count(*) AS count, round(count(*) / (SELECT count(*) FROM rows WHERE closed_at IS NULL), 4) AS share FROM rows WHERE closed_at IS NULL GROUP BY 1")
 _TREND_SQL = f""", recent AS (SELECT strftime(first_seen, '%G-W%V') AS week, skills FROM rows WHERE first_seen >= {NOW} - INTERVAL 84 DAY), named AS (SELECT week, unnest(skills) AS series FROM recent),
     total AS (SELECT week, count(*) AS count FROM recent GROUP BY week)"""
 _GRID_SQL = " SELECT 'total' AS series, week, count FROM total UNION ALL SELECT chosen.series, total.week, (SELECT count(*) FROM named n WHERE n.series = chosen.series AND n.week = total.week) FROM total, chosen"
