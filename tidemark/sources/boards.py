@@ -36,6 +36,10 @@ def _joined(values: Column, sep: str) -> Column:
     return _filled(F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), sep))
 
 
+def _stripped(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def _jobs(landing: DataFrame, schema: str, field: str | None) -> DataFrame:
     parsed = landing.select("source_id", "slug", F.from_json("payload", schema).alias("p"))
     return parsed.select("source_id", "slug", F.explode(F.col(f"p.{field}") if field else F.col("p")).alias("j"))
@@ -59,7 +63,7 @@ def lever(landing: DataFrame) -> DataFrame:
     html = F.concat(F.array("j.description"), F.flatten(F.transform(lists, lambda x: F.array(F.concat(F.lit("<h3>"), _filled(x["text"]), F.lit("</h3>")), F.concat(F.lit("<ul>"), _filled(x["content"]), F.lit("</ul>"))))), F.array("j.additional"))
     plain = F.concat(F.array("j.descriptionPlain"), F.flatten(F.transform(lists, lambda x: F.array(x["text"], F.regexp_replace(F.regexp_replace(x["content"], r"(?i)</li\s*>", "\n"), "<[^>]*>", "")))), F.array("j.additionalPlain"))
     return _raw(rows, external_id=F.col("j.id"), title=F.coalesce("j.text", F.lit("")), url=F.coalesce(_filled(F.col("j.hostedUrl")), "j.applyUrl", F.lit("")), location=F.coalesce(_filled(F.col("j.categories.location")), _joined(F.col("j.categories.allLocations"), ", ")),
-                country=F.col("j.country"), remote=F.when(F.lower("j.workplaceType") == "remote", True), description_html=F.trim(_joined(html, "\n")), description_text=F.trim(_joined(plain, "\n")), posted_at=parse_time(F.col("j.createdAt")))
+                country=F.col("j.country"), remote=F.when(F.lower("j.workplaceType") == "remote", True), description_html=_stripped(_joined(html, "\n")), description_text=_stripped(_joined(plain, "\n")), posted_at=parse_time(F.col("j.createdAt")))
 
 
 def ashby(landing: DataFrame) -> DataFrame:
