@@ -26,14 +26,17 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one, kept for the application, only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:  # a running session does not take that setting
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        folder = _OWN_DIRS[app]
     return folder.rstrip("/")
 
 
