@@ -202,7 +202,9 @@ def row_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 # Spark's own Bloom filters, whatever the sizes: rows without a partner are dropped before they are shuffled.
+# Spark builds none for a join whose smaller side it could broadcast, so that is ruled out as well.
 BLOOM_FILTERS = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "10GB",
 }
