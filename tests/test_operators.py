@@ -1,7 +1,10 @@
 """Lifecycle, duplicates, adapters, reports and streams on small inputs."""
 
 import datetime as dt
+import difflib
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -183,3 +186,66 @@ def test_streams_agree_with_batch(spark, tmp_path):
     streaming.write_once(streaming.live_sessions(timed), str(tmp_path / "sessions"), str(tmp_path / "c3")).awaitTermination()
     final = spark.read.parquet(str(tmp_path / "sessions")).count()
     assert 0 < final <= clicks.sessions(views).count()
+
+
+def bilingual_by_hand(rows, threshold=0.55, lone=0.45):
+    """Rule 4 row by row, over plain dictionaries."""
+    words = {"defensie": "defence", "onderzoeker": "researcher", "stage": "internship", "ingenieur": "engineer", "netwerk": "network"}
+
+    def language(r):
+        found = re.match(r"https?://[^/]+/(en|nl)(?:-[a-z]{2})?(?:/|$)", r["url"], re.I)
+        return found and found[1].lower()
+
+    def title(r):
+        bare = re.sub(r"^(stage|internship|afstudeerstage|graduation internship|vacature|vacancy)\s*[|:–-]\s*", "", r["title"].lower()).replace("&amp;", "&")
+        return " ".join(words.get(w, w) for w in re.findall(r"[a-z0-9àáäéèëïíóöüú]+", bare))
+
+    out = set()
+    for source in {r["source_id"] for r in rows}:
+        own = [r for r in rows if r["source_id"] == source]
+        seen = {language(r) for r in own}
+        english = {"en"} if "en" in seen else {None}
+        pairs = []
+        for n in own:
+            for e in own:
+                if language(n) == "nl" and language(e) in english and all((n[c] or "") == (e[c] or "") for c in ("company", "city")) and n["posted_at"].date() == e["posted_at"].date():
+                    a, b = (set(re.findall(r"\d[\d.,]*\d|\d{2,}", x["description"])) for x in (n, e))
+                    t, k = difflib.SequenceMatcher(None, title(n), title(e)).ratio(), len(a & b) / max(len(a | b), 1)
+                    score = 0.6 * t + 0.4 * k
+                    if (t >= 0.45 or k >= 0.9) and score >= lone:
+                        pairs.append((score, n["id"], e["id"]))
+        alone = lambda p: sum(q[1] == p[1] for q in pairs) == 1 and sum(q[2] == p[2] for q in pairs) == 1
+        used = set()
+        for p in sorted((p for p in pairs if p[0] >= threshold or alone(p)), reverse=True):
+            if not used & {p[1], -p[2]}:
+                used |= {p[1], -p[2]}
+                out.add(p[1:])
+    return out
+
+
+def bilingual_pairs(spark, rows):
+    sources = spark.createDataFrame([(k, "lever", "employer") for k in range(5)], "source_id long, ats string, kind string")
+    return {(r.dup, r.canon) for r in duplicates.bilingual(duplicates.prepared(open_rows(spark, rows), sources)).collect()}
+
+
+def test_bilingual_titles_without_numbers(spark):
+    rows = [
+        {"id": 1, "url": "https://x/nl/a", "title": "Stage | Onderzoeker defensie", "description": "geen getal"}, {"id": 2, "url": "https://x/en/b", "title": "Internship - Researcher defence", "description": "no number"},
+        {"id": 3, "source_id": 2, "url": "https://y/nl/a", "title": "Netwerk ingenieur", "description": "36 uur"}, {"id": 4, "source_id": 2, "url": "https://y/jobs/b", "title": "Network engineer", "description": "40 hours, 2.500"},
+        {"id": 5, "source_id": 3, "url": "https://z/nl/a", "title": "Kok", "description": "geen"}, {"id": 6, "source_id": 3, "url": "https://z/en/a", "title": "Director of finance", "description": "none"},
+    ]
+    assert bilingual_pairs(spark, rows) == {(1, 2), (3, 4)}
+
+
+def test_bilingual_equals_brute_force(spark):
+    draw = random.Random(4)
+    titles = ["Stage | Onderzoeker radar", "Internship: researcher radar", "Netwerk ingenieur", "Network engineer", "Scheepskwetsbaarheid", "Ship Vulnerability", "Vacature - Data ingenieur R&amp;D", "Data engineer R&D", "Kok", "Cook"]
+    languages = {0: ["/nl", "/en", "/en-gb", ""], 1: ["/nl", "", "/NL-be"], 2: ["/en", ""], 3: ["/nl", "/en"]}
+    rows = []
+    for k in range(1, 241):
+        source = draw.randrange(4)
+        at = dt.datetime(2026, 9, 1 + draw.randrange(2), draw.randrange(24))
+        text = " ".join(draw.choice(["36", "40", "2.500", "3.100,50", "7", "2026", "uur"]) for _ in range(draw.randrange(5)))
+        rows.append({"id": k, "source_id": source, "url": f"https://x{source}{draw.choice(languages[source])}/job/{k}", "title": draw.choice(titles), "city": draw.choice(["Delft", "", None]), "company": draw.choice(["Acme", "Globex"]), "posted_at": at, "description": text})
+    got = bilingual_pairs(spark, rows)
+    assert got == bilingual_by_hand([{"company": "Acme"} | r for r in rows]) and len(got) > 20

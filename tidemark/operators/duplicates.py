@@ -8,9 +8,11 @@ after the other, because a later rule leaves rows alone that an earlier one has
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import dedup_key, dutch_name, norm_company, norm_title
@@ -22,6 +24,12 @@ ATS_RANK = {"greenhouse": 0, "lever": 0, "ashby": 0, "recruitee": 0, "workable":
 # Language and country codes that sites put into paths.
 LANGUAGES = "en nl de fr es it pt pl el sv da fi no nb cs hu ro tr ja zh ko ru uk bg hr sk sl lt lv et ar he th vi id br cn jp kr se dk cz gr ua gb us be at ch".split()
 STUB_LENGTH = 300
+# What bilingual sites put before a title, and Dutch words of titles with their English cognates.
+TITLE_PREFIX = r"(?iuU)^(?:stage|internship|afstudeerstage|graduation internship|vacature|vacancy)\s*[|:–-]\s*"
+COGNATES = {
+    "defensie": "defence", "onderzoeker": "researcher", "medewerker": "employee", "stage": "internship", "afdeling": "department", "coördinator": "coordinator", "ingenieur": "engineer",
+    "netwerk": "network", "militaire": "military", "energie": "energy", "materialentransitie": "materials transition", "divisie": "division", "februari": "february",
+}
 
 
 def _rank(column: str, ranks: dict[str, int], other: int) -> Column:
@@ -155,22 +163,64 @@ def same_board(rows: DataFrame, words: int = 1500) -> DataFrame:
     return scored.where(same).select("dup", "canon")
 
 
-def bilingual(rows: DataFrame) -> DataFrame:
-    """Rule 4: a Dutch and an English copy on one board, same employer, city and day, that share most numbers of their texts.
+def path_language(url: Column) -> Column:
+    """'nl' or 'en' if the address's first segment is such a language, else null."""
+    code = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://[^/]+/(en|nl|en-[a-z]{2}|nl-[a-z]{2})(?:/|$)", 1))
+    return F.when(code != "", F.left(code, F.lit(2)))
 
-    Every copy goes to its best partner and pairs only where both choose each other.
+
+def bilingual_title(title: Column) -> Column:
+    """The title's words without a prefix such as "Stage |", with Dutch cognates in English."""
+    bare = F.replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), TITLE_PREFIX, ""), F.lit("&amp;"), F.lit("&"))
+    known = F.create_map(*(F.lit(w) for pair in COGNATES.items() for w in pair))
+    return F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("([a-z0-9àáäéèëïíóöüú]+)"), F.lit(1)), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each group, which come best first, those whose two sides are both still free. Only a group's used ids are kept."""
+    group, used_dup, used_canon = None, set(), set()
+    for batch in batches:
+        dups, canons = [], []
+        for g, dup, canon in zip(batch["g"].to_pylist(), batch["dup"].to_pylist(), batch["canon"].to_pylist()):
+            if g != group:
+                group, used_dup, used_canon = g, set(), set()
+            if dup in used_dup or canon in used_canon:
+                continue
+            used_dup.add(dup)
+            used_canon.add(canon)
+            dups.append(dup)
+            canons.append(canon)
+        yield pa.RecordBatch.from_arrays([pa.array(dups, pa.int64()), pa.array(canons, pa.int64())], names=["dup", "canon"])
+
+
+def bilingual(rows: DataFrame, threshold: float = 0.55, lone_threshold: float = 0.45) -> DataFrame:
+    """Rule 4: a Dutch and an English copy on one board, same employer, city and day, by their titles and the numbers of their texts.
+
+    Score: 0.6 of the titles' ratio and 0.4 of the shared numbers. ``threshold`` is enough, and for two copies that have no other
+    plausible partner ``lone_threshold``. One-to-one, best score first. Where a board has /nl/ pages, none under /en/ and others without a
+    language, these others are the English ones.
     """
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    lang = path_language(F.col("url"))
+    sites = rows.groupBy("source_id").agg(F.bool_or(lang.eqNullSafe(F.lit("nl"))).alias("_nl"), F.bool_or(lang.eqNullSafe(F.lit("en"))).alias("_en")).where("_nl").select("source_id", "_en")
     day = F.to_date(F.coalesce("posted_at", "first_seen"))
-    numbers = F.array_distinct(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(r"([0-9]{2,})"), F.lit(1)))
-    base = rows.where(F.col("lang_rank").isin(0, 2)).select("source_id", "company", "city", day.alias("day"), "id", "lang_rank", numbers.alias("numbers"))
-    nl = base.where("lang_rank = 2").select("source_id", "company", "city", "day", F.col("id").alias("dup"), F.col("numbers").alias("n_numbers"))
-    en = base.where("lang_rank = 0").select("source_id", "company", "city", "day", F.col("id").alias("canon"), F.col("numbers").alias("e_numbers"))
-    on = [nl[c].eqNullSafe(en[c]) for c in ("source_id", "company", "city", "day")]
-    score = F.size(F.array_intersect("n_numbers", "e_numbers")) / F.greatest(F.size(F.array_union("n_numbers", "e_numbers")), F.lit(1))
-    pairs = nl.join(en, on).select("dup", "canon", score.alias("score")).where("score >= 0.5")
-    best_dup = pairs.groupBy("dup").agg(F.max_by("canon", F.struct("score", -F.col("canon"))).alias("canon"))
-    best_canon = pairs.groupBy("canon").agg(F.max_by("dup", F.struct("score", -F.col("dup"))).alias("dup"))
-    return best_dup.join(best_canon, ["dup", "canon"])
+    numbers = F.array_distinct(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(r"(?U)(\d[\d.,]*\d|\d{2,})"), F.lit(1)))
+    side = F.coalesce(lang, F.when(~F.col("_en"), "en"))
+    base = rows.join(sites, "source_id").select("source_id", "company", F.coalesce("city", F.lit("")).alias("city"), day.alias("day"), "id", side.alias("side"), bilingual_title(F.col("title")).alias("title"), numbers.alias("numbers")).where("day is not null")
+    keys = ["source_id", "company", "city", "day"]
+    nl = base.where("side = 'nl'").select(*keys, F.col("id").alias("dup"), F.col("title").alias("n_title"), F.col("numbers").alias("n_numbers"))
+    en = base.where("side = 'en'").select(*(F.col(k).alias(f"e_{k}") for k in keys), F.col("id").alias("canon"), F.col("title").alias("e_title"), F.col("numbers").alias("e_numbers"))
+    shared = F.size(F.array_intersect("n_numbers", "e_numbers")) / F.greatest(F.size(F.array_union("n_numbers", "e_numbers")), F.lit(1))
+    met = nl.join(en, [nl[k].eqNullSafe(en[f"e_{k}"]) for k in keys]).select(F.xxhash64(*keys).alias("g"), "dup", "canon", shared.alias("shared"), ratio("n_title", "e_title").alias("ratio"))
+    scored = met.where("ratio >= 0.45 or shared >= 0.9").select("g", "dup", "canon", (0.6 * F.col("ratio") + 0.4 * F.col("shared")).alias("score")).where(F.col("score") >= lone_threshold)
+    others = lambda column: F.count(F.lit(1)).over(Window.partitionBy("g", column))
+    plausible = scored.repartition("g").withColumns({"n_dup": others("dup"), "n_canon": others("canon")}).where((F.col("score") >= threshold) | ((F.col("n_dup") == 1) & (F.col("n_canon") == 1)))
+    best_first = plausible.select("g", F.col("dup").cast("long"), F.col("canon").cast("long"), "score").sortWithinPartitions("g", F.desc("score"), F.desc("dup"), F.desc("canon"))
+    return best_first.mapInArrow(_greedy, "dup long, canon long")
 
 
 def resolve_roots(links: DataFrame) -> DataFrame:
