@@ -109,6 +109,22 @@ def test_same_board_rule(spark):
     assert got[3][0] is None
 
 
+def test_same_board_words_and_skills(spark):
+    long = [f"word{k}" for k in range(200)]
+    changed = " ".join([*long[:140], *(f"other{k}" for k in range(60))])
+    text, loud = " ".join(long), "* " + ", ".join(w.upper() for w in long)
+    pair = lambda k, city, one, two: [{"id": k, "url": f"https://x/{city}a", "city": city, "is_tech": True} | one, {"id": k + 1, "url": f"https://x/{city}b", "city": city, "is_tech": True} | two]
+    rows = [
+        *pair(1, "Delft", {"description": text}, {"description": loud, "seniority": "junior"}),
+        *pair(3, "Breda", {"description": text}, {"description": changed}),
+        *pair(5, "Emmen", {"description": text}, {"description": changed, "seniority": "junior"}),
+        *pair(7, "Assen", {"description": text, "skills_required": ["a"], "skills_nice": ["b", "c"]}, {"description": changed, "skills_required": ["a"], "skills_nice": ["d"]}),
+        *pair(9, "Venlo", {"description": text, "skills_required": ["a"]}, {"description": changed, "skills_nice": ["a"]}),
+    ]
+    found = {frozenset((r.dup, r.canon)) for r in duplicates.same_board(duplicates.prepared(open_rows(spark, rows), spark.createDataFrame([(1, "lever", "employer")], "source_id long, ats string, kind string"))).collect()}
+    assert found == {frozenset(p) for p in ((1, 2), (3, 4), (7, 8))}
+
+
 def test_roots_follow_chains(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], "dup long, canon long")
     assert {r.dup: r.root for r in duplicates.resolve_roots(links).collect()} == {5: 1, 4: 1, 3: 1, 2: 1, 9: 8}

@@ -8,6 +8,7 @@ after the other, because a later rule leaves rows alone that an earlier one has
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -141,22 +142,26 @@ def _ratio(a: list[str], b: list[str], floor: float) -> float:
     return match.ratio()
 
 
+def _words(text: str, most: int) -> list[str]:
+    return re.findall(r"\w+", text.lower())[:most]
+
+
 def same_board(rows: DataFrame, words: int = 1500) -> DataFrame:
     """Rule 7: one board, title and city, tech rows only: a stub beside a full text, two languages, nearly the same words, or the same facts."""
     tech = rows.where("is_tech").withColumn("text", F.coalesce("description", F.lit("")))
     order = F.struct(F.length("text") < STUB_LENGTH, ~F.col("posting_language").eqNullSafe("en"), -F.unix_micros(F.coalesce("posted_at", "first_seen").cast("timestamp")), "id")
-    facts = ["text", "posting_language", "skills_required", "skills_nice", "seniority", "years_experience", "role_family"]
+    facts = ["text", "posting_language", "skills_required", "seniority", "years_experience", "role_family"]
     pairs = winners(tech, ["source_id", "key"], order, facts)
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_ratio(x.split()[:words], y.split()[:words], 0.6) for x, y in zip(a, b)])
+        return pd.Series([_ratio(_words(x, words), _words(y, words), 0.6) for x, y in zip(a, b)])
 
     stub = (F.length("dup_text") < STUB_LENGTH) != (F.length("canon_text") < STUB_LENGTH)
     languages = F.array_sort(F.array("dup_posting_language", "canon_posting_language")) == F.array(F.lit("en"), F.lit("nl"))
-    of = lambda side: F.array_distinct(F.concat(f"{side}_skills_required", f"{side}_skills_nice"))
+    of = lambda side: F.coalesce(f"{side}_skills_required", F.array().cast("array<string>"))
     shared, all_of = F.size(F.array_intersect(of("dup"), of("canon"))), F.size(F.array_union(of("dup"), of("canon")))
-    alike = (all_of > 0) & (shared / F.greatest(all_of, F.lit(1)) >= 0.8)
+    alike = (all_of == 0) | (shared / F.greatest(all_of, F.lit(1)) >= 0.8)  # two postings without skills have the same ones
     facts_equal = alike & F.col("dup_seniority").eqNullSafe(F.col("canon_seniority")) & F.col("dup_years_experience").eqNullSafe(F.col("canon_years_experience")) & F.col("dup_role_family").eqNullSafe(F.col("canon_role_family"))
     scored = pairs.withColumn("ratio", similarity("canon_text", "dup_text"))
     same = F.coalesce(stub, F.lit(False)) | F.coalesce(languages, F.lit(False)) | (F.col("ratio") >= 0.9) | ((F.col("ratio") >= 0.6) & F.coalesce(facts_equal, F.lit(False)))
