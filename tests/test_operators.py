@@ -265,3 +265,15 @@ def test_bilingual_equals_brute_force(spark):
         rows.append({"id": k, "source_id": source, "url": f"https://x{source}{draw.choice(languages[source])}/job/{k}", "title": draw.choice(titles), "city": draw.choice(["Delft", "", None]), "company": draw.choice(["Acme", "Globex"]), "posted_at": at, "description": text})
     got = bilingual_pairs(spark, rows)
     assert got == bilingual_by_hand([{"company": "Acme"} | r for r in rows]) and len(got) > 20
+
+
+def test_names_inside_names(spark):
+    rows = [(1, "Philips Lighting"), (2, "Philipslighting"), (3, "Bookingcom"), (4, "IJsbooking"), (5, "ING Bank"), (6, "Stingray"), (7, ""), (8, "Ahold")]
+    postings = spark.createDataFrame([(k, c, "Data Engineer", None, None) for k, c in rows], "id long, company string, title string, closed_at timestamp_ntz, duplicate_of long")
+    names = ["Philips", "Booking", "Stingrays of Delft", "ING", "Koninklijke Aholdconcern", "", "Globex"]
+    sample = spark.createDataFrame([(k, "Data Engineer", c) for k, c in enumerate(names)], "id long, title string, company string")
+    got = {names[r.id]: (r.employer_known, r.matched_id) for r in matching.match_sample(sample, postings).collect()}
+    plain = [(k, c.lower()) for k, c in rows]
+    inside = lambda a, b: bool(a and b) and (a == b or len(a) >= 5 and a in b or len(b) >= 5 and b in a)
+    want = {n: min((k for k, c in plain if inside(n.lower(), c)), default=None) for n in names}
+    assert got == {n: (k is not None, k) for n, k in want.items()} and want["Philips"] == 1 and want["Booking"] == 3

@@ -102,18 +102,32 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
+def contained_names(small: DataFrame, big: DataFrame, n: int = 5) -> DataFrame:
+    """small, big: the names of one column each, of which the first, of ``n`` letters at least, lies in the second.
+
+    All runs of ``n`` letters of a contained name are in the other too; they meet by the one that is in fewest of the others.
+    """
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(F.col(c), i, F.lit(n)))))
+    others = big.where(F.length("big") >= n).select("big", runs("big").alias("run"))
+    often = others.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
+    own = small.where(F.length("small") >= n).select("small", runs("small").alias("run")).join(often, "run", "left")
+    rarest = own.groupBy("small").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)), "run")).alias("run"))
+    return rarest.join(others, "run").where(F.contains("big", F.col("small"))).select("small", "big")
+
+
 def match_sample(sample: DataFrame, postings: DataFrame) -> DataFrame:
     """The sample (id, title, company) with employer_known and matched_id, the smallest posting that fits.
 
-    The distinct keys of the sample and of the postings meet by their first words; names contained in
-    others without sharing a first word are found by any word of five letters and more.
+    The distinct keys of the sample and of the postings meet if they are equal, or if one of five letters
+    and more lies in the other, at any place.
     """
     asked = sample.select("id", "title", "company").withColumns({"key": company_key(F.col("company")), "t": norm_title(F.col("title"))})
     live = postings.where("closed_at is null and duplicate_of is null").select(F.col("id").alias("pid"), company_key(F.col("company")).alias("pkey"), norm_title(F.col("title")).alias("pt"))
-    words = lambda c: F.explode(F.filter(F.split(c, " "), lambda w: w != ""))
-    left, right = asked.select("key").distinct().select("key", words("key").alias("w")), live.select("pkey").distinct().select("pkey", words("pkey").alias("w"))
-    contained = ((F.length("key") >= 5) & F.contains("pkey", F.col("key"))) | ((F.length("pkey") >= 5) & F.contains("key", F.col("pkey")))
-    keys = left.join(right, "w").where((F.col("key") == F.col("pkey")) | contained).select("key", "pkey").distinct()
+    left, right = (keys.where(F.col(c) != "").distinct() for keys, c in ((asked.select("key"), "key"), (live.select("pkey"), "pkey")))
+    within = contained_names(left.toDF("small"), right.toDF("big")).toDF("key", "pkey")
+    around = contained_names(right.toDF("small"), left.toDF("big")).select(F.col("big").alias("key"), F.col("small").alias("pkey"))
+    equal = left.join(right, F.col("key") == F.col("pkey"))
+    keys = equal.unionByName(within).unionByName(around).distinct()
     pairs = asked.join(keys, "key").join(live, "pkey")
     same = (F.col("t") == F.col("pt")) | ((F.length("t") >= 12) & F.contains("pt", F.col("t"))) | ((F.length("pt") >= 12) & F.contains("t", F.col("pt")))
     hit = pairs.withColumn("ratio", F.when(same, 1.0).otherwise(title_ratio("t", "pt"))).where("t <> '' and pt <> '' and ratio >= 0.8")
