@@ -277,3 +277,17 @@ def test_names_inside_names(spark):
     inside = lambda a, b: bool(a and b) and (a == b or len(a) >= 5 and a in b or len(b) >= 5 and b in a)
     want = {n: min((k for k, c in plain if inside(n.lower(), c)), default=None) for n in names}
     assert got == {n: (k is not None, k) for n, k in want.items()} and want["Philips"] == 1 and want["Booking"] == 3
+
+
+def test_sectors_from_own_words(spark):
+    job = "Requirements\n" + "- lending, bank and pension code, day after day\n" * 60
+    about = "About us\nAcme runs a hospital and cares for patients."
+    rows = [
+        (1, "Acme", job + about, True, None), (2, "Bolt", "You will build software for a bank with insurance.\n" + about, True, None), (3, "Cure", "Cure develops vaccines.", True, None), (4, "Care", "Care helps people.", True, None),
+        *((k, "Dyn", "Dyn is a bank that sells insurance.", False, None) for k in range(5, 10)), (10, "Dyn", "Dyn is a bank that sells insurance.", True, 5), (11, "Dyn", "Dyn is a hospital for patients.", True, None), (12, "Gone", "x", False, None),
+    ]
+    postings = spark.createDataFrame([(k, 1, *r, None) for k, *r in rows], "id long, source_id long, company string, description string, is_tech boolean, duplicate_of long, closed_at timestamp_ntz")
+    sources = spark.createDataFrame([(1, "employer")], "source_id long, kind string")
+    fragments = spark.createDataFrame([("cure", "health"), ("care", "health")], "fragment string, sector string")
+    found = matching.sectors(postings, sources, spark.createDataFrame([], "company string, sector string"), fragments, {"finance": "bank|insurance|lending|pension", "health": "hospital|patients"}).collect()
+    assert {r.company: (r.sector, r.found_by) for r in found} == {"Acme": ("health", "text"), "Bolt": ("health", "text"), "Cure": ("pharma", "list+text"), "Care": ("health", "list"), "Dyn": ("health", "text")}

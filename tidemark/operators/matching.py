@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.employers import self_description
 from tidemark.functions.normalize import folded, norm_company, norm_title
 from tidemark.operators.filters import Filters
 from tidemark.operators.stats import match_score
@@ -48,16 +49,27 @@ def text_sector(text: Column, patterns: dict[str, str]) -> Column:
     return F.when((first["n"] >= 2) & (first["n"] >= second + 1) & (first["n"] >= 1.5 * second), first["s"])
 
 
-def sectors(postings: DataFrame, sources: DataFrame, curated: DataFrame, fragments: DataFrame, patterns: dict[str, str], intros: int = 5, intro_chars: int = 2000) -> DataFrame:
-    """company, sector, found_by of every employer: curated, listed, agency, own words, or other."""
-    rows = postings.join(sources.select("source_id", "kind"), "source_id")
+# What tells a drug maker from a hospital among employers that the lists call "health".
+PHARMA = r"pharma|biotech|life sciences?|biopharma|geneesmiddel|medicines?|drug (?:discovery|development)|vaccin|therapeutics|clinical[- ]stage|diagnostics"
+
+
+def sectors(postings: DataFrame, sources: DataFrame, curated: DataFrame, fragments: DataFrame, patterns: dict[str, str], intros: int = 5, intro_chars: int = 2000, read_chars: int = 12_000) -> DataFrame:
+    """company, sector, found_by of every employer with live tech postings: curated, listed, agency, own words, or other.
+
+    Own words are what ``intros`` postings say about the employer within their first ``read_chars`` characters, ``intro_chars`` each at most.
+    """
+    rows = postings.where("closed_at is null and duplicate_of is null and is_tech").join(sources.select("source_id", "kind"), "source_id")
     nth = F.row_number().over(Window.partitionBy("company").orderBy("id"))
     few = rows.withColumn("nth", nth).where(F.col("nth") <= intros)
-    own = few.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.left("description", F.lit(intro_chars)).alias("t")))), lambda x: x["t"]), "\n").alias("intro"), F.min_by("kind", "nth").alias("kind"))  # at most ``intros`` a company
+    few = few.withColumn("intro", self_description("company", F.left("description", F.lit(read_chars)), F.lit(intro_chars)))
+    own = few.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col("intro").alias("t")))), lambda x: x["t"]), "\n").alias("intro"), F.min_by("kind", "nth").alias("kind"))  # at most ``intros`` a company
     found = own.join(small(curated.select("company", F.col("sector").alias("c"))), "company", "left").join(listed_sectors(own, fragments).withColumnRenamed("sector", "l"), "company", "left")
     word = text_sector(F.concat_ws("\n", "company", "intro"), patterns)
     agency = F.col("kind") == "agency"
-    return found.select("company", F.coalesce("c", "l", F.when(agency, "staffing"), word, F.lit("other")).alias("sector"), F.when(F.col("c").isNotNull(), "curated").when(F.col("l").isNotNull(), "list").when(agency, "source").when(word.isNotNull(), "text").otherwise("none").alias("found_by"))
+    pharma = (F.col("l") == "health") & F.concat_ws(" ", "company", "intro").rlike(folded(PHARMA))
+    sector = F.coalesce("c", F.when(pharma, "pharma"), "l", F.when(agency, "staffing"), word, F.lit("other"))
+    found_by = F.when(F.col("c").isNotNull(), "curated").when(pharma, "list+text").when(F.col("l").isNotNull(), "list").when(agency, "source").when(word.isNotNull(), "text").otherwise("none")
+    return found.select("company", sector.alias("sector"), found_by.alias("found_by"))
 
 
 def tracker(entries: DataFrame, postings: DataFrame, sources: DataFrame) -> DataFrame:
