@@ -223,3 +223,16 @@ def test_pipeline_stages(spark):
             assert len(kept) > 0.95 * len(rows)
         docs = after
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == docs.count()
+
+
+def test_html_keeps_what_stands_beside_the_largest_part():
+    from tidemark.llm import htmlextract
+
+    lead, body = "The lead says what this is about. " * 3, "The long body of the article goes on. " * 20
+    inner = f"<p>{lead}</p><div class='body'><p>{body}</p></div>"
+    for page in (f"<body><nav>Menu words here</nav><article><h1>Title</h1>{inner}</article></body>", f"<body><nav>Menu words here</nav><div id='x'><h1>Title</h1>{inner}</div></body>"):
+        text, _ = htmlextract.text_of(htmlextract.parse(page), None)
+        assert text.split("\n\n") == ["Title", lead.strip(), body.strip()]
+    other = htmlextract.parse(f"<body><article class='teaser'><p>Short words only.</p></article><main><p>{body}</p></main></body>")
+    teaser = next(other.path(n) for n in range(1, len(other.label)) if other.tag[n] == "article")
+    assert htmlextract.text_of(other, [teaser])[0].endswith(body.strip())

@@ -181,8 +181,8 @@ def _counts(page: Page, node: int, within: int) -> bool:
     return True
 
 
-def best_container(page: Page, share: float = 0.8) -> tuple[int, float]:
-    """The deepest container that holds ``share`` of the page's scored text, and its score. A block scores its characters outside links."""
+def scored(page: Page) -> tuple[dict[int, float], float]:
+    """The score of each container, and of the page. A block scores its characters outside links."""
     score: dict[int, float] = {}
     total = 0.0
     for node, text, links in page.blocks:
@@ -194,15 +194,35 @@ def best_container(page: Page, share: float = 0.8) -> tuple[int, float]:
             if page.tag[node] in _CONTAINER:
                 score[node] = score.get(node, 0.0) + own
             node = page.parent[node]
+    return score, total
+
+
+def best_container(page: Page, share: float = 0.8) -> tuple[int, float]:
+    """The container of the article, and its score.
+
+    From the deepest container with ``share`` of the page's scored text it goes up to the outermost article or main around
+    it, or without one to the first container that holds all scored text, so that no part beside that deepest one is lost.
+    """
+    score, total = scored(page)
     best = 0
     for node in sorted(score):  # children come after their parents
         if score[node] >= share * total and total > 0:
             best = node
+    around, node = 0, best
+    while node > 0:
+        if page.tag[node] in ("article", "main"):
+            around = node
+        node = page.parent[node]
+    if around:
+        best = around
+    else:
+        while best > 0 and score.get(best, 0.0) < total * (1 - 1e-9):
+            best = page.parent[best]
     return best, score.get(best, total)
 
 
 def text_of(page: Page, paths: list[str] | None) -> tuple[str, str]:
-    """The text under the first of ``paths`` that holds any, else under the page's own best container; and the path used."""
+    """The text under the first of ``paths`` that holds as much scored text as the page's own best container, else under that; and the path used."""
 
     def under(roots: set[int]) -> str:
         kept = []
@@ -214,15 +234,16 @@ def text_of(page: Page, paths: list[str] | None) -> tuple[str, str]:
                 kept.append(text)
         return "\n\n".join(kept)
 
+    best, most = best_container(page)
     if paths:
+        score, _ = scored(page)
         by_path: dict[str, set[int]] = {}
         for node in range(1, len(page.label)):
             if page.tag[node] in _CONTAINER and not page.noise[node]:
                 by_path.setdefault(page.path(node), set()).add(node)
         for path in paths:
-            if path in by_path and (text := under(by_path[path])):
+            if path in by_path and sum(score.get(n, 0.0) for n in by_path[path]) >= most * (1 - 1e-9) and (text := under(by_path[path])):
                 return text, path
-    best, _ = best_container(page)
     return under({best}), page.path(best)
 
 
