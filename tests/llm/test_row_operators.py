@@ -123,9 +123,8 @@ def family(seed, n, size=60, edits=4):
     return out
 
 
-@pytest.mark.parametrize("small, block, column", [(64, 1000, 100_000), (3, 7, 100_000), (3, 7, 5)])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, small, block, column):
-    monkeypatch.setattr(ngramjoin, "SMALL_ROWS", small)
+@pytest.mark.parametrize("block, column", [(1000, 100_000), (7, 100_000), (7, 5)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, block, column):
     monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", block)
     monkeypatch.setattr(ngramjoin, "COLUMN_ROWS", column)
     texts = family(1, 30) + family(2, 25, 40, 3) + family(3, 8, 9, 1) + ["one two", "One  two", "", None, "five words are right here", "five words are right HERE"] + family(1, 3)

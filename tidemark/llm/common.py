@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one, kept for the application, only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # a running session does not take that setting
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -40,12 +42,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Spark deletes a statement's shuffle files as soon as the statement has ended, not when the driver next collects garbage.
+FREED_SHUFFLES = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read back: cuts lineage in a way that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession).put(df, name)
+
+
+class Stored:
+    """Tables of one job in the shared folder, each of which can be deleted once its last reader has ended."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        with settings(self.spark, **FREED_SHUFFLES):
+            df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names."""
+        context = self.spark.sparkContext
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
