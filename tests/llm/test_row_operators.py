@@ -86,6 +86,32 @@ def test_digest_index_persists(spark):
     assert digest.label_copies(first.limit(0), digest.fresh_index(spark)).count() == 0
 
 
+def test_digest_index_keeps_its_buckets(spark):
+    rows = frame(spark, [(k, f"text {k}") for k in range(200)])
+    path = digest.fresh_index(spark, 8).path
+    assert digest.drop_copies(rows, digest.DigestIndex(spark, path)).count() == 200
+    for buckets in (8, None):
+        again = digest.DigestIndex(spark, path, buckets)
+        assert again.buckets == 8 and again.read().count() == 200
+        found = digest.representatives(digest.digest_rows(rows))
+        assert again.new(found).count() == 0
+        assert "SortMergeJoin" in again.new(found)._jdf.queryExecution().toString()
+        assert digest.drop_copies(rows, again).count() == 0
+    for buckets in (3, 4, 16):
+        with pytest.raises(ValueError):
+            digest.DigestIndex(spark, path, buckets)
+
+
+def test_digest_rows_from_files_and_plans(spark, tmp_path):
+    rows = [(1, "a b", None), (1, "a b", None), (2, "ab", 5), (3, None, 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest long").withColumn("row", F.lit("clash"))
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs")), docs.withColumn("_metadata", F.lit(1))):
+        kept = digest.drop_copies(given, digest.fresh_index(spark, 4))
+        assert kept.columns == given.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b"), (3, None)]
+
+
 def brute_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

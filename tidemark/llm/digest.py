@@ -1,11 +1,16 @@
 """Exact deduplication against a persistent digest index.
 
 A text's digest is the SHA-256 of its UTF-8 bytes after ASCII white space is deleted. The index is a
-table bucketed and sorted by digest; a new batch is reduced to one representative per digest, a
-sort-merge anti-join drops the digests that the index holds, the rest is appended.
+table bucketed and sorted by digest, and the number of its buckets is stored beside it. A new batch is
+reduced to one representative per digest; a sort-merge anti-join, without a shuffle of the index, drops
+the digests that the index holds, and the rest is appended.
 
 Only digests travel: a hot digest is pre-aggregated before the shuffle, and the join that hands each
-row its representative has one row per digest on its other side, so Spark can split it.
+row its representative has one row per digest on its other side, so Spark can split it. A batch goes
+into the index in two halves of the digests, so a batch of any size meets an index of its own kind.
+
+Rows are told apart by the file and the position that they were read from; documents that do not come
+straight from files are stored once, with a number for each row.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other; of rows that repeat a
 doc_id and a text one stays; a null doc_id loses every tie; an empty table gives an empty result;
@@ -16,11 +21,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from tidemark.llm.common import shared_dir, written
+from tidemark.llm.common import FREED_SHUFFLES, settings, shared_dir, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -30,56 +35,75 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, ""), 256))
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_code_points and a number for each row, stored once so that later reads agree on the numbers."""
-    rows = docs.select(
+ROW = "_row_of_origin"
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and position that each row was read from; numbered and stored, where it was not read from Parquet files."""
+    origin = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.withColumn(ROW, origin)
+        except AnalysisException:  # other formats have no positions, other plans no files
+            pass
+    return written(docs.withColumn(ROW, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))), "digest-docs")
+
+
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, digest, n_code_points and what tells each row from others; to be stored once where rows have no place of origin."""
+    row = F.col(row_col) if row_col else F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return docs.select(
         F.col(id_col).alias("doc_id"),
         digest_of(F.col(text_col)).alias("digest"),
         F.coalesce(F.length(text_col), F.lit(0)).alias("n_code_points"),
-        F.monotonically_increasing_id().alias("row_no"),
+        row.alias("row"),
     )
-    return written(rows, "digest-rows")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
     """One row per digest: the longest original text, then the smallest doc_id, then the first row."""
-    best = F.min(F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no"))
+    best = F.min(F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     found = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return found.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row_no").alias("keep_row"), "group_size")
+    return found.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
 class DigestIndex:
     """A table (digest, keep_id, keep_row, group_size), bucketed and sorted by digest, in a folder that outlives the session.
 
-    ``buckets`` fixes the table's layout; choose it so that a bucket of the full index fits a task.
+    ``buckets`` fixes the layout of a new index, 16 unless given; choose it so that a bucket of the full index fits a task.
+    An index found at ``path`` keeps its own number, and another one given is an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, table: str | None = None):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = table or f"digests_{uuid.uuid4().hex}"
-        try:  # an index from an earlier session is found again by its folder
-            schema = spark.read.parquet(path).schema
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, table: str | None = None):
+        self.spark, self.path, self.table = spark, path, table or f"digests_{uuid.uuid4().hex}"
+        layout = f"{path}/_layout"  # readers of the table pass over names with an underscore
+        try:
+            self.buckets = spark.read.schema("buckets int").json(layout).first()["buckets"]
         except AnalysisException:
-            schema = None
-        if schema is not None and not spark.catalog.tableExists(self.table):
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-            spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-
-    @property
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+            self.buckets = buckets or 16
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.json(layout)
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index has {self.buckets} buckets, not {buckets}")
+        if not spark.catalog.tableExists(self.table):
+            columns = "digest binary, keep_id long, keep_row struct<file: string, at: long>, group_size long"
+            spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
     def new(self, found: DataFrame) -> DataFrame:
         """The representatives whose digest the index lacks."""
-        return found.join(self.read().select("digest").hint("merge"), "digest", "left_anti") if self.exists else found
+        return found.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, found: DataFrame) -> None:
-        """Add representatives; one file per bucket and batch."""
-        rows = self.new(found).repartition(self.buckets, "digest")
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+    def append(self, found: DataFrame) -> DataFrame:
+        """Add the representatives that the index lacks, one file per bucket and half of the digests; those that were added."""
+        added = []
+        for half in (0, 1):
+            own = found.where(F.shiftright(F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int"), 7) == half)
+            rows = written(self.new(own), "digest-new")
+            rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+            added.append(rows)
+        return added[0].unionByName(added[1])
 
 
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
@@ -93,16 +117,16 @@ def label_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
 
     ``group_size`` counts the rows of the batch that brought the digest.
     """
-    rows = digest_rows(docs, id_col, text_col)
-    found = representatives(rows)
-    index.append(found)
+    rows = written(digest_rows(docs, id_col, text_col), "digest-rows")
+    with settings(docs.sparkSession, **FREED_SHUFFLES):
+        index.append(representatives(rows))
     # read by file and not by bucket: with both sides dealt anew, Spark can split a hot digest
-    kept = rows.join(rows.sparkSession.read.schema(found.schema).parquet(index.path), "digest")
+    kept = rows.join(rows.sparkSession.read.schema(index.read().schema).parquet(index.path), "digest")
     return kept.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_no") == F.col("keep_row"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_code_points",
     )
@@ -110,8 +134,7 @@ def label_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
 
 def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, whose text neither the index nor a better row of the batch has."""
-    numbered = written(docs.withColumn("_digest", digest_of(F.col(text_col))).withColumn("_row", F.monotonically_increasing_id()), "digest-docs")
-    rows = numbered.select(F.col(id_col).alias("doc_id"), F.col("_digest").alias("digest"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_code_points"), F.col("_row").alias("row_no"))
-    added = written(index.new(representatives(rows)), "digest-new")
-    index.append(added)
-    return numbered.join(added.select(F.col("keep_row").alias("_row")), "_row", "left_semi").drop("_row", "_digest")
+    numbered = told_apart(docs)
+    rows = written(digest_rows(numbered, id_col, text_col, ROW), "digest-rows")
+    stay = index.append(representatives(rows)).select(F.col("keep_row").alias(ROW))
+    return numbered.join(stay, ROW, "left_semi").drop(ROW)
