@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import digest, langid, ngramjoin, packing, toxicity
-from tidemark.llm.common import filtered, written
+from tidemark.llm.common import Stored, filtered
 
 # SQL cannot express the models and the packing: tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -49,7 +49,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stored(spark), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored.put(stage(spark, docs, sf_dir), name)
+        stored.drop(*before)  # the last stage's documents stay for the reader of the result
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
