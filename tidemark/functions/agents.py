@@ -82,3 +82,29 @@ def search_detail(query: Column) -> Column:
     later = ~value("page").isin("", "1") | (value("ids") != "")
     parts = F.array_compact(F.array(*(F.when(~value(k).isin("", "false"), F.concat(F.lit(f"{k}="), F.left(value(k), F.lit(40)))) for k in SEARCH_KEYS)))
     return F.when(~later & (F.size(parts) > 0), F.left(F.array_join(parts, "&"), F.lit(200)))
+
+
+def recorded(requests, own_host: str, salt: Column):
+    """Page-view rows of requests (ts, path, query, method, status, ms, bytes, referer, country, ip, agent, event, detail, and what else they have); paths that are not counted go."""
+    api = (F.col("_kind") == "api") & F.col("path").isNotNull()
+    search = api & (F.col("path") == "/api/postings") & (F.col("method") == "GET")
+    found = search_detail(F.coalesce("query", F.lit("")))
+    event = F.when(search, F.when(found.isNotNull(), "search")).when(api & (F.col("path") == "/api/gap"), "gap").when(api & (F.col("path") == "/api/auth/request"), "login_request").otherwise(F.col("event"))
+    utm = F.try_url_decode(F.regexp_extract(F.coalesce("query", F.lit("")), r"(?:^|&)utm_source=([^&]*)", 1))
+    rows = requests.withColumn("_kind", F.when(F.coalesce(F.length("event"), F.lit(0)) > 0, "event").otherwise(classify_path(F.col("path")))).where("_kind is not null")
+    agent = parse_agent(F.col("agent"))
+    own = {
+        "kind": F.col("_kind"),
+        "path": F.left("path", F.lit(300)),
+        "ms": F.col("ms").cast("long"),
+        "bytes": F.coalesce(F.col("bytes").cast("long"), F.lit(0)),
+        "referrer": F.when(F.col("_kind") == "page", referrer_host(F.col("referer"), own_host)),
+        "utm_source": F.nullif(F.left(utm, F.lit(60)), F.lit("")),
+        "country": F.nullif(F.left("country", F.lit(2)), F.lit("")),
+        **{k: agent[k] for k in ("browser", "os", "device", "bot")},
+        "visitor": visitor_id(salt, F.col("ip"), F.coalesce("agent", F.lit(""))),
+        "event": event,
+        "detail": F.nullif(F.left(F.when(search, found).otherwise(F.col("detail")), F.lit(200)), F.lit("")),
+    }
+    kept = [c for c in requests.columns if c not in own and c not in ("query", "method", "referer", "ip", "agent")]
+    return rows.select(*kept, *(e.alias(c) for c, e in own.items()))

@@ -117,3 +117,29 @@ TAXONOMY = {
 def find_skills(text: Column, taxonomy: dict[str, str] = TAXONOMY) -> Column:
     """The skills whose pattern occurs in ``text``, as an array in taxonomy order."""
     return F.array_compact(F.array(*(F.when(text.rlike(folded(rx)), F.lit(name)) for name, rx in taxonomy.items())))
+
+
+# Spellings that are clear in a list of skills, though not inside a text.
+TYPED = {
+    "ai": "Machine Learning", "artificial intelligence": "Machine Learning", "genai": "LLMs", "gen ai": "LLMs", "generative ai": "LLMs", "llm": "LLMs", "large language models": "LLMs", "ml": "Machine Learning",
+    "dl": "Deep Learning", "cv": "Computer Vision", "k8s": "Kubernetes", "js": "JavaScript", "ts": "TypeScript", "golang": "Go", "node": "Node.js", "nodejs": "Node.js", "reactjs": "React", "react.js": "React",
+    "vuejs": "Vue", "postgres": "PostgreSQL", "postgresql": "PostgreSQL", "sklearn": "scikit-learn", "scikit learn": "scikit-learn", "torch": "PyTorch", "tf": "TensorFlow", "gcp": "GCP", "google cloud": "GCP",
+    "aws": "AWS", "amazon web services": "AWS", "ci": "CI/CD", "cicd": "CI/CD", "ci cd": "CI/CD", "c sharp": "C#", "csharp": "C#", "dotnet": ".NET", "cpp": "C++", "html": "HTML/CSS", "css": "HTML/CSS",
+    "rest": "REST APIs", "api": "REST APIs", "apis": "REST APIs", "observability": "Monitoring/Observability", "monitoring": "Monitoring/Observability", "prometheus": "Monitoring/Observability",
+    "grafana": "Monitoring/Observability", "scrum": "Agile/Scrum", "agile": "Agile/Scrum", "tableau": "Power BI / Tableau", "power bi": "Power BI / Tableau", "powerbi": "Power BI / Tableau",
+    "mendix": "Mendix/Low-code", "low code": "Mendix/Low-code", "ux": "UX/Design", "figma": "UX/Design", "unit testing": "Testing", "tdd": "Testing", "pytest": "Testing",
+}
+
+
+def canonical_skill(name: Column, taxonomy: dict[str, str] = TAXONOMY) -> Column:
+    """The taxonomy's name of a typed skill: itself, a known spelling, a whole match of a pattern, or the first pattern inside it; null if none fits or the name is empty."""
+    key = F.trim(F.lower(F.coalesce(name, F.lit(""))))
+    spelled = F.create_map(*(F.lit(x) for pair in (TYPED | {s.lower(): s for s in taxonomy}).items() for x in pair))
+    whole = F.array_compact(F.array(*(F.when(key.rlike(folded(rf"^(?:{rx})$")), F.lit(s)) for s, rx in taxonomy.items())))
+    return F.when(key != "", F.coalesce(F.try_element_at(spelled, key), F.get(whole, F.lit(0)), F.get(find_skills(key, taxonomy), F.lit(0))))
+
+
+def canonical_skills(names: Column, keep_unknown: bool = False, taxonomy: dict[str, str] = TAXONOMY) -> Column:
+    """The taxonomy's names of typed skills, each once, in their order; with ``keep_unknown`` others stay as typed."""
+    other = lambda n: F.nullif(F.trim(n), F.lit("")) if keep_unknown else F.lit(None).cast("string")
+    return F.array_distinct(F.array_compact(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.coalesce(canonical_skill(n, taxonomy), other(n)))))

@@ -6,7 +6,7 @@ State and snapshot are DataFrames; nothing is updated in place. The merge is one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Columns that a changed text brings along.
@@ -20,10 +20,10 @@ def _now(as_of: str) -> Column:
 
 def unique_ids(snapshot: DataFrame) -> DataFrame:
     """An id that several URLs share is replaced by the URL; of repeats the last by URL stays."""
-    urls = F.size(F.collect_set("url").over(Window.partitionBy("source_id", "external_id")))
-    rows = snapshot.withColumn("external_id", F.when(urls > 1, F.col("url")).otherwise(F.col("external_id")))
-    nth = F.row_number().over(Window.partitionBy("source_id", "external_id").orderBy(F.desc("url"), F.desc("content_hash")))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    shared = snapshot.groupBy("source_id", "external_id").agg(F.min("url").alias("_low"), F.max("url").alias("_high")).where("_low <> _high").select("source_id", "external_id", F.lit(True).alias("_shared"))
+    rows = snapshot.join(shared, ["source_id", "external_id"], "left").withColumn("external_id", F.when(F.col("_shared"), F.col("url")).otherwise(F.col("external_id"))).drop("_shared")
+    last = F.max_by(F.struct(*snapshot.columns), F.struct("url", "content_hash"))
+    return rows.groupBy("source_id", "external_id").agg(last.alias("_row")).select(*(F.col(f"_row.{c}").alias(c) for c in snapshot.columns))
 
 
 def trusted_expiry(snapshot: DataFrame, as_of: str, least: int = 5, most: float = 0.8) -> DataFrame:

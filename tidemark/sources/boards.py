@@ -9,7 +9,7 @@ from tidemark.functions.normalize import parse_time
 
 COLUMNS = ["source_id", "external_id", "title", "url", "location", "city", "country", "remote", "description_html", "description_text", "posted_at", "valid_through"]
 # Slugs of the platforms themselves.
-VENDOR_SLUGS = "www app api cdn static assets careers-analytics help support blog embed boards job-boards status docs tt feed images attachments".split()
+VENDOR_SLUGS = ("www", "app", "api", "cdn", "static", "assets", "careers-analytics", "help", "support", "blog", "embed", "boards", "job-boards", "status", "docs", "tt", "feed", "images", "attachments")
 # Where a platform's address holds the board's name.
 SLUG_PATTERNS = {
     "greenhouse": r"boards\.greenhouse\.io/([A-Za-z0-9_-]+)",
@@ -24,8 +24,10 @@ SLUG_PATTERNS = {
 
 
 def _raw(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` in the shape of COLUMNS, those not given null; columns beyond them follow."""
     kinds = {"source_id": "long", "remote": "boolean", "posted_at": "timestamp_ntz", "valid_through": "timestamp_ntz"}
-    return rows.select(*(columns.get(c, F.col("source_id") if c == "source_id" else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
+    given = {"source_id": F.col("source_id")} | columns
+    return rows.select(*(given.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in [*COLUMNS, *(c for c in columns if c not in COLUMNS)]))
 
 
 def _filled(value: Column) -> Column:
@@ -123,7 +125,7 @@ def slugs_from_text(lines: DataFrame, ats: str) -> DataFrame:
     """slug of every line of a URL index that names a board, once, without the platform's own."""
     slug = F.regexp_extract("line", "(?i)" + SLUG_PATTERNS[ats], 1)
     slug = F.lower(slug) if ats in ("recruitee", "teamtailor", "personio") else slug
-    return lines.select(slug.alias("slug")).where((F.length("slug") >= 2) & ~F.lower("slug").isin(VENDOR_SLUGS)).distinct()
+    return lines.select(slug.alias("slug")).where((F.length("slug") >= 2) & ~F.lower("slug").isin(*VENDOR_SLUGS)).distinct()
 
 
 def register_rows(pages: DataFrame) -> DataFrame:
@@ -133,15 +135,6 @@ def register_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(both).alias("r")).select("r.name", "r.number")
 
 
-def json_ld_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, posting: each JobPosting object of a page's JSON-LD scripts, alone, in a list or in a graph."""
-    kind = "`@type` string, title string, url string, datePosted string, validThrough string, description string, jobLocationType string, identifier string, hiringOrganization struct<name:string>, jobLocation string"
-    script = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)))
-    one, graph, many = F.from_json("block", kind), F.from_json("block", f"`@graph` array<struct<{_nested(kind)}>>"), F.from_json("block", f"array<struct<{_nested(kind)}>>")
-    found = pages.select("page_id", script.alias("block")).select("page_id", F.explode(F.concat(F.array(one), F.coalesce(graph["@graph"], F.array().cast(f"array<struct<{_nested(kind)}>>")), F.coalesce(many, F.array().cast(f"array<struct<{_nested(kind)}>>")))).alias("posting"))
-    return found.where(F.contains("posting.@type", F.lit("JobPosting")))
-
-
 def _nested(columns: str) -> str:
     """A column list as struct fields: the first space of every column becomes a colon."""
     depth, field, out = 0, "", []

@@ -52,16 +52,15 @@ _POSTING = {
 _DAYS = {"first_seen": "o_orderkey % 5", "last_seen": "o_orderkey % 5 + o_orderkey % 60"}
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    nation, lineitem, part = (table(spark, sf_dir, t) for t in ("nation", "lineitem", "part"))
-    brands = lineitem.select("l_orderkey", "l_partkey", "l_linenumber").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    skills = brands.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("p_brand")))).alias("skills_required"),
-        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") > 3, F.col("p_brand")))).alias("skills_nice"),
-    )
+def postings(spark: SparkSession, sf_dir: str, skills: bool = True) -> DataFrame:
+    """Postings; without ``skills`` both lists of skills are empty and their tables are not read."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
-    rows = rows.join(skills, rows.o_orderkey == skills.l_orderkey, "left")
+    if skills:
+        named = _skills(spark, sf_dir)
+        rows = rows.join(named, rows.o_orderkey == named.l_orderkey, "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("skills_required", "skills_nice")})
     day = lambda days: F.expr(f"o_orderdate + make_dt_interval(cast({days} as int))")
     first, last = day(_DAYS["first_seen"]), day(_DAYS["last_seen"])
     empty = F.array().cast("array<string>")
@@ -78,6 +77,15 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    brands = lineitem.select("l_orderkey", "l_partkey", "l_linenumber").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return brands.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("p_brand")))).alias("skills_required"),
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") > 3, F.col("p_brand")))).alias("skills_nice"),
+    )
+
+
 _SOURCE = {
     "source_id": "n_nationkey",
     "source_company": "n_name",
