@@ -9,7 +9,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text handed to numpy at once, in bytes: bounds a worker's memory whatever an Arrow batch holds.
@@ -24,6 +25,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # ASCII that is neither letter nor digit also ends a word; bytes of other scripts belong to words.
 _PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_DIGIT = np.array([48 <= b < 58 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _OWN_DIRS: dict[str, str] = {}
@@ -72,6 +74,23 @@ class Stored:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+ROW = "_row_of_origin"
+
+
+def told_apart(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``docs`` (all unless named) and ROW, the file and position that each row was read from.
+
+    Documents that were not read from Parquet files are numbered, and stored, so that every reader sees the same numbers.
+    """
+    columns = columns or ("*",)
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(ROW))
+        except AnalysisException:  # other formats have no positions, other plans no files
+            pass
+    return written(docs.select(*columns, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at")).alias(ROW)), "told-apart")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Lower the session's rows per Arrow batch, so that batches of long texts fit beside each other in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -102,10 +121,10 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         at = to
 
 
-def words(column: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, punctuation: bool = False, digits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a column of texts (large_string, no nulls), ASCII letters lower-cased.
 
-    White space ends a word, with ``punctuation`` every ASCII character but letters and digits.
+    White space ends a word, with ``punctuation`` every ASCII character but letters and digits, and without ``digits`` those too.
     Returns the lower-cased bytes, each word's start and end in them, each word's 64-bit code and
     the first word of each text (one entry more than texts).
     """
@@ -117,7 +136,8 @@ def words(column: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.n
         data[: high - low] = _LOWER[np.frombuffer(column.buffers()[2], dtype=np.uint8, count=high - low, offset=low)]
     bounds = ends_of - low
     inside = np.zeros(high - low + 1, dtype=bool)
-    inside[:-1] = ~(_PUNCT if punctuation else _SPACE)[data[: high - low]]
+    outside = _PUNCT if punctuation else _SPACE
+    inside[:-1] = ~(outside if digits else outside | _DIGIT)[data[: high - low]]
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     cut = bounds[:-1][bounds[:-1] < high - low]

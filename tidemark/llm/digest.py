@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FREED_SHUFFLES, settings, shared_dir, written
+from tidemark.llm.common import FREED_SHUFFLES, ROW, settings, shared_dir, told_apart, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -35,20 +35,6 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, ""), 256))
 
 
-ROW = "_row_of_origin"
-
-
-def told_apart(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and position that each row was read from; numbered and stored, where it was not read from Parquet files."""
-    origin = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    if "_metadata" not in docs.columns:
-        try:
-            return docs.withColumn(ROW, origin)
-        except AnalysisException:  # other formats have no positions, other plans no files
-            pass
-    return written(docs.withColumn(ROW, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))), "digest-docs")
-
-
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, digest, n_code_points and what tells each row from others; to be stored once where rows have no place of origin."""
     row = F.col(row_col) if row_col else F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
