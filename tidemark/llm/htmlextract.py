@@ -10,7 +10,9 @@ winners join the pages without a forced broadcast, Spark decides by their stored
 
 Result: the container's blocks in page order joined by two line feeds; character references decoded,
 white space inside a block made one space, line breaks too; nothing cut off. Left out: menus, page
-headers and footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader comments.
+headers and footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader comments. A
+class or id counts as furniture by all its parts; an element that is only so named, or a form, stays
+where it holds most of the page's text and no article outside it.
 
 Edge cases: null or empty html gives an empty text; a null url belongs to the host ``''``; unclosed
 and misnested tags close as in browsers' simple cases; a tag that never ends is text; ties between
@@ -37,27 +39,32 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "video", "audio", "canvas", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset"}
+_FURNITURE = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head"}
+_FORM = {"form", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTAINER = {"html", "body", "main", "article", "section", "div", "td", "center"}
-_BLOCK = _CONTAINER | _HEADINGS | _FURNITURE | {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "blockquote", "pre", "figure", "figcaption", "header", "address", "details", "summary", "hr", "hgroup", "search"}
+_BLOCK = _CONTAINER | _HEADINGS | _FURNITURE | _FORM | {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "blockquote", "pre", "figure", "figcaption", "header", "address", "details", "summary", "hr", "hgroup", "search"}
 # Start tags that end an open element of these names.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# A class or id names furniture if all its parts do, or are such as say where or what kind of box it is: "main-nav", but not "side-effects".
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|"
-    r"comments?|comment-?list|disqus|respon[ds]e?s?|replies|sidebar|side|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|skip|login|search|tags|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:ads?|adverts?|advertis\w*|sponsor\w*|promos?|promotions?|banner|cookies?|cookiebar|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|"
+    r"sidebar|side|rail|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|skip|login|search|tags|copyright|legal|disclaimer)",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:comments?|disqus|respond|responses?|replies|commentlist)", re.I)
+_NEUTRAL = re.compile(r"(?:list|box|area|wrap|wrapper|wrapping|container|block|items?|inner|outer|top|bottom|left|right|main|primary|secondary|site|global|page|posts?|articles?|links?|section|bar|panel|row|col|column|buttons?|icons?|media|form|slot|unit|text|to|content|js|thread|[0-9x]+)", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
 class Page:
     """Open elements as nodes (parent, label, furniture) and the text blocks under them."""
 
-    __slots__ = ("parent", "label", "tag", "noise", "blocks")
+    __slots__ = ("parent", "label", "tag", "own", "noise", "blocks")
 
     def __init__(self) -> None:
-        self.parent, self.label, self.tag, self.noise = [-1], [""], [""], [False]
+        self.parent, self.label, self.tag, self.own = [-1], [""], [""], [_KEPT]
+        self.noise: list[bool] = []
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
 
     def path(self, node: int) -> str:
@@ -68,23 +75,60 @@ class Page:
         return "/".join(reversed(names))
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
+_KEPT, _BY_NAME, _ALWAYS = 0, 1, 2  # whether an element is furniture: no, unless most of the page is in it, yes
+
+
+def _named(token: str) -> int:
+    """Whether a class or id speaks of furniture."""
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if x]
+    if not parts:
+        return _KEPT
+    if _COMMENTS.fullmatch(parts[0]) and all(_NEUTRAL.fullmatch(x) or _COMMENTS.fullmatch(x) for x in parts[1:]):
+        return _ALWAYS
+    noisy = [bool(_NOISE.fullmatch(x)) for x in parts]
+    if parts[-1].lower() == "footer" or any(noisy) and all(n or _NEUTRAL.fullmatch(x) for n, x in zip(noisy, parts)):
+        return _ALWAYS if any(_COMMENTS.fullmatch(x) for x in parts) else _BY_NAME
+    return _ALWAYS if all(_COMMENTS.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in parts) and any(_COMMENTS.fullmatch(x) for x in parts) else _KEPT
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int]:
     """The generalised name of an element (tag and classes, digits as N) and whether it is furniture."""
-    noise, name = tag in _FURNITURE, tag
+    noise, name = _ALWAYS if tag in _FURNITURE else _BY_NAME if tag in _FORM else _KEPT, tag
     if len(attributes) > 4:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key == "class":
                 name += "".join("." + re.sub(r"\d+", "N", x) for x in sorted(value.split())[:3])
-            if key in ("class", "id") and _NOISE.search(value) and tag not in ("html", "body", "article", "main"):
-                noise = True
+            if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                noise = max(noise, *map(_named, value.split()), _KEPT)
             elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                noise = True
+                noise = _ALWAYS
             elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                noise = True
+                noise = _ALWAYS
     return name, noise
 
 
+def _settle(page: Page) -> None:
+    """Decide which nodes are furniture: what is only named so stays if it holds most of the page's text, and no article or main stands outside it."""
+    n = len(page.parent)
+    always = [False] * n
+    for node in range(n):
+        always[node] = page.own[node] == _ALWAYS or node > 0 and always[page.parent[node]]
+    released = set()
+    if _BY_NAME in page.own:
+        held, articles = [0] * n, [int(t in ("article", "main") and not a) for t, a in zip(page.tag, always)]
+        for node, text, links in page.blocks:
+            if not always[node]:
+                held[node] += len(text) - links
+        for node in range(n - 1, 0, -1):  # children come after their parents
+            held[page.parent[node]] += held[node]
+            articles[page.parent[node]] += articles[node]
+        released = {k for k in range(n) if page.own[k] == _BY_NAME and held[0] and held[k] > 0.6 * held[0] and articles[k] == articles[0]}
+    for node in range(n):
+        own = page.own[node] == _ALWAYS or page.own[node] == _BY_NAME and node not in released
+        page.noise.append(own or node > 0 and page.noise[page.parent[node]])
+
+
 def parse(html: str) -> Page:
     page = Page()
     stack = [(0, "")]  # node of the nearest block element, tag
@@ -160,25 +204,27 @@ def parse(html: str) -> Page:
             page.parent.append(node)
             page.label.append(label)
             page.tag.append(tag)
-            page.noise.append(noise or page.noise[node])
+            page.own.append(noise)
             node = len(page.label) - 1
         if tag == "a":
             in_link += 1
         stack.append((node, tag))
     close_block()
+    _settle(page)
     return page
 
 
-def _counts(page: Page, node: int, within: int) -> bool:
-    """Whether a block under ``within`` belongs to the text: not in furniture, nor in a header but as a heading."""
-    heading = False
-    while node not in (within, -1):
-        if page.tag[node] in _HEADINGS:
-            heading = True
-        if page.tag[node] == "header" and not heading:
-            return False
+def _counts(page: Page, node: int) -> bool:
+    """Whether a block belongs to the text by its header: an article's own header does, of a page's header only headings."""
+    heading = header = False
+    while node > 0:
+        tag = page.tag[node]
+        if tag in ("article", "main"):
+            return True
+        heading |= tag in _HEADINGS
+        header |= tag == "header" and not heading
         node = page.parent[node]
-    return True
+    return not header
 
 
 def scored(page: Page) -> tuple[dict[int, float], float]:
@@ -230,7 +276,7 @@ def text_of(page: Page, paths: list[str] | None) -> tuple[str, str]:
             up = node
             while up not in roots and up > 0:
                 up = page.parent[up]
-            if up in roots and not page.noise[node] and _counts(page, node, up):
+            if up in roots and not page.noise[node] and _counts(page, node):
                 kept.append(text)
         return "\n\n".join(kept)
 
