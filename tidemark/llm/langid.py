@@ -6,9 +6,12 @@ text's score for a language is the sum of its words' logarithms. Piece probabili
 expectation maximisation over the words of a bounded, hash-chosen sample of labelled texts.
 
 Words are runs of ASCII letters and bytes of other scripts, ASCII letters lower-cased, each preceded
-by a space as the vocabulary expects; single bytes are pieces, so every word has a segmentation.
-Words of over 31 bytes are scored in stretches of 31. Scoring touches each row once, without a
-shuffle; a worker keeps the scores of words it has met, up to a fixed number.
+by a space as the vocabulary expects; digits and punctuation only part words. Single bytes are pieces,
+so every word has a segmentation. A long word, such as a sentence of a script without spaces, is cut
+at the places that no piece in it spans: no segmentation reaches across, so its probability is exactly
+the product of its stretches'. What is still long is summed in a rolling window as wide as the longest
+piece, with its scale kept apart. Scoring touches each row once, without a shuffle; a worker keeps the
+scores of words it has met, up to a fixed number.
 
 Edge cases: a null text and one without a letter get ``und`` with score 0; ties between languages go
 to the first in alphabetical order; without labelled rows everything is ``und``; repeated rows get
@@ -31,7 +34,7 @@ from tidemark.llm.common import codes, small_batches, text_chunks, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 UNKNOWN = "und"
-STRETCH = 31
+SHORT = 31  # bytes of words that are summed without a rolling window; results do not depend on it
 CACHE_WORDS = 1 << 19
 
 
@@ -43,6 +46,7 @@ class PieceTrie:
     targets: np.ndarray
     piece: np.ndarray
     size: int
+    longest: int
 
     @classmethod
     def load(cls, path: str = VOCABULARY) -> PieceTrie:
@@ -64,7 +68,7 @@ class PieceTrie:
                 node = child[key]
             ends[node] = number
         keys = np.array(sorted(child), dtype=np.int64)
-        return cls(keys, np.array([child[k] for k in keys.tolist()], dtype=np.int64), np.array(ends), len(pieces))
+        return cls(keys, np.array([child[k] for k in keys.tolist()], dtype=np.int64), np.array(ends), len(pieces), max(map(len, pieces)))
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which nodes have an edge for their byte, and where those lead."""
@@ -91,13 +95,56 @@ class PieceTrie:
                 rows, node = rows[more], node[more]
 
 
-def word_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of up to STRETCH bytes as rows, each behind a space; and their sizes."""
-    size = ends - starts
+    def stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, the long ones cut where no piece spans: bytes, starts, ends, whether a space goes before, and the text of each."""
+        text_of = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
+        lead = np.ones(len(starts), dtype=bool)
+        long = np.flatnonzero(ends - starts > SHORT)
+        if not len(long):
+            return data, starts, ends, lead, text_of
+        # the long words behind each other, each with its space
+        size = ends[long] - starts[long] + 1
+        stop = np.cumsum(size)
+        begin = stop - size
+        of = np.repeat(np.arange(len(long)), size)
+        text = data[np.maximum(np.arange(stop[-1]) - begin[of] + starts[long][of] - 1, 0)]
+        text[begin] = 32
+        spanned = np.zeros(len(text) + 1, dtype=np.int64)
+        at, node, until = np.arange(len(text)), np.zeros(len(text), dtype=np.int64), stop[of]
+        depth = 0
+        while len(at):
+            found, node = self.step(node, text[at + depth].astype(np.int64))
+            at, until = at[found], until[found]
+            depth += 1
+            if depth > 1:
+                whole = at[self.piece[node] >= 0]
+                np.add.at(spanned, whole + 1, 1)
+                np.subtract.at(spanned, whole + depth, 1)
+            more = at + depth < until
+            at, node, until = at[more], node[more], until[more]
+        cut = np.cumsum(spanned)[:-1] == 0
+        cut[begin] = True
+        own_starts = np.flatnonzero(cut)
+        own_ends = np.append(own_starts[1:], len(text))
+        rest = np.flatnonzero(ends - starts <= SHORT)
+        base = len(data)
+        return (
+            np.concatenate([data, text, np.zeros(8, dtype=np.uint8)]),
+            np.concatenate([starts[rest], own_starts + base]),
+            np.concatenate([ends[rest], own_ends + base]),
+            np.concatenate([lead[rest], np.zeros(len(own_starts), dtype=bool)]),
+            np.concatenate([text_of[rest], text_of[long][of[own_starts]]]),
+        )
+
+
+def word_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as rows, those with ``lead`` behind a space; and their sizes."""
+    size = ends - starts + lead
     width = int(size.max()) if len(size) else 0
-    at = np.minimum(starts[:, None] + np.arange(width), len(data) - 1)
+    at = np.clip(starts[:, None] - lead[:, None] + np.arange(width), 0, len(data) - 1)
     text = np.where(np.arange(width) < size[:, None], data[at], 0).astype(np.int64)
-    return np.hstack([np.full((len(size), 1), 32, dtype=np.int64), text]), size + 1
+    text[lead, 0] = 32
+    return text, size
 
 
 def forward(trie: PieceTrie, probability: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -109,15 +156,52 @@ def forward(trie: PieceTrie, probability: np.ndarray, text: np.ndarray, size: np
     return alpha
 
 
-def log_probability(trie: PieceTrie, probability: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 20000) -> np.ndarray:
+def log_forward(trie: PieceTrie, probability: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The words' log probabilities from a rolling window of prefixes; a prefix of very small probability becomes the window's new scale."""
+    width = trie.longest + 1
+    window = np.zeros((len(size), width, probability.shape[1]))
+    window[:, 0] = 1
+    scale = np.zeros((len(size), probability.shape[1]))
+    for i in range(text.shape[1]):
+        rows = np.flatnonzero(size > i)
+        small = rows[window[rows, i % width].min(axis=1) < 1e-100]
+        if len(small):
+            here = window[small, i % width]
+            scale[small] += np.log(here)
+            window[small] /= here[:, None]
+        here = window[:, i % width].copy()
+        window[rows, i % width] = 0  # the place of a prefix to come
+        node = np.zeros(len(rows), dtype=np.int64)
+        for k in range(i, text.shape[1]):
+            found, node = trie.step(node, text[rows, k])
+            rows = rows[found]
+            if not len(rows):
+                break
+            piece = trie.piece[node]
+            has = piece >= 0
+            window[rows[has], (k + 1) % width] += here[rows[has]] * probability[piece[has]]
+            more = size[rows] > k + 1
+            rows, node = rows[more], node[more]
+    return scale + np.log(window[np.arange(len(size)), size % width])
+
+
+def log_probability(trie: PieceTrie, probability: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, block: int = 20000) -> np.ndarray:
     """Words' log probabilities in each language, in blocks of words of like length."""
     out = np.zeros((len(starts), probability.shape[1]))
     order = np.argsort(ends - starts, kind="stable")
-    for k in range(0, len(order), block):
-        own = order[k : k + block]
-        text, size = word_matrix(data, starts[own], ends[own])
+    short = int(np.searchsorted((ends - starts)[order], SHORT, side="right"))
+    for k in range(0, short, block):
+        own = order[k : min(k + block, short)]
+        text, size = word_matrix(data, starts[own], ends[own], lead[own])
         alpha = forward(trie, probability, text, size)
         out[own] = np.log(alpha[np.arange(len(own)), size])
+    step = max(1, (1 << 21) // ((trie.longest + 1) * max(1, probability.shape[1])))
+    k = short
+    while k < len(order):
+        own = order[k : k + step]
+        own = own[: max(1, int(np.searchsorted((ends - starts)[own], 2 * (ends - starts)[own[0]], side="right")))]
+        out[own] = log_forward(trie, probability, *word_matrix(data, starts[own], ends[own], lead[own]))
+        k += len(own)
     return out
 
 
@@ -148,44 +232,34 @@ class LanguageModel:
     trie: PieceTrie
 
 
-def _stretches(starts: np.ndarray, ends: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into stretches; the text of each."""
-    text_of = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
-    if not len(starts) or int((ends - starts).max()) <= STRETCH:
-        return starts, ends, text_of
-    pieces = -(-(ends - starts) // STRETCH)
-    of = np.repeat(np.arange(len(starts)), pieces)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = starts[of] + nth * STRETCH
-    return begin, np.minimum(begin + STRETCH, ends[of]), text_of[of]
-
-
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 20000, rounds: int = 3, vocabulary: str = VOCABULARY, smoothing: float = 0.05) -> LanguageModel:
-    """Learn from a sample of about ``max_docs`` labelled texts, chosen by a hash of the text, and each language's ``max_words`` commonest words in it."""
+    """Learn from a sample of about ``max_docs`` labelled texts, chosen by a hash of the text, and each language's ``max_words`` commonest words in it.
+
+    Stretches of long words that no cut brings under 256 bytes are not learned from.
+    """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(500).collect()}
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language, as the model has a column a language
     languages = sorted(per_lang)
     trie = PieceTrie.load(vocabulary)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((trie.size, 0)), trie)
     # every language gets its share of the sample, so that a rare one is not lost beside a common one
     share = max_docs / len(languages)
-    chance = F.lit(0.0)
-    for lang, n in per_lang.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))).otherwise(chance)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20))
+    chance = labelled.sparkSession.createDataFrame([(lang, min(1.0, share / n)) for lang, n in per_lang.items()], "lang string, chance double")
+    sample = rows.join(F.broadcast(chance), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("chance") * (1 << 20)).drop("chance")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, chunk in text_chunks(batch["text"]):
-                data, starts, ends, _, first = words(chunk, punctuation=True)
+                data, starts, ends, _, first = words(chunk, punctuation=True, digits=False)
                 lang = batch["lang"].slice(at, len(chunk)).to_pylist()
-                begin, end, text_of = _letters(data, starts, ends, first)
+                data, begin, end, lead, text_of = trie.stretches(data, starts, ends, first)
                 keys: dict[tuple[str, bytes], int] = {}
                 raw = data.tobytes()
-                for a, b, t in zip(begin.tolist(), end.tolist(), text_of.tolist()):
-                    key = lang[t], raw[a:b]
-                    keys[key] = keys.get(key, 0) + 1
+                for a, b, space, t in zip(begin.tolist(), end.tolist(), lead.tolist(), text_of.tolist()):
+                    if b - a < 256:
+                        key = lang[t], b" " + raw[a:b] if space else raw[a:b]
+                        keys[key] = keys.get(key, 0) + 1
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.binary()), "n": pa.array(list(keys.values()), pa.int64())}
                 )
@@ -208,25 +282,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
         uses = np.zeros_like(probability)
         for k in range(0, len(order), 10000):
             own = order[k : k + 10000]
-            text, size = word_matrix(data, starts[own], ends[own])
+            text, size = word_matrix(data, starts[own], ends[own], np.zeros(len(own), dtype=bool))  # spaces are among their bytes
             uses += expected_counts(trie, probability, text, size, weight[own])
         probability = (uses + smoothing) / (uses.sum(axis=0) + smoothing * trie.size)
     seen = np.array([per_lang[lang] for lang in languages], dtype=float)
     return LanguageModel(languages, np.log(seen / seen.sum()), probability, trie)
 
 
-_DIGITS = np.zeros(256, dtype=bool)
-_DIGITS[48:58] = True
-
-
-def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of words without those that hold a digit."""
-    sums = np.concatenate([[0], np.cumsum(_DIGITS[data])])
-    begin, end, text_of = _stretches(starts, ends, first_word)
-    plain = sums[end] == sums[begin]
-    return begin[plain], end[plain], text_of[plain]
-
-
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
     small_batches(docs.sparkSession)
@@ -242,15 +304,16 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
             picked = np.full(batch.num_rows, -1)
             posterior = np.zeros(batch.num_rows)
             for at, chunk in text_chunks(batch[text_col]) if model.languages else ():
-                data, starts, ends, _, first = words(chunk, punctuation=True)
-                begin, end, text_of = _letters(data, starts, ends, first)
-                unique, where, inverse = np.unique(codes(data, begin, end), return_index=True, return_inverse=True)
+                lower, starts, ends, _, first = words(chunk, punctuation=True, digits=False)
+                data, begin, end, lead, text_of = model.trie.stretches(lower, starts, ends, first)
+                code = codes(data, begin, end) ^ np.where(lead, 0, 0x9E3779B97F4A7C15).astype(np.uint64)
+                unique, where, inverse = np.unique(code, return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
                 seen = known[place] == unique if len(known) else np.zeros(len(unique), dtype=bool)
                 own = np.empty((len(unique), len(model.languages)))
                 own[seen] = scores[place[seen]]
                 new = where[~seen]
-                own[~seen] = log_probability(model.trie, model.probability, data, begin[new], end[new])
+                own[~seen] = log_probability(model.trie, model.probability, data, begin[new], end[new], lead[new])
                 if len(known) + len(new) > CACHE_WORDS:
                     known, scores = unique[:CACHE_WORDS], own[:CACHE_WORDS]
                 elif len(new):
@@ -260,7 +323,7 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 total = np.stack([np.bincount(text_of, own[inverse, j], minlength=len(chunk)) for j in range(own.shape[1])], axis=1) + model.prior
                 best = total.argmax(axis=1)
                 sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                letters = _ascii_letters(data, chunk)
+                letters = _ascii_letters(lower, chunk)
                 for k in np.flatnonzero(~letters).tolist():
                     letters[k] = any(c.isalpha() for c in chunk[k].as_py())
                 picked[at : at + len(chunk)] = np.where(letters, best, -1)
