@@ -1,14 +1,21 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (spaces to U+2581, one in front), the
-pieces with a byte-fallback arc for every character that no piece covers, and an acceptor of piece
-sequences. Composed with an input they span a lattice of (position, last piece); the encoding is its
-shortest path in the tropical semiring.
-
-For a byte-pair model the acceptor's weight between two pieces is 0 where merging by score leaves
-their boundary standing and infinite where it does not: a sequence is what merging yields if and only
-if every neighbouring pair is. Each prefix then has exactly one path of finite weight, so the sweep
-keeps one piece per position. Which pairs stand is found by merging the pair's characters, once.
+Three machines are compiled from a model file. The normaliser rewrites characters (space to U+2581) and
+puts one mark in front. The pieces are a trie whose arcs read characters; a state in which a piece ends
+has an arc back to the start that writes the piece at its weight, and a character that no piece
+covers passes by way of its bytes. The acceptor says in which order pieces may come: its states are the
+last pieces, its arcs the next ones, with a weight.
+
+The machines are composed with an input lazily: a state of the composition is a place in the text and a
+state of the acceptor, and only states that some path reaches at finite weight are made. The encoding
+is the path of least weight, found by relaxing arcs in order of their places (sums along a path, the
+least among paths: the tropical semiring). Among paths of one weight the one whose last piece is
+longest wins, and so on towards the front.
+
+For a byte-pair model pieces weigh 0, and the acceptor's weight between two pieces is 0 where merging by
+score leaves their boundary standing and infinite where it does not: a sequence is what merging yields
+if and only if every neighbouring pair is, so one path of finite weight reaches each place. For a
+unigram model pieces weigh their negative score and every order is free.
 
 A text is cut at places that no piece can span, so equal segments are solved once; a worker keeps a
 bounded number of them. No shuffle.
@@ -39,8 +46,118 @@ KEPT_LENGTH = 48
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
+INFINITE = float("inf")
+
+
+class Normaliser:
+    """One state: an arc for each rewritten character, all others pass as they are; the way in writes ``prefix``."""
+
+    def __init__(self, arcs: dict[str, str], prefix: str):
+        self.arcs, self.prefix = {ord(c): out for c, out in arcs.items()}, prefix
+
+    def __call__(self, text: str) -> str:
+        return self.prefix + text.translate(self.arcs) if text else ""
+
+
+class Pieces:
+    """A trie as arc tables: ``next[state]`` leads on by a character, ``final[state]`` is the piece that ends there and its weight."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.final: list[tuple[str, float] | None] = [None]
+        for piece, weight in weights.items():
+            state = 0
+            for c in piece:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.final.append(None)
+                state = self.next[state][c]
+            self.final[state] = piece, weight
+        # a character without a piece of its own passes at more than any piece costs
+        self.uncovered = max([0.0, *weights.values()]) + 10.0
+
+    def arcs(self, text: str, start: int) -> list[tuple[str, float]]:
+        """The pieces that begin at ``start``, short ones first, with their weights."""
+        found, state, following, final = [], 0, self.next, self.final
+        for at in range(start, len(text)):
+            state = following[state].get(text[at])
+            if state is None:
+                break
+            if final[state]:
+                found.append(final[state])
+        if not found or len(found[0][0]) > 1:
+            found.insert(0, (text[start], self.uncovered))
+        return found
+
+
+class FreeOrder:
+    """The acceptor of a unigram model: one state, every piece may follow at no weight."""
+
+    def arc(self, state: str, piece: str) -> tuple[str, float]:
+        return "", 0.0
+
+
+class MergeOrder:
+    """The acceptor of a byte-pair model. Its states are the last pieces; arcs are made when first asked for, by merging the pair's characters."""
+
+    def __init__(self, score: dict[str, float]):
+        self.score = score
+        self.weights: dict[tuple[str, str], float] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Merging neighbours whose union is the piece of highest score, the leftmost first, until none is a piece."""
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(((self.score.get(parts[k] + parts[k + 1], -np.inf), -k) for k in range(len(parts) - 1)), default=(-np.inf, 0))
+            if best[0] == -np.inf:
+                break
+            k = -best[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def arc(self, state: str, piece: str) -> tuple[str, float]:
+        if not state:
+            return piece, 0.0
+        weight = self.weights.get((state, piece))
+        if weight is None:
+            if len(self.weights) > 1 << 20:
+                self.weights.clear()
+            weight = self.weights[state, piece] = 0.0 if self.merged(state + piece) == [state, piece] else INFINITE
+        return piece, weight
+
+
+def shortest_path(text: str, pieces: Pieces, order: FreeOrder | MergeOrder) -> tuple[float, list[str]]:
+    """The least weight of a path through the composition of ``text`` with the two machines, and its pieces."""
+    n = len(text)
+    # at each place: state of the acceptor -> (weight, where its last piece began, the state there, that piece)
+    reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
+    reached[0][""] = (0.0, 0, "", "")
+    for start in range(n):
+        here = reached[start]
+        if not here:
+            continue
+        for piece, weight in pieces.arcs(text, start):
+            there = reached[start + len(piece)]
+            for state, (cost, *_) in here.items():
+                after, extra = order.arc(state, piece)
+                total = cost + weight + extra
+                # places come in order, so of equal weights the first has the longest last piece
+                if total < INFINITE and (after not in there or total < there[after][0]):
+                    there[after] = (total, start, state, piece)
+    if not n:
+        return 0.0, []
+    state, best = min(reached[n].items(), key=lambda x: (x[1][0], x[1][1]))
+    out, (total, start, before, piece) = [], best
+    while True:
+        out.append(piece)
+        if not start:
+            return total, out[::-1]
+        _, start, before, piece = reached[start][before]
+
+
 class Transducer:
-    """Compiled from the bytes of a byte-pair model with byte fallback and the identity normaliser."""
+    """Compiled from the bytes of a byte-pair or unigram model with byte fallback and the identity normaliser."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -48,84 +165,45 @@ class Transducer:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         rules, trained = proto.normalizer_spec, proto.trainer_spec
-        if trained.model_type != 2 or not trained.byte_fallback or rules.precompiled_charsmap or rules.remove_extra_whitespaces:
-            raise ValueError("only byte-pair models with byte fallback and the identity normaliser")
-        self.prefix = SPACE if rules.add_dummy_prefix else ""
-        self.score = {p.piece: p.score for p in proto.pieces if p.type == _NORMAL}
+        if trained.model_type not in (1, 2) or not trained.byte_fallback or rules.precompiled_charsmap or rules.remove_extra_whitespaces:
+            raise ValueError("only byte-pair and unigram models with byte fallback and the identity normaliser")
+        self.normaliser = Normaliser({" ": SPACE}, SPACE if rules.add_dummy_prefix else "")
+        score = {p.piece: p.score for p in proto.pieces if p.type == _NORMAL}
         self.id = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.byte = {int(p.piece[1:-1], 16): k for k, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.surface = [
             bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else " \u2047 ".encode() if p.type == _UNKNOWN else b""
             for p in proto.pieces
         ]
-        # arcs: pieces that merging their own characters yields whole
-        self.arcs = {p for p in self.score if self.merged(p) == [p]}
-        self.longest = max(map(len, self.arcs), default=1)
-        self.stands: dict[tuple[str, str], bool] = {}
+        if trained.model_type == 2:
+            self.order = MergeOrder(score)
+            # pieces that merging their own characters never yields have no arcs
+            self.pieces = Pieces({p: 0.0 for p in score if self.order.merged(p) == [p]})
+        else:
+            self.order, self.pieces = FreeOrder(), Pieces({p: -s for p, s in score.items()})
         self.solved: dict[str, bytes] = {}
-        self.segments = re.compile(self._segments(), re.S)
+        self.segments = re.compile(self._segments(list(score)), re.S)
 
-    def _segments(self) -> str:
+    @staticmethod
+    def _segments(pieces: list[str]) -> str:
         """A pattern that cuts a text only where no piece reaches across: before spaces, around line feeds, between letters and others."""
-        numbers = "".join(sorted({c for p in self.score for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+        numbers = "".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
         letters, others = rf"[^\W\d_{re.escape(numbers)}]", rf"[\W\d_{re.escape(numbers)}]"
         letter = re.compile(letters)
-        bare = [p.lstrip(SPACE) for p in self.score]
+        bare = [p.lstrip(SPACE) for p in pieces]
         mixed = any(bool(letter.match(x)) != bool(letter.match(y)) for p in bare for x, y in zip(p, p[1:]))
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             return ".+"
-        if any("\n" in p and len(p) > 1 for p in self.score):
+        if any("\n" in p and len(p) > 1 for p in pieces):
             return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         if mixed:
             return f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
         return rf"\n|{SPACE}*{letters}+|{SPACE}*(?:(?![{SPACE}\n]){others})+|{SPACE}+"
 
-    def merged(self, text: str) -> list[str]:
-        """Merging neighbours whose union is the piece of highest score, the leftmost first, until none is a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score.get(parts[k] + parts[k + 1], -np.inf), -k) for k in range(len(parts) - 1)), default=(-np.inf, 0))
-            if best[0] == -np.inf:
-                break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def boundary(self, left: str, right: str) -> bool:
-        """Whether the acceptor lets ``right`` follow ``left``."""
-        pair = left, right
-        known = self.stands.get(pair)
-        if known is None:
-            if len(self.stands) > 1 << 20:
-                self.stands.clear()
-            known = self.stands[pair] = self.merged(left + right) == [left, right]
-        return known
-
-    def path(self, segment: str) -> list[str]:
-        """The shortest path through the segment's lattice, as pieces (or single uncovered characters)."""
-        n, arcs, longest, stands = len(segment), self.arcs, self.longest, self.stands
-        last: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            # one piece only ends the prefix's path: the order of trial is free, and short pieces are the likelier
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                piece = segment[start:end]
-                if piece in arcs or end - start == 1:
-                    if start:
-                        known = stands.get((last[start], piece))
-                        if not (self.boundary(last[start], piece) if known is None else known):
-                            continue
-                    last[end] = piece
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
     def solve(self, segment: str) -> bytes:
         """The segment's tokens as 32-bit numbers."""
         ids: list[int] = []
-        for piece in self.path(segment):
+        for piece in shortest_path(segment, self.pieces, self.order)[1]:
             known = self.id.get(piece)
             if known is None:
                 ids += [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -138,7 +216,7 @@ class Transducer:
         if not text:
             return b""
         solved = self.solved
-        segments = self.segments.findall(self.prefix + text.replace(" ", SPACE))
+        segments = self.segments.findall(self.normaliser(text))
         found = list(map(solved.get, segments))
         if None in found:
             if len(solved) >= KEPT_SEGMENTS:
@@ -156,7 +234,7 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.normaliser.prefix and text.startswith(" ") else text
 
 
 @lru_cache(2)
