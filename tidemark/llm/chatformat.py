@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A turn's marks are tokens of their own with their white space, so that no token reaches from a mark into a text.
 OPEN = {"user": "[INST] ", "assistant": "<s>", "system": "<<SYS>>\n"}
 CLOSE = {"user": " [/INST]", "assistant": "</s>", "system": "\n<</SYS>>"}
 OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE = "<<TURN>>", "<</ROLE>>", "<</TURN>>"
-CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE]
+MARKS = [*OPEN.values(), *CLOSE.values(), OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE]
+CONTROL = [mark.strip() for mark in MARKS]
 _ESCAPE = re.compile("([<\\[])(\\\\*)(" + "|".join(sorted((re.escape(c[1:]) for c in CONTROL), key=len, reverse=True)) + ")")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The public pre-tokenisation pattern that belongs to this vocabulary.
@@ -81,9 +83,9 @@ class Tokenizer:
         pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         known = {base64.b64decode(token): int(rank) for token, rank in pairs}
         first = max(known.values()) + 1
-        control = {c: first + k for k, c in enumerate(CONTROL)}
+        control = {c: first + k for k, c in enumerate(MARKS)}
         self.coder = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=known, special_tokens=control)
-        self.bytes = [b""] * (first + len(CONTROL))
+        self.bytes = [b""] * (first + len(MARKS))
         for token, rank in [*known.items(), *((c.encode(), k) for c, k in control.items())]:
             self.bytes[rank] = token
         self.size = np.array([len(b) for b in self.bytes], dtype=np.int64)
@@ -180,8 +182,8 @@ def format_conversations(conversations: DataFrame, train_roles: tuple[str, ...]
     return dealt.select("conv_id", "role", "text").mapInArrow(encode, SCHEMA)
 
 
-def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """What the formatted rows say, per conversation: turns and trained text as digests. Needs the order in which format_conversations() gives its rows."""
+def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER, in_order: bool = False) -> DataFrame:
+    """What the formatted rows say, per conversation: turns and trained text as digests. The rows may come in any order; ``in_order`` says that they are still as format_conversations() gave them."""
     spec = formatted.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +221,7 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         if done:
             yield rows()
 
-    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    dealt = formatted.select("conv_id", "part", "text", "input_ids", "loss_mask")
+    if not in_order:
+        dealt = dealt.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return dealt.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")

@@ -35,7 +35,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that tries to forge turns, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
-    return chatformat.read_back(chatformat.format_conversations(rows.unionByName(forged)))
+    return chatformat.read_back(chatformat.format_conversations(rows.unionByName(forged)), in_order=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
