@@ -2,10 +2,12 @@
 
 P(severity > k) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds; the
 result is the expected severity, the sum of those probabilities. Features are the logarithms of the
-counts of selected words and word beginnings: those whose presence goes clearly with toxicity.
+counts of selected words and of word beginnings of whole letters: those whose presence goes clearly
+with toxicity.
 
-Labels say toxic or not; grades follow from a rule: 0 not toxic, and among toxic texts 2 where the
-selected words that speak for toxicity occur at least as often as in the median one, else 1.
+Labels with a column ``grade`` (0, 1, 2) are taken as they are. Those that only say toxic or not are
+graded by a rule: 0 not toxic, and among toxic texts 2 where the selected words that speak for toxicity
+occur at least as often as in the median one, else 1.
 
 The model is fitted on a bounded, hash-chosen sample of labelled rows; scoring reads every text
 whole, once, without a shuffle.
@@ -47,13 +49,16 @@ class SeverityModel:
 
 
 def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every word and of its beginnings of PREFIXES bytes, and the text of each."""
+    """Codes of every word and of its beginnings of PREFIXES letters, and the text of each."""
     data, starts, ends, code, first = words(texts, punctuation=True)
     text_of = np.repeat(np.arange(len(texts)), np.diff(first))
     found, of = [code], [text_of]
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # where a character begins
+    at = np.searchsorted(letters, starts)
     for size in PREFIXES:
-        long = np.flatnonzero(ends - starts > size)
-        found.append(mix(codes(data, starts[long], starts[long] + size) + np.array([size], dtype=np.uint64)))
+        cut = letters[np.minimum(at + size, len(letters) - 1)] if len(letters) else starts
+        long = np.flatnonzero((at + size < len(letters)) & (cut < ends))
+        found.append(mix(codes(data, starts[long], cut[long]) + np.array([size], dtype=np.uint64)))
         of.append(text_of[long])
     return np.concatenate(found), np.concatenate(of)
 
@@ -101,14 +106,19 @@ def fit_cumulative(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_z: float = 5.0, min_texts: int = 5) -> SeverityModel:
-    """Learn from at most ``max_labelled`` labelled documents, those of the smallest hashes."""
-    marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    """Learn from at most ``max_labelled`` labelled documents, those of the smallest hashes of their ids; of several labels of an id the highest grade counts."""
+    graded = "grade" in labels.columns
+    grade = F.col("grade").cast("int") if graded else (F.col("toxic") > 0).cast("int")
+    known = "grade" if graded else "toxic"
+    marked = labels.where(f"doc_id is not null and {known} is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    marked = marked.select("doc_id", "grade", (F.col("grade") > 0).alias("toxic"))
     n = marked.count()
     if n > max_labelled:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * max_labelled / n * (1 << 20))).limit(max_labelled)
-    # at most max_labelled pairs of an id and a flag: small by that bound
+        marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # at most max_labelled rows of an id, a grade and a flag: small by that bound
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    sample = sample.dropDuplicates(["text"])  # copies of one text would speak for its rare words
+    # copies of one text would speak for its rare words: one is learned from, at the highest grade
+    sample = sample.groupBy("text").agg(F.max("grade").alias("grade")).withColumn("toxic", F.col("grade") > 0)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,20 +164,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
                 cuts = np.searchsorted(row, np.arange(len(chunk) + 1))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "toxic": batch["toxic"].slice(at, len(chunk)),
+                        "grade": batch["grade"].slice(at, len(chunk)),
                         "features": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(column, pa.int32())),
                         "counts": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(count, pa.int32())),
                     }
                 )
 
-    got = sample.mapInArrow(counted, "toxic boolean, features array<int>, counts array<int>").toArrow().combine_chunks()
+    got = sample.mapInArrow(counted, "grade int, features array<int>, counts array<int>").toArrow().combine_chunks()
     features_of, counts_of = (got[k].combine_chunks() if isinstance(got[k], pa.ChunkedArray) else got[k] for k in ("features", "counts"))
     sizes = np.diff(features_of.offsets.to_numpy())
     row, column, count = np.repeat(np.arange(len(sizes)), sizes), features_of.values.to_numpy(), counts_of.values.to_numpy()
-    toxic = np.array(got["toxic"].to_pylist(), dtype=bool)
-    evidence = np.bincount(row, count * speaks[column], minlength=len(sizes))
-    middle = np.median(evidence[toxic])
-    grade = np.where(toxic, np.where(evidence >= max(middle, 1), 2, 1), 0)
+    grade = np.clip(got["grade"].to_numpy().astype(np.int64), 0, 2)
+    if not graded:
+        evidence = np.bincount(row, count * speaks[column], minlength=len(sizes))
+        grade = np.where(grade > 0, np.where(evidence >= max(np.median(evidence[grade > 0]), 1), 2, 1), 0)
     weights, thresholds = fit_cumulative(row, column, np.log1p(count), grade, len(features), 3)
     return SeverityModel(features, weights, thresholds)
 
