@@ -3,8 +3,9 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the longest that fits
 wins. Other URLs get the verdict of boosted trees over length, depth, digit ratio, entropy, parameter
 counts, host shape and suffix statistics. The trees learn from labelled URLs, at most
-``max_labelled``; the suffix statistics come from one half of those, the trees from the other, so a
-suffix's rate never contains the row that it describes.
+``max_labelled`` distinct ones; the suffix statistics come from one half of the hosts, the trees from the
+other, so a suffix's rate never contains the row that it describes. The rates, at most one for each URL
+learned from, are joined to the rows.
 
 All of it is column expressions and Spark's own tree ensemble: no Python runs on the executors.
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
 MAX_RULES = 1_000
-MAX_SUFFIXES = 500
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 # Host words that mark a URL as unwanted where no better labels are given.
 SEED_WORDS = ["ads", "adult", "bet", "bets", "casino", "cheap", "farm", "free", "pills", "porn", "poker", "spam", "track", "win", "xxx"]
@@ -93,28 +93,24 @@ def with_features(parts: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 class UrlFilter:
-    """Boosted trees and the suffix rates they were fitted with."""
+    """Boosted trees and the suffix rates they were fitted with: rows of at most ``MAX_LABELLED`` values for each kind of suffix."""
 
-    def __init__(self, model: PipelineModel | None, constant: float, rates: dict[str, list[tuple[str, float]]], prior: float):
+    def __init__(self, model: PipelineModel | None, constant: float, rates: dict[str, DataFrame], prior: float):
         self.model, self.constant, self.rates, self.prior = model, constant, rates, prior
 
     def _with_rates(self, rows: DataFrame) -> DataFrame:
         for column, table in self.rates.items():
-            if table:
-                known = F.create_map(*[F.lit(x) for pair in table for x in pair])
-                rate = F.coalesce(F.try_element_at(known, F.col(column)), F.lit(self.prior))
-            else:
-                rate = F.lit(self.prior)
-            rows = rows.withColumn(f"{column}_rate", rate)
+            # bounded by the labelled URLs it was counted from
+            rows = rows.join(F.broadcast(table.withColumnRenamed("rate", f"{column}_rate")), column, "left").fillna(self.prior, [f"{column}_rate"])
         return rows
 
     def chance(self, parts: DataFrame, url_col: str = "url") -> DataFrame:
-        """``parts`` (with host and path) with ``block_chance``."""
-        own = parts.columns
+        """``parts`` (with host and path) with ``block_chance``; their other columns stay whatever their names."""
         if self.model is None:
             return parts.withColumn("block_chance", F.lit(self.constant))
-        scored = self.model.transform(self._with_rates(with_features(parts, url_col)))
-        return scored.select(*own, vector_to_array("probability")[1].alias("block_chance"))
+        apart = parts.select(F.col(url_col).alias("url"), "host", "path", F.struct(*parts.columns).alias("row_as_given"))
+        scored = self.model.transform(self._with_rates(with_features(apart)))
+        return scored.select(*(F.col("row_as_given").getField(c).alias(c) for c in parts.columns), vector_to_array("probability")[1].alias("block_chance"))
 
 
 def seed_labels(urls: DataFrame, words: list[str] = SEED_WORDS, url_col: str = "url") -> DataFrame:
@@ -125,13 +121,13 @@ def seed_labels(urls: DataFrame, words: list[str] = SEED_WORDS, url_col: str = "
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_iter: int = 12, max_depth: int = 4, seed: int = 7) -> UrlFilter:
-    """Learn from at most ``max_labelled`` distinct labelled URLs, chosen by hash."""
+    """Learn from at most ``max_labelled`` distinct labelled URLs, those of the smallest hashes."""
     spark = labelled.sparkSession
     rows = labelled.where("url is not null and label is not null")
-    n = rows.count()
-    if n > max_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(0.95 * max_labelled / n * (1 << 20)))
-    sample = with_features(with_parts(rows.dropDuplicates(["url"]).limit(max_labelled))).withColumn("half", F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)))
+    # of a URL with several labels the higher counts
+    one = rows.groupBy("url").agg(F.max("label").alias("label"))
+    one = one.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    sample = with_features(with_parts(one)).withColumn("half", F.pmod(F.xxhash64("host", F.lit("half")), F.lit(2)))
     sample = spark.createDataFrame(sample.toArrow())  # bounded by max_labelled; fixes the rows that the two halves hold
     total, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (blocked + 1) / (total + 2)
@@ -139,10 +135,10 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_iter: int = 1
         return UrlFilter(None, float(blocked > 0), {}, prior)
     rates = {}
     for column in ("last_word", "suffix"):
-        table = sample.where("half = 0").groupBy(column).agg(((F.sum("label") + 8 * prior) / (F.count(F.lit(1)) + 8)).alias("rate"), F.count(F.lit(1)).alias("n"))
-        rates[column] = [(r[0], float(r[1])) for r in table.orderBy(F.desc("n"), column).limit(MAX_SUFFIXES).collect()]
+        table = sample.where("half = 0").groupBy(column).agg(((F.sum("label") + 8 * prior) / (F.count(F.lit(1)) + 8)).cast("double").alias("rate"))
+        rates[column] = spark.createDataFrame(table.toArrow())  # at most a row for each URL learned from
     fitted = UrlFilter(None, 0.0, rates, prior)
-    train = fitted._with_rates(sample.where("half = 1")).select(*FEATURES, F.col("label").cast("double").alias("label")).repartition(4).cache()
+    train = fitted._with_rates(sample.where("half = 1")).select(*FEATURES, F.col("label").cast("double").alias("label")).cache()
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=seed, checkpointInterval=-1)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     if train.agg(F.countDistinct("label")).first()[0] < 2:
@@ -155,7 +151,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_iter: int = 1
 
 def judge(urls: DataFrame, model: UrlFilter, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule, block_chance and verdict."""
-    parts = with_parts(urls.drop("host", "path", "rule", "verdict", "block_chance", *FEATURES, "features", "last_word", "suffix"), url_col)
+    parts = with_parts(urls.drop("host", "path", "rule", "verdict", "block_chance"), url_col)
     name, said = rule_columns(rules)
     judged = model.chance(parts, url_col)
     by_trees = F.when(F.col("block_chance") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
