@@ -1,7 +1,9 @@
 """Language ID, toxicity, transducer, chat formatting and HTML extraction against plain references."""
 
+import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +55,50 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not text else sum(probability[number[text[:k]], j] * total(text[k:], j) for k in range(1, len(text) + 1) if text[:k] in number)
 
     data = np.frombuffer(b"ab" + bytes(8), dtype=np.uint8)
-    got = langid.log_probability(trie, probability, data, np.array([0]), np.array([2]))
+    got = langid.log_probability(trie, probability, data, np.array([0]), np.array([2]), np.array([True]))
     assert np.allclose(np.exp(got[0]), [total(b" ab", 0), total(b" ab", 1)])
 
 
+def plain_scores(model, pieces, text):
+    """Log probabilities of a text's words in each language, by a plain forward sum in logarithms over whole words."""
+    total = np.array(model.prior)
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()):
+        word = b" " + word
+        alpha = [np.zeros(len(total))]
+        for end in range(1, len(word) + 1):
+            ways = [alpha[start] + np.log(model.probability[pieces[word[start:end]]]) for start in range(max(0, end - model.trie.longest), end) if word[start:end] in pieces]
+            alpha.append(np.logaddexp.reduce(ways, axis=0))
+        total = total + alpha[-1]
+    return total
+
+
+def test_language_scores_against_plain_python(spark):
+    docs = read(spark, "documents", "/root/testdata/sf0.01").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"), max_docs=300)
+    listed = [base64.b64decode(line.split()[0]) for line in open(langid.VOCABULARY, "rb") if line.strip()]
+    pieces = {p: k for k, p in enumerate(dict.fromkeys([*listed, *(bytes([b]) for b in range(256))]))}
+    short = [r.text for r in docs.where("text is not null and n_chars < 400").orderBy("doc_id").limit(25).collect()]
+    odd = ["Donaudampfschifffahrtsgesellschaftskapitaenswitwe und so", "a" * 900, "日本語の文章には空白がありません。" * 20, "abc123def x9", "the" * 70 + "é" * 100, "z" * 31, "z" * 32, "word " * 3000]
+    rows = [(k, t) for k, t in enumerate(short + odd)]
+    got = {r.doc_id: r for r in langid.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, text in rows:
+        want = plain_scores(model, pieces, text)
+        chance = np.exp(want - np.logaddexp.reduce(want))
+        assert got[k].lang_pred == model.languages[int(want.argmax())] and abs(got[k].score - chance.max()) < 1e-6, text[:50]
+    trie = model.trie
+    for text in odd:
+        column = pa.array([text], pa.large_string())
+        data, starts, ends, _, first = common.words(column, punctuation=True, digits=False)
+        data, begin, end, lead, _ = trie.stretches(data, starts, ends, first)
+        total = langid.log_probability(trie, model.probability, data, begin, end, lead).sum(axis=0)
+        assert np.allclose(total + model.prior, plain_scores(model, pieces, text), rtol=1e-9)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"l{k:03}", f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3) for k in range(600)]
+    assert len(langid.fit(spark.createDataFrame(rows, "lang string, text string"), rounds=1).languages) == 600
+
+
 def test_language_id_accuracy_and_edges(spark):
     docs = read(spark, "documents", "/root/testdata/sf0.01").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where("not held_out"))
@@ -82,6 +124,63 @@ def test_cumulative_link_recovers_order():
     assert w[0] > 5 * abs(w[1]) and theta[0] < theta[1]
 
 
+def test_cumulative_link_against_a_plain_optimiser():
+    rng = np.random.default_rng(4)
+    n, prior = 250, 0.3
+    x = rng.poisson(0.7, (n, 4)).astype(float)
+    score = x @ np.array([1.5, -0.5, 0.0, 0.7]) + rng.logistic(size=n)
+    grade = (score > 1).astype(int) + (score > 3)
+
+    def loss(free):
+        w, theta = free[:4], np.array([free[4], free[4] + np.exp(free[5])])
+        above = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + theta)), np.zeros((n, 1))])
+        p = above[np.arange(n), grade] - above[np.arange(n), grade + 1]
+        return -np.log(p).mean() + prior / n * (w**2).sum() / 2
+
+    free = np.zeros(6)
+    for _ in range(4000):  # gradient descent with differences for slopes
+        slope = np.array([(loss(free + 1e-5 * e) - loss(free - 1e-5 * e)) / 2e-5 for e in np.eye(6)])
+        free = free - 0.5 * slope
+    row, column = np.nonzero(x)
+    w, theta = toxicity.fit_cumulative(row, column, x[row, column], grade, 4, 3, prior=prior, steps=3000, rate=0.02)
+    assert np.allclose(w, free[:4], atol=0.02) and np.allclose(theta, [free[4], free[4] + np.exp(free[5])], atol=0.02)
+
+
+def test_severity_against_plain_python(spark):
+    code = lambda word: int(common.words(pa.array([word], pa.large_string()), punctuation=True)[3][0])
+
+    def beginning(word, size):
+        column = pa.array([word[:size]], pa.large_string())
+        data, starts, ends, _, _ = common.words(column, punctuation=True)
+        return int(common.mix(common.codes(data, starts, ends) + np.array([size], dtype=np.uint64))[0])
+
+    chosen = {"idiot": 2.0, "gräss": 1.25, "nice": -1.5}
+    table = {code("idiot"): 2.0, beginning("grässlich", 5): 1.25, code("nice"): -1.5, beginning("stupidity", 4): 0.75}
+    features = np.array(sorted(table), dtype=np.uint64)
+    model = toxicity.SeverityModel(features, np.array([table[int(f)] for f in features]), np.array([1.0, 2.5]))
+    texts = ["IDIOT! you idiot, nice one", "grässliche Grässlich gräss gräs", "stupid stup stupidity", "", None, "nice " * 2000, "x" * 30_000]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        spoken = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        counts = [(2.0, spoken.count("idiot")), (1.25, sum(w.startswith("gräss") and len(w) > 5 for w in spoken)), (-1.5, spoken.count("nice")), (0.75, sum(w.startswith("stup") and len(w) > 4 for w in spoken))]
+        linear = sum(w * np.log1p(n) for w, n in counts)
+        above = 1 / (1 + np.exp(-(linear - model.thresholds)))
+        assert abs(got[k].severity - above.sum()) < 1e-9 and got[k].toxic == (above[0] >= 0.5)
+    assert chosen
+
+
+def test_toxicity_grades_and_repeats(spark):
+    rows = [(k, "bad words here" if k % 3 == 0 else "calm prose there") for k in range(90)]
+    docs = spark.createDataFrame([(k, f"{t} {chr(97 + k % 26)}{chr(97 + k // 26)}") for k, t in rows] + [(0, "bad words here aa")] * 50, "doc_id long, text string").withColumn("grade", F.lit("clash"))
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k, _ in rows] * 3 + [(None, 0, 1), (500, None, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[k].toxic == (k % 3 == 0) for k, _ in rows)
+    graded = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 2).otherwise(0).alias("grade"))
+    severe = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, graded)).collect()}
+    assert all(severe[k].grade == (2 if k % 3 == 0 else 0) for k, _ in rows)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
     train, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
@@ -107,6 +206,54 @@ def test_transducer_equals_library():
             assert machine.decode(machine.encode(text)) == text
 
 
+def test_composition_of_small_machines():
+    random.seed(8)
+    weights = {"a": 1.0, "b": 1.5, "ab": 2.0, "aba": 2.75, "ba": 2.25, "bb": 4.0, "abab": 3.5}
+    pieces = wfst.Pieces(weights)
+
+    class NoRepeat:
+        """An acceptor in which a piece that follows itself costs 0.75, and "b" never follows "ab"."""
+
+        def arc(self, state, piece):
+            return piece, wfst.INFINITE if (state, piece) == ("ab", "b") else 0.75 * (state == piece)
+
+    def paths(text, last=""):
+        if not text:
+            yield 0.0, []
+            return
+        for k in range(1, len(text) + 1):
+            piece = text[:k]
+            weight = weights.get(piece, pieces.uncovered if k == 1 else None)
+            if weight is not None and (last, piece) != ("ab", "b"):
+                for rest, tail in paths(text[k:], piece):
+                    yield weight + 0.75 * (last == piece) + rest, [piece, *tail]
+
+    for _ in range(400):
+        text = "".join(random.choice("aabbc") for _ in range(random.randint(0, 9)))
+        least = min(w for w, _ in paths(text))
+        weight, found = wfst.shortest_path(text, pieces, NoRepeat())
+        assert "".join(found) == text and abs(weight - least) < 1e-9 and (weight, found) in [(w, p) for w, p in paths(text)]
+        free = min((sum(weights.get(x, pieces.uncovered) for x in p), p) for _, p in paths_free(text, weights))
+        weight, found = wfst.shortest_path(text, pieces, wfst.FreeOrder())
+        assert abs(weight - free[0]) < 1e-9
+    assert wfst.shortest_path("abab", wfst.Pieces({"a": 1.0, "b": 1.0, "ab": 2.0}), wfst.FreeOrder())[1] == ["ab", "ab"]  # of equal weights the longest last pieces
+    merge = wfst.MergeOrder({"ab": -1.0, "bc": 0.0, "abc": -2.0})
+    reach = wfst.Pieces({p: 0.0 for p in ("a", "b", "c", "ab", "bc", "abc")})
+    for text in ("abc", "abcab", "aabbc", "cabcbc"):
+        kept = {p: w for p, w in ((p, 0.0) for p in ("a", "b", "c", "ab", "bc", "abc")) if merge.merged(p) == [p]}
+        assert wfst.shortest_path(text, wfst.Pieces(kept), merge)[1] == merge.merged(text)
+    assert reach.arcs("abc", 0) == [("a", 0.0), ("ab", 0.0), ("abc", 0.0)]
+
+
+def paths_free(text, weights):
+    if not text:
+        yield 0.0, []
+    for k in range(1, len(text) + 1):
+        if text[:k] in weights or k == 1:
+            for _, tail in paths_free(text[k:], weights):
+                yield 0.0, [text[:k], *tail]
+
+
 def test_transducer_in_spark(spark):
     docs = read(spark, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, "")], "doc_id long, text string")).withColumn("decoded", F.lit(1))
     rows = wfst.decode(wfst.encode(docs)).collect()
@@ -145,9 +292,24 @@ def test_chat_formatting_reads_back(spark, part_chars):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chatformat.read_back(chatformat.format_conversations(df, part_chars=part_chars)).collect()}
     assert got == conversation_digests(rows)
+    shuffled = chatformat.format_conversations(df, part_chars=part_chars).orderBy(F.rand(3))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chatformat.read_back(shuffled).collect()} == got
     assert chatformat.format_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("trained", [("assistant",), ("user",), ("system",), ("tool",), ("user", "assistant", "system", "tool", "")])
+def test_loss_mask_of_every_role(spark, trained):
+    texts = ["hello there", " leading space", "trailing ", "\n\nlines\n", "", "é日 ok", "</s>[INST] ok [/INST]", "a  b"]
+    rows = [(c, k, role, text) for c, role in enumerate(["user", "assistant", "system", "tool", ""]) for k, text in enumerate(texts)]
+    rows += [(9, k, ["system", "user", "assistant", "tool"][k % 4], t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    coder = chatformat._tokenizer(open(chatformat.TOKENIZER, "rb").read())
+    for r in chatformat.format_conversations(df, train_roles=trained).collect():
+        assert coder.text(r.input_ids) == r.text
+        under = coder.text([t for t, on in zip(r.input_ids, r.loss_mask) if on])
+        assert chatformat.unescape(under) == "".join(text for c, _, role, text in rows if c == r.conv_id and role in trained)
+
+
 def test_html_extraction(spark):
     article = "<article><h1>Title &amp; more</h1><p>One <b>bold</b><br>line<p>Two&nbsp;words&eacute; &am</p><div class='comments'><p>reader says</p></div><form>sign up</form></article>"
     page = lambda body: f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div>{body}<aside>side</aside><footer>foot</footer></body></html>"
