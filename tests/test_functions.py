@@ -63,3 +63,26 @@ def test_agents(spark):
 @pytest.mark.parametrize("url, stem, rank", [("https://www.x.nl/fr/job/339", "x.nl/job/339", 3), ("https://x.nl/en-gb/job/339", "x.nl/job/339", 0), ("https://x.nl/job/339?a=1", "x.nl/job/339", 1), ("https://x.nl/nl/job/339/", "x.nl/job/339", 2)])
 def test_language_addresses(spark, url, stem, rank):
     assert values(spark, duplicates.language_stem, [url]) == [stem] and values(spark, duplicates.language_rank, [url]) == [rank]
+
+
+def test_patterns_against_plain_python(spark):
+    """Skills, levels and positions by Python's own regular expressions, over words of every pattern's kind."""
+    import re
+
+    words = ["python", "C++ developer", "go lang", "R and SAS", ".NET core", "Node.js", "react native", "SQL", "machine learning", "cloud azure", "kubernetes k8s", "embedded linux", "ux design", "SAP", "scrum master", "excel", "docker", "CI/CD", "data science", "networking cisco", "firewall", "spark", "simulation engineer", "devops", "salesforce apex"]
+    titles = [f"{level} {word} {tail}".strip() for level in ("", "Senior", "Junior", "Lead", "Stage", "Medior", "Head of", "Principal", "Product Manager", "Trainee") for word in words for tail in ("", "engineer", "- (m/v/x) Amsterdam", "consultant bij Acme", "architect")]
+
+    def first(rules, text):
+        return next((name for name, rx in rules if re.search(rx, text, re.I)), None)
+
+    def position_of(title):
+        full = re.sub(positions.TITLE_TAGS, " ", title.lower())
+        for rx, to in positions.SPELLING:
+            full = re.sub(rx, to, full)
+        full = re.sub(r"\s+", " ", full).strip()
+        main = re.split(r"\s+[-–|]\s+|,\s|\s+(?:bij|at|met|with)\s+", re.sub(r"\([^)]*\)?|\[[^\]]*\]?", " ", full))[0]
+        return first(positions.SPECIFIC, main) or first(positions.SPECIFIC, full) or first(positions.MAIN_PART_ONLY + positions.CATCH_ALL, main) or first(positions.CATCH_ALL, full) or "other"
+
+    assert values(spark, positions.position, titles) == [position_of(t) for t in titles]
+    assert values(spark, text.title_level, titles) == [first(text.LEVELS, t) for t in titles]
+    assert values(spark, skills.find_skills, titles) == [[name for name, rx in skills.TAXONOMY.items() if re.search(rx, t, re.I)] for t in titles]

@@ -42,12 +42,15 @@ def _amount(text: Column) -> Column:
 
 def parse_salary(text: Column) -> Column:
     """struct(low, high) in euros a year: the first plausible amount, unless a later one also states an upper end."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?iuUs)(.{{0,60}}(?:€|eur|euro)\s?(?:{AMOUNT})(?:\s?(?:-|–|to|tot|and)\s?(?:€|eur)?\s?(?:{AMOUNT}))?.{{0,60}})"), F.lit(1))
+    # an amount's surroundings are looked at, not consumed: those of its neighbours may overlap them
+    around = F.lit(rf"(?iuUs)(?<=(^.{{0,59}}|.{{60}}))((?:€|eur|euro)\s?(?:{AMOUNT})(?:\s?(?:-|–|to|tot|and)\s?(?:€|eur)?\s?(?:{AMOUNT}))?)(?=(.{{0,60}}))")
+    part = lambda k: F.regexp_extract_all(text, around, F.lit(k))
+    found = F.arrays_zip(part(1).alias("before"), part(2).alias("amount"), part(3).alias("after"))
 
     def read(piece: Column) -> Column:
-        factor = F.when(F.lower(piece).rlike(MONTHLY), 12).otherwise(1)
-        low = _amount(F.regexp_extract(piece, folded(SALARY), 1)) * factor
-        high = _amount(F.regexp_extract(piece, folded(SALARY), 2)) * factor
+        factor = F.when(F.lower(F.concat(piece["before"], piece["amount"], piece["after"])).rlike(MONTHLY), 12).otherwise(1)
+        low = _amount(F.regexp_extract(piece["amount"], folded(SALARY), 1)) * factor
+        high = _amount(F.regexp_extract(piece["amount"], folded(SALARY), 2)) * factor
         return F.struct(low.alias("low"), F.when((high >= low) & (high <= 500000), high).alias("high"))
 
     fits = F.filter(F.transform(found, read), lambda s: s["low"].between(20000, 400000))

@@ -29,13 +29,17 @@ def small(table: DataFrame, most: int = MAX_LIST_ROWS) -> DataFrame:
 def listed_sectors(companies: DataFrame, fragments: DataFrame) -> DataFrame:
     """company, sector: the longest fragment that is a whole word of the name, or with '=' all of it.
 
-    Names and fragments meet by word: a fragment's first word must be a word of the name, so the join is on equality.
+    Names and fragments meet by a fragment's rarest word among the names, so the join is on equality and a common word
+    brings few together. Nulls and empty fragments match nothing; of equal lengths the last fragment in order counts.
     """
     words = lambda text: F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
     names = companies.select("company").distinct().withColumn("words", words(F.col("company")))
     exact = F.col("fragment").startswith("=")
     parts = fragments.select("fragment", "sector", exact.alias("exact"), words(F.regexp_replace("fragment", "^=", "")).alias("f")).where(F.size("f") > 0)
-    met = names.select("company", "words", F.explode(F.array_distinct("words")).alias("w")).join(parts.withColumn("w", F.get("f", F.lit(0))), "w")
+    named = names.select("company", "words", F.explode(F.array_distinct("words")).alias("w"))
+    often = named.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    rarest = parts.select("fragment", F.explode("f").alias("w")).join(often, "w").groupBy("fragment").agg(F.min_by("w", F.struct("often", "w")).alias("w"))
+    met = named.join(parts.join(rarest, "fragment"), "w")
     text, fragment = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("f", " "), F.lit(" "))
     hit = met.where(F.when(F.col("exact"), text == fragment).otherwise(F.contains(text, fragment)))
     return hit.groupBy("company").agg(F.max_by("sector", F.struct(F.length("fragment").alias("n"), "fragment")).alias("sector"))
@@ -176,17 +180,31 @@ def due_alerts(users: DataFrame, as_of: str) -> DataFrame:
     return users.where(due).withColumn("since", F.greatest(F.coalesce("alerts_sent_at", window), window))
 
 
+MAX_ALERT_USERS = 1_000
+
+
 def alert_rows(users: DataFrame, rows: DataFrame, profiles: dict[int, tuple[Filters, list[str]]], as_of: str, top: int = 15) -> DataFrame:
-    """user_id, rank, total, id of each due user's best new postings. Profiles become filters; one branch a user, so for a bounded batch of users."""
+    """user_id, rank, total, id of each due user's best new postings.
+
+    One scan serves a batch of at most MAX_ALERT_USERS users: every row is given to the users whose filters it passes, and
+    the ranks and totals are counted by user. Users without a profile get nothing; ties go to the smaller id.
+    """
+    if len(profiles) > MAX_ALERT_USERS:
+        raise ValueError(f"at most {MAX_ALERT_USERS} users a batch")
     due = {r["user_id"]: r["since"] for r in due_alerts(users, as_of).where(F.col("user_id").isin(list(profiles))).select("user_id", "since").limit(len(profiles)).collect()}
-    parts = []
+    if not due:
+        return rows.sparkSession.createDataFrame([], "user_id long, rank int, total long, id long")
+    told = []
     for user, since in sorted(due.items()):
         wanted, have = profiles[user]
-        found = wanted.apply(rows.where(F.col("first_seen") > F.lit(str(since)).cast("timestamp_ntz")), as_of).withColumn("score", match_score(have))
-        order = Window.orderBy(F.desc("score"), F.desc("effective_at"), "id")
-        best = found.orderBy(F.desc("score"), F.desc("effective_at"), "id").limit(top).select("id", F.row_number().over(order).alias("rank"))
-        parts.append(best.crossJoin(found.agg(F.count(F.lit(1)).alias("total"))).select(F.lit(user).cast("long").alias("user_id"), "rank", "total", "id"))
-    out = rows.sparkSession.createDataFrame([], "user_id long, rank int, total long, id long")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        passes = F.col("first_seen") > F.lit(str(since)).cast("timestamp_ntz")
+        for condition in wanted.conditions(as_of):
+            passes = passes & condition
+        told.append(F.when(passes, F.struct(F.lit(user).cast("long").alias("user_id"), match_score(have).cast("double").alias("score"))))
+    earliest = F.lit(str(min(due.values()))).cast("timestamp_ntz")
+    found = rows.where(F.col("first_seen") > earliest).select("id", "effective_at", F.explode(F.array_compact(F.array(*told))).alias("u")).select("u.user_id", "u.score", "id", "effective_at")
+    total = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("effective_at"), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(total, "user_id").select("user_id", "rank", "total", "id")
+

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.positions import position
+
 # Title words of entry-level roles.
 EARLY_TITLE = r"graduate|trainee|traineeship|internship|\bintern\b|\bstage\b|stagiair|afstudeer|werkstudent|working student|young professional|starter|\bjunior\b"
 # Degree levels and the groups that reports use.
@@ -67,3 +69,10 @@ def row_view(postings: DataFrame, sources: DataFrame, sectors: DataFrame | None
             "org_size": org_size(F.coalesce("org_roles", F.lit(0))),
         }
     )
+
+
+def with_positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``position`` that their title names: the many patterns are tried once for each distinct title; a null title is 'other'."""
+    titles = rows.select(F.col("title").alias("_title")).where("title is not null").distinct()
+    named = titles.select("_title", position(F.col("_title")).alias("position"))
+    return rows.drop("position").join(named, F.col("title") == F.col("_title"), "left").drop("_title").withColumn("position", F.coalesce("position", F.lit("other")))

@@ -52,9 +52,9 @@ def skill_counts(rows: DataFrame, top: int = 40) -> DataFrame:
 def cooccurrence(rows: DataFrame, top: int = 30, min_pair: int = 3, max_links: int = 200) -> DataFrame:
     """Pairs of the top skills within postings: weight, and lift over independence with n = all rows."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    names = skill_counts(rows, top).agg(F.collect_list("skill").alias("names"))  # at most ``top`` names
+    counts = skill_counts(rows, top).select("skill", F.col("count").alias("n"))
+    names = counts.agg(F.collect_list("skill").alias("names"))  # at most ``top`` names
     kept = rows.crossJoin(names).select(F.array_sort(F.array_intersect("skills", "names")).alias("s"))
-    counts = kept.select(F.explode("s").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
     pairs = kept.select("s", F.posexplode("s").alias("k", "source")).select("source", F.explode(F.expr("slice(s, k + 2, size(s))")).alias("target"))
     weight = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_pair)
     of = lambda side: counts.select(F.col("skill").alias(side), F.col("n").alias(f"n_{side}"))

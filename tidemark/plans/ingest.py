@@ -32,13 +32,13 @@ def _content(version: str, valid: str) -> list:
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is stored: two in three postings."""
-    rows = standin.postings(spark, sf_dir).where("id % 3 <> 2")
+    rows = standin.postings(spark, sf_dir, skills=False).where("id % 3 <> 2")
     return rows.select(F.col("source_id").cast("long").alias("source_id"), "external_id", "first_seen", "last_seen", "closed_at", *_content("'1'", "cast(null as timestamp_ntz)"))
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a crawl brings: every other posting of most boards, some changed, foreign, expired, or under a new id."""
-    rows = standin.postings(spark, sf_dir).where("(id % 2 = 0 or source_id % 5 = 1) and source_id % 7 <> 0 and (source_id % 4 <> 1 or id % 16 = 0)")
+    rows = standin.postings(spark, sf_dir, skills=False).where("(id % 2 = 0 or source_id % 5 = 1) and source_id % 7 <> 0 and (source_id % 4 <> 1 or id % 16 = 0)")
     out = rows.select(F.col("source_id").cast("long").alias("source_id"), "id", "external_id", *_content("case when id % 5 = 0 then '2' else '1' end", f"case when id % 29 = 0 then {_AFTER} end"))
     moved = F.when(F.col("id") % 31 == 0, F.concat(F.lit("moved-"), "external_id")).otherwise(F.col("external_id"))
     return out.withColumns({"country": F.when(F.col("id") % 37 == 0, "BE").otherwise("NL"), "external_id": moved}).drop("id")
@@ -69,6 +69,11 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("l1_merge", lambda spark, sf_dir: _merged(spark, sf_dir).select("source_id", "external_id", "change", "closed_at"),
          _SNAPSHOT_SQL + f" SELECT source_id, external_id, change, CASE WHEN found THEN NULL WHEN change = 'closed' THEN {NOW} ELSE old_closed END AS closed_at FROM merged")
+_TAKEN = "s.external_id IS NULL OR (k.match_id IS NOT NULL AND k.content_hash <> s.content_hash)"
+register("l1_merged_content", lambda spark, sf_dir: _merged(spark, sf_dir).select("source_id", "external_id", "content_hash", F.right("description", F.lit(1)).alias("version"), "title", "url", "country", "valid_through", "first_seen", "last_seen"), _SNAPSHOT_SQL + f"""
+    SELECT coalesce(k.source_id, s.source_id) AS source_id, coalesce(k.external_id, s.external_id) AS external_id, CASE WHEN {_TAKEN} THEN k.content_hash ELSE s.content_hash END AS content_hash, right(CASE WHEN {_TAKEN} THEN k.content_hash ELSE s.content_hash END, 1) AS version,
+           p.title, coalesce(s.url, k.url) AS url, 'NL' AS country, CASE WHEN {_TAKEN} THEN k.valid_through END AS valid_through, coalesce(s.first_seen, {NOW}) AS first_seen, CASE WHEN k.match_id IS NOT NULL THEN {NOW} ELSE s.last_seen END AS last_seen
+    FROM state s FULL OUTER JOIN keyed k ON s.source_id = k.source_id AND s.external_id = k.match_id JOIN postings p ON p.url = coalesce(s.url, k.url)""")
 register("l3_l4_fates", lambda spark, sf_dir: ingest.split_snapshot(snapshot(spark, sf_dir), AS_OF).groupBy("source_id", "fate").agg(F.count(F.lit(1)).alias("n")), _SNAPSHOT_SQL + " SELECT source_id, fate, count(*) AS n FROM fated GROUP BY ALL")
 register("l7_partial_sources", lambda spark, sf_dir: ingest.partial_sources(ingest.split_snapshot(snapshot(spark, sf_dir), AS_OF).where("fate = 'seen'"), standin.sources(spark, sf_dir)), _SNAPSHOT_SQL + " SELECT source_id, partial FROM part")
 register("l9_counters", lambda spark, sf_dir: ingest.counters(_merged(spark, sf_dir), snapshot(spark, sf_dir), standin.sources(spark, sf_dir), AS_OF), _SNAPSHOT_SQL + """,
@@ -79,26 +84,41 @@ register("l5_touch_still_listed", lambda spark, sf_dir: ingest.touch_still_liste
          _SNAPSHOT_SQL + f" SELECT s.source_id, s.external_id, CASE WHEN x.source_id IS NULL THEN last_seen ELSE {NOW} END AS last_seen, CASE WHEN x.source_id IS NULL THEN closed_at END AS closed_at FROM state s LEFT JOIN (SELECT DISTINCT source_id, external_id FROM snap) x USING (source_id, external_id)")
 register("l12_due_sources", lambda spark, sf_dir: ingest.due_sources(standin.sources(spark, sf_dir), AS_OF), f""", c AS (SELECT *, CASE WHEN last_run_at IS NULL OR last_nl_count IS NULL THEN 0 WHEN last_nl_count >= 20 THEN 60 WHEN last_nl_count >= 1 THEN 180 ELSE 720 END AS base FROM sources),
     d AS (SELECT *, CASE WHEN ats = 'jsonld' AND base > 0 THEN greatest(base, 360) ELSE base END AS cadence_minutes FROM c) SELECT source_id, cadence_minutes FROM d WHERE active AND (last_run_at IS NULL OR date_diff('second', last_run_at, {NOW}) // 60 >= cadence_minutes)""")
-register("l10_attributed", lambda spark, sf_dir: ingest.attributed(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir)).groupBy("company").agg(F.count(F.lit(1)).alias("n")),
+register("l10_attributed", lambda spark, sf_dir: ingest.attributed(standin.postings(spark, sf_dir, skills=False), standin.sources(spark, sf_dir)).groupBy("company").agg(F.count(F.lit(1)).alias("n")),
          "SELECT source_company AS company, count(*) AS n FROM postings JOIN sources USING (source_id) GROUP BY 1")
-register("l18_finalize_run", lambda spark, sf_dir: ingest.finalize_run(standin.sources(spark, sf_dir), standin.postings(spark, sf_dir), "2001-07-25 00:00:00"), """SELECT (SELECT count(*) FROM sources WHERE last_run_at >= TIMESTAMP '2001-07-25' AND last_status = 'ok') AS sources_ok,
+register("l18_finalize_run", lambda spark, sf_dir: ingest.finalize_run(standin.sources(spark, sf_dir), standin.postings(spark, sf_dir, skills=False), "2001-07-25 00:00:00"), """SELECT (SELECT count(*) FROM sources WHERE last_run_at >= TIMESTAMP '2001-07-25' AND last_status = 'ok') AS sources_ok,
     (SELECT count(*) FROM sources WHERE last_run_at >= TIMESTAMP '2001-07-25' AND last_status <> 'ok') AS sources_failed, (SELECT count(*) FROM postings WHERE first_seen >= TIMESTAMP '2001-07-25') AS new, (SELECT count(*) FROM postings WHERE closed_at >= TIMESTAMP '2001-07-25') AS closed""")
-register("l21_close_kinds", lambda spark, sf_dir: ingest.close_kinds(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir), AS_OF).select("id", "closed_at"),
+register("l21_close_kinds", lambda spark, sf_dir: ingest.close_kinds(standin.postings(spark, sf_dir, skills=False), standin.sources(spark, sf_dir), AS_OF).select("id", "closed_at"),
          f"SELECT id, CASE WHEN closed_at IS NULL AND kind IN ('aggregator', 'test') THEN {NOW} ELSE closed_at END AS closed_at FROM postings JOIN sources USING (source_id)")
-register("s14_skip_known", lambda spark, sf_dir: ingest.skip_known(standin.postings(spark, sf_dir).select("id", "url"), state(spark, sf_dir), 7).groupBy("fetch").agg(F.count(F.lit(1)).alias("n")))
+# CRC-32 of a text in DuckDB: the table of the polynomial, then one step a character
+CRC_TABLE = """crc AS (WITH RECURSIVE t AS (SELECT i, CAST(i AS UBIGINT) AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END, k + 1 FROM t WHERE k < 8) SELECT list(v ORDER BY i) AS l FROM t WHERE k = 8)"""
 
 
-def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open postings with repeats: boards, addresses and titles are made to coincide."""
-    rows = standin.postings(spark, sf_dir).where("closed_at is null")
-    address = F.concat(F.lit("https://jobs.example"), F.when(F.col("id") % 4 == 1, "/nl").when(F.col("id") % 4 == 2, "/en").otherwise(""), F.lit("/job-"), F.floor(F.col("id") / 3).cast("long"), F.when(F.col("id") % 5 == 0, "?utm=1").otherwise(""))
-    return rows.withColumns({"source_id": (F.col("id") % 3).cast("int"), "url": address, "description": F.concat(F.lit("We look for an engineer who likes long walks, short meetings and clear words, in "), F.coalesce("city", F.lit("town")), F.lit(" or elsewhere."))}).withColumn("content_hash", F.concat(F.lit("h"), F.floor(F.col("id") / 9).cast("long")))
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, where the table ``crc`` is among the sources."""
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda h, c: xor(h // 256, l[CAST(xor(h % 256, c) AS BIGINT) + 1])), 4294967295::UBIGINT)"
 
 
-_OPEN_SQL = """, kinds AS (SELECT source_id, ats, kind FROM sources), o AS (SELECT id, company, title, city, first_seen, CAST(id % 3 AS INTEGER) AS source_id, 'https://jobs.example' || CASE id % 4 WHEN 1 THEN '/nl' WHEN 2 THEN '/en' ELSE '' END || '/job-' || (id // 3) || CASE WHEN id % 5 = 0 THEN '?utm=1' ELSE '' END AS url,
-        'h' || (id // 9) AS content_hash FROM postings WHERE closed_at IS NULL),
-    p AS (SELECT o.*, lower(company) || '|' || title || '|' || lower(coalesce(city, '')) AS key, regexp_replace(url, '[?#].*$', '') AS stem, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[-_ ]?\\(?[0-9]{1,3}\\)?$', '') AS twin, 'jobs.example/job-' || (id // 3) AS lang_stem,
-        CASE id % 4 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS lang_rank, CASE coalesce(kind, 'employer') WHEN 'agency' THEN 1 WHEN 'aggregator' THEN 2 ELSE 0 END AS k, CASE ats WHEN 'greenhouse' THEN 0 WHEN 'lever' THEN 0 WHEN 'jsonld' THEN 5 ELSE 3 END AS a FROM o JOIN kinds USING (source_id))"""
+register("s14_skip_known", lambda spark, sf_dir: ingest.skip_known(standin.postings(spark, sf_dir, skills=False).select("id", "url"), state(spark, sf_dir), 7).select("id", "fetch"),
+         f", {CRC_TABLE} SELECT id, id % 3 = 2 OR ({crc_sql('url')} + 7) % 20 = 0 AS fetch FROM postings, crc")
+
+
+def _open(spark: SparkSession, sf_dir: str, skills: bool = False) -> DataFrame:
+    """Open postings with repeats: boards and addresses are made to coincide, each eighth posting has a twin and another eighth a copy in Dutch."""
+    base = standin.postings(spark, sf_dir, skills).where("closed_at is null").withColumns({"base": F.col("id"), "tail": F.lit(""), "lang": F.expr("case id % 4 when 1 then '/nl' when 2 then '/en' else '' end")})
+    copies = base.where("base % 4 = 0").withColumns({"id": F.col("base") + 12_000_000, "tail": F.expr("if(base % 8 = 0, '-2', '')"), "lang": F.expr("if(base % 8 = 4, '/nl', lang)")})
+    address = F.expr("concat('https://jobs.example', lang, '/job-', base div 3, 'a', tail, if(base % 5 = 0, '?utm=1', ''))")
+    text = F.concat(F.lit("We look for an engineer who likes long walks, short meetings and clear words, in "), F.coalesce("city", F.lit("town")), F.lit(" or elsewhere."))
+    own = {"source_id": F.expr("cast(base % 3 as int)"), "url": address, "description": text, "content_hash": F.expr("concat('h', base div 9)")}
+    return base.unionByName(copies).withColumns(own).drop("base", "tail", "lang")
+
+
+_OPEN_SQL = """, kinds AS (SELECT source_id, ats, kind FROM sources),
+    b AS (SELECT id, id AS base, '' AS tail, CASE id % 4 WHEN 1 THEN '/nl' WHEN 2 THEN '/en' ELSE '' END AS lang, company, title, city, first_seen FROM postings WHERE closed_at IS NULL),
+    every AS (SELECT * FROM b UNION ALL SELECT id + 12000000, base, CASE WHEN base % 8 = 0 THEN '-2' ELSE '' END, CASE WHEN base % 8 = 4 THEN '/nl' ELSE lang END, company, title, city, first_seen FROM b WHERE base % 4 = 0),
+    o AS (SELECT id, company, title, city, first_seen, CAST(base % 3 AS INTEGER) AS source_id, 'https://jobs.example' || lang || '/job-' || (base // 3) || 'a' || tail || CASE WHEN base % 5 = 0 THEN '?utm=1' ELSE '' END AS url, 'h' || (base // 9) AS content_hash, lang, 'jobs.example/job-' || (base // 3) || 'a' || tail AS lang_stem FROM every),
+    p AS (SELECT o.*, lower(company) || '|' || title || '|' || lower(coalesce(city, '')) AS key, regexp_replace(url, '[?#].*$', '') AS stem, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[-_ ]?\\(?[0-9]{1,3}\\)?$', '') AS twin,
+        CASE lang WHEN '/nl' THEN 2 WHEN '/en' THEN 0 ELSE 1 END AS lang_rank, CASE coalesce(kind, 'employer') WHEN 'agency' THEN 1 WHEN 'aggregator' THEN 2 ELSE 0 END AS k, CASE ats WHEN 'greenhouse' THEN 0 WHEN 'lever' THEN 0 WHEN 'jsonld' THEN 5 ELSE 3 END AS a FROM o JOIN kinds USING (source_id))"""
 
 
 def _pairs(keys: str, order: str, condition: str = "true", where: str = "true") -> str:
@@ -108,8 +128,8 @@ def _pairs(keys: str, order: str, condition: str = "true", where: str = "true")
 _ORDER = "k, a, first_seen, id"
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.prepared(_open(spark, sf_dir), standin.sources(spark, sf_dir))
+def _prepared(spark: SparkSession, sf_dir: str, skills: bool = False) -> DataFrame:
+    return duplicates.prepared(_open(spark, sf_dir, skills), standin.sources(spark, sf_dir))
 
 
 register("d1_cross_source", lambda spark, sf_dir: duplicates.cross_source(_prepared(spark, sf_dir)), _pairs("key", _ORDER, "source_id <> canon_source"))
@@ -118,15 +138,15 @@ register("d3_same_address", lambda spark, sf_dir: duplicates.same_address(_prepa
 register("d6_other_language", lambda spark, sf_dir: duplicates.other_language(_prepared(spark, sf_dir)), _pairs("source_id, lang_stem", "lang_rank, first_seen, id", "true", "(source_id, lang_stem) IN (SELECT (source_id, lang_stem) FROM p WHERE lang_rank <> 1)"))
 register("d4_bilingual", lambda spark, sf_dir: duplicates.bilingual(_prepared(spark, sf_dir)))
 register("d5_per_city", lambda spark, sf_dir: duplicates.per_city(_prepared(spark, sf_dir)))
-register("d7_same_board", lambda spark, sf_dir: duplicates.same_board(_prepared(spark, sf_dir)))
-register("d8_marked_duplicates", lambda spark, sf_dir: duplicates.mark_duplicates(_open(spark, sf_dir), standin.sources(spark, sf_dir)))
+register("d7_same_board", lambda spark, sf_dir: duplicates.same_board(_prepared(spark, sf_dir, True)))
+register("d8_marked_duplicates", lambda spark, sf_dir: duplicates.mark_duplicates(_open(spark, sf_dir, True), standin.sources(spark, sf_dir)))
 
 
 def _fragments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("customer", "retail"), ("=customer 000000011", "finance"), ("customer 000000012", "health")], "fragment string, sector string")
 
 
-register("j5_listed_sectors", lambda spark, sf_dir: matching.listed_sectors(standin.postings(spark, sf_dir), _fragments(spark)),
+register("j5_listed_sectors", lambda spark, sf_dir: matching.listed_sectors(standin.postings(spark, sf_dir, skills=False), _fragments(spark)),
          "SELECT DISTINCT company, CASE company WHEN 'Customer#000000011' THEN 'finance' WHEN 'Customer#000000012' THEN 'health' ELSE 'retail' END AS sector FROM postings")
 register("x40_sectors", lambda spark, sf_dir: matching.sectors(_open(spark, sf_dir), standin.sources(spark, sf_dir), spark.createDataFrame([("Customer#000000013", "energy")], "company string, sector string"),
                                                               spark.createDataFrame([("customer 000000014", "health")], "fragment string, sector string"), {"leisure": "walks|meetings|elsewhere", "it": "engineer|words"}))
@@ -134,7 +154,7 @@ register("x40_sectors", lambda spark, sf_dir: matching.sectors(_open(spark, sf_d
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame([("Eleven", ["customer000000011"]), ("Third", ["=nation3"]), ("Nobody", ["nobody at all"]), ("Seventh", ["nation7 "])], "name string, match array<string>")
-    return matching.tracker(entries, standin.postings(spark, sf_dir), standin.sources(spark, sf_dir))
+    return matching.tracker(entries, standin.postings(spark, sf_dir, skills=False), standin.sources(spark, sf_dir))
 
 
 register("j6_tracker", lambda spark, sf_dir: _tracked(spark, sf_dir).select("name", "status", "live_postings"), """, live AS (SELECT company, count(*) AS n FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL GROUP BY company)
@@ -144,13 +164,13 @@ register("a12_tracker_summary", lambda spark, sf_dir: matching.tracker_summary(_
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standin.postings(spark, sf_dir)
+    rows = standin.postings(spark, sf_dir, skills=False)
     return rows.where("id % 20 = 0").select("id", F.when(F.col("id") % 40 == 0, F.col("title")).otherwise("1-URGENT engineers BUILDING").alias("title"), F.when(F.col("id") % 60 == 0, "Unknown B.V.").otherwise(F.col("company")).alias("company"), (F.col("id") % 3 == 0).alias("tech"), (F.col("id") % 100 == 0).alias("agency"))
 
 
-register("j7_match_sample", lambda spark, sf_dir: matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir)))
-register("a21_recall_report", lambda spark, sf_dir: matching.recall_report(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir))))
-register("a21_missing_employers", lambda spark, sf_dir: matching.missing_employers(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir))))
+register("j7_match_sample", lambda spark, sf_dir: matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False)))
+register("a21_recall_report", lambda spark, sf_dir: matching.recall_report(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False))))
+register("a21_missing_employers", lambda spark, sf_dir: matching.missing_employers(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False))))
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normalize
 from tidemark.operators import ingest, upkeep
+from tidemark.plans.ingest import CRC_TABLE, crc_sql
 from tidemark.plans.stats import NOW
 from tidemark.sources import boards, standin, structured
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
@@ -124,10 +125,7 @@ def _smart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return structured.smartrecruiters(listing, details, known, 200)
 
 
-# CRC-32 is no function of DuckDB: known postings of the SQL are those whose id ends in 0 or 4, 8 ..., all of them due on some day
-_CRC = """crc AS (WITH RECURSIVE t AS (SELECT i, CAST(i AS UBIGINT) AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END, k + 1 FROM t WHERE k < 8) SELECT list(v ORDER BY i) AS l FROM t WHERE k = 8)"""
-_SUM = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda h, c: xor(h // 256, l[CAST(xor(h % 256, c) AS BIGINT) + 1]))"
-_DUE = f", {_CRC}, s AS (SELECT *, id % 3 <> 0 AND id % 4 = 0 AND (xor({_SUM}, 4294967295::UBIGINT) + 200) % 20 <> 0 AS skip FROM postings, crc)"
+_DUE = f", {CRC_TABLE}, s AS (SELECT *, id % 3 <> 0 AND id % 4 = 0 AND ({crc_sql('CAST(id AS VARCHAR)')} + 200) % 20 <> 0 AS skip FROM postings, crc)"
 register("s9_smartrecruiters", lambda spark, sf_dir: _smart(spark, sf_dir)[0].select(*_STATED), _DUE + """
     SELECT CAST(source_id AS BIGINT) AS source_id, CAST(id AS VARCHAR) AS external_id, title, CASE WHEN id % 3 <> 0 AND id % 5 <> 0 AND id % 2 = 0 THEN url || '-long' ELSE 'https://jobs.smartrecruiters.com/board/' || id END AS url, 'Ede, ' || CASE WHEN id % 3 = 0 THEN 'be' ELSE 'nl' END AS location, 'Ede' AS city,
            CASE WHEN id % 3 = 0 THEN 'BE' ELSE 'NL' END AS country, CASE WHEN id % 7 = 0 THEN true END AS remote, CASE WHEN id % 3 <> 0 AND id % 5 <> 0 THEN '<h2>One</h2>first' || chr(10) || '<h2></h2>third' END AS description_html, CAST(first_seen AS TIMESTAMP) AS posted_at FROM s WHERE NOT skip""")

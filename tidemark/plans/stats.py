@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import landing, stats
 from tidemark.operators.filters import Filters
-from tidemark.operators.rows import row_view
+from tidemark.operators.rows import row_view, with_positions
 from tidemark.sources import standin
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
 
@@ -31,12 +31,13 @@ ROWS_SQL = f"""{POSTINGS_SQL}, open_roles AS (
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_view(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir))
+def rows(spark: SparkSession, sf_dir: str, skills: bool = True) -> DataFrame:
+    """The row view; queries that read no skills leave them out, as a join for them cannot be pruned."""
+    return row_view(standin.postings(spark, sf_dir, skills), standin.sources(spark, sf_dir))
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Filters().apply(rows(spark, sf_dir), AS_OF)
+def live(spark: SparkSession, sf_dir: str, skills: bool = True) -> DataFrame:
+    return Filters().apply(rows(spark, sf_dir, skills), AS_OF)
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -84,22 +85,30 @@ FILTER_CASES = {
 }
 for _name, (_filter, _condition) in FILTER_CASES.items():
     _open = "true" if _filter.include_closed else "closed_at IS NULL"
-    register(_name, lambda spark, sf_dir, f=_filter: f.apply(rows(spark, sf_dir), AS_OF).select("id"), f"SELECT id FROM rows WHERE {_open} AND ({_condition})")
+    register(_name, lambda spark, sf_dir, f=_filter: f.apply(rows(spark, sf_dir, bool(f.skill or f.skills_any or f.q)), AS_OF).select("id"), f"SELECT id FROM rows WHERE {_open} AND ({_condition})")
+
+def _with_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sectors = standin.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 4").select(F.col("c_name").alias("company"), F.expr("element_at(array('finance', 'health', 'staffing', 'software'), cast(c_custkey % 5 + 1 as int))").alias("sector"))
+    return row_view(standin.postings(spark, sf_dir, False), standin.sources(spark, sf_dir), sectors)
+
+
+_SECTORS = "SELECT rows.id, CASE c_custkey % 5 WHEN 0 THEN 'finance' WHEN 1 THEN 'health' WHEN 2 THEN 'staffing' WHEN 3 THEN 'software' ELSE 'other' END AS sector, CASE WHEN c_custkey % 5 = 2 THEN 'agency' ELSE kind END AS kind FROM rows JOIN customer ON company = c_name WHERE closed_at IS NULL"
+register("f10_sectors", lambda spark, sf_dir: Filters(sector="Finance, other").apply(_with_sectors(spark, sf_dir), AS_OF).select("id"), f"SELECT id FROM ({_SECTORS}) WHERE sector IN ('finance', 'other')")
+register("f18_without_staffing", lambda spark, sf_dir: Filters(exclude_agencies=True).apply(_with_sectors(spark, sf_dir), AS_OF).select("id"), f"SELECT id FROM ({_SECTORS}) WHERE kind <> 'agency'")
+register("a6_breakdown_by_sector", lambda spark, sf_dir: stats.breakdown(Filters().apply(_with_sectors(spark, sf_dir), AS_OF), "sector", 20), f"SELECT sector AS key, count(*) AS count, round(count(*) / (SELECT greatest(count(*), 1) FROM ({_SECTORS})), 4) AS share FROM ({_SECTORS}) GROUP BY sector")
 
 register("f11_position", lambda spark, sf_dir: Filters(position="software_engineer,other").apply(_positioned(spark, sf_dir), AS_OF).select("id"), "SELECT id FROM rows WHERE closed_at IS NULL AND role_family <> 'automobile'")  # 'mobile' is a position of its own
 
 
 def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions.positions import position
-
-    return rows(spark, sf_dir).withColumn("position", position(F.col("title")))
+    return with_positions(rows(spark, sf_dir, False))
 
 
-register("s16_live_rows", lambda spark, sf_dir: rows(spark, sf_dir).select("id", "company", "ats", "kind", "org_roles", "effective_at", "confirmed_at", "experience", "degree", "employee_band", "org_size"),
+register("s16_live_rows", lambda spark, sf_dir: rows(spark, sf_dir, False).select("id", "company", "ats", "kind", "org_roles", "effective_at", "confirmed_at", "experience", "degree", "employee_band", "org_size"),
          "SELECT id, company, ats, kind, org_roles, effective_at, confirmed_at, experience, degree, employee_band, org_size FROM rows")
-register("j1_postings_sources", lambda spark, sf_dir: standin.postings(spark, sf_dir).join(standin.sources(spark, sf_dir), "source_id").groupBy("ats").agg(F.count(F.lit(1)).alias("n")),
+register("j1_postings_sources", lambda spark, sf_dir: standin.postings(spark, sf_dir, False).join(standin.sources(spark, sf_dir), "source_id").groupBy("ats").agg(F.count(F.lit(1)).alias("n")),
          "SELECT ats, count(*) AS n FROM postings JOIN sources USING (source_id) GROUP BY ats")
-register("a1_overview", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir), AS_OF), f"""
+register("a1_overview", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir, False), standin.sources(spark, sf_dir), AS_OF), f"""
     , f AS (SELECT posted_at, first_seen FROM postings JOIN sources USING (source_id) WHERE first_seen >= {NOW} - INTERVAL 14 DAY AND first_seen > first_success_at + INTERVAL 10 MINUTE AND first_seen >= posted_at)
     SELECT (SELECT count(*) FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL) AS live_postings,
            (SELECT count(*) FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL AND is_tech) AS live_tech_postings,
@@ -111,10 +120,10 @@ register("a1_overview", lambda spark, sf_dir: stats.overview(standin.postings(sp
            (SELECT count(*) FROM sources) AS sources_total, (SELECT count(*) FROM sources WHERE active) AS sources_active,
            (SELECT count(*) FROM sources WHERE last_status = 'ok') AS sources_ok, (SELECT max(last_run_at) FROM sources WHERE last_status = 'ok') AS last_crawl_at""")
 # the freshness figure of its own
-register("a2_freshness", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir), "2001-08-05 00:00:00").select("freshness_median_hours"),
+register("a2_freshness", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir, False), standin.sources(spark, sf_dir), "2001-08-05 00:00:00").select("freshness_median_hours"),
          """SELECT round(median(date_diff('second', posted_at, first_seen) / 3600), 1) AS freshness_median_hours FROM postings JOIN sources USING (source_id)
             WHERE first_seen >= TIMESTAMP '2001-08-05' - INTERVAL 14 DAY AND first_seen > first_success_at + INTERVAL 10 MINUTE AND first_seen >= posted_at""")
-register("a3_new_7d", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir), standin.sources(spark, sf_dir), AS_OF).select("new_last_7d"),
+register("a3_new_7d", lambda spark, sf_dir: stats.overview(standin.postings(spark, sf_dir, False), standin.sources(spark, sf_dir), AS_OF).select("new_last_7d"),
          f"""SELECT count(*) AS new_last_7d FROM postings JOIN sources USING (source_id) WHERE closed_at IS NULL AND duplicate_of IS NULL AND is_tech AND (posted_at >= {NOW} - INTERVAL 7 DAY
              OR (posted_at IS NULL AND first_seen >= {NOW} - INTERVAL 7 DAY AND first_seen > first_success_at + INTERVAL 10 MINUTE))""")
 
@@ -131,7 +140,7 @@ _KEYS = {"city": "coalesce(city, CASE WHEN remote THEN 'Remote' ELSE 'Unknown' E
 for _key in stats.BREAKDOWN_KEYS:
     if _key != "position":
         _value = _KEYS.get(_key, f"coalesce({_key}, 'unknown')")
-        register(f"a6_breakdown_{_key}", lambda spark, sf_dir, k=_key: stats.breakdown(live(spark, sf_dir), k, 20),
+        register(f"a6_breakdown_{_key}", lambda spark, sf_dir, k=_key: stats.breakdown(live(spark, sf_dir, False), k, 20),
                  f", live AS (SELECT * FROM rows WHERE closed_at IS NULL) SELECT {_value} AS key, count(*) AS count, round(count(*) / greatest((SELECT count(*) FROM live), 1), 4) AS share FROM live GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 register("a6_breakdown_position", lambda spark, sf_dir: stats.breakdown(Filters().apply(_positioned(spark, sf_dir), AS_OF), "position", 20),
          "SELECT CASE role_family WHEN 'automobile' THEN 'mobile' ELSE 'software_engineer' END AS key, count(*) AS count, round(count(*) / (SELECT count(*) FROM rows WHERE closed_at IS NULL), 4) AS share FROM rows WHERE closed_at IS NULL GROUP BY 1")
@@ -140,7 +149,7 @@ _TREND_SQL = f""", recent AS (SELECT strftime(first_seen, '%G-W%V') AS week, ski
 _GRID_SQL = " SELECT 'total' AS series, week, count FROM total UNION ALL SELECT chosen.series, total.week, (SELECT count(*) FROM named n WHERE n.series = chosen.series AND n.week = total.week) FROM total, chosen"
 register("a7_trends", lambda spark, sf_dir: stats.trends(rows(spark, sf_dir), AS_OF), _TREND_SQL + ", chosen AS (SELECT series FROM named GROUP BY series ORDER BY count(*) DESC, series LIMIT 5)" + _GRID_SQL)
 register("a7_trends_chosen", lambda spark, sf_dir: stats.trends(rows(spark, sf_dir), AS_OF, ["Brand#11", "Brand#55"]), _TREND_SQL + ", chosen AS (SELECT DISTINCT series FROM named WHERE series IN ('Brand#11', 'Brand#55'))" + _GRID_SQL)
-register("a8_salary", lambda spark, sf_dir: stats.salary(live(spark, sf_dir)), """
+register("a8_salary", lambda spark, sf_dir: stats.salary(live(spark, sf_dir, False)), """
     , v AS (SELECT CASE WHEN salary_max_eur <> 0 THEN (salary_min_eur + salary_max_eur) / 2 ELSE salary_min_eur END AS mid FROM rows WHERE closed_at IS NULL AND salary_min_eur <> 0),
     s AS (SELECT list(mid ORDER BY mid) AS x, count(*) AS n FROM v), j AS (SELECT i, x, n, greatest(1, least((i * (n + 1)) // 4, n - 1)) AS j FROM s, (VALUES (1), (2), (3)) t(i)),
     q AS (SELECT i, (x[j] * (4 - (i * (n + 1) - 4 * j)) + x[j + 1] * (i * (n + 1) - 4 * j)) / 4 AS v FROM j)
@@ -168,19 +177,19 @@ register("o1_page_newest", lambda spark, sf_dir: _page(spark, sf_dir, 2, 50, "ne
 register("o1_page_match", lambda spark, sf_dir: _page(spark, sf_dir, 1, 50, "match", HAVE), _MATCH_SQL + _PAGE_SQL.format(now=NOW, order="score DESC, effective_at DESC, id", of="scored", low=0, high=50))
 register("o1_page_size_small", lambda spark, sf_dir: _page(spark, sf_dir, 1, 50, "size_small"), _LIVE + _PAGE_SQL.format(now=NOW, order="employees IS NULL, coalesce(employees, 0), org_roles, effective_at DESC, id", of="live", low=0, high=50))
 register("o1_page_size_large", lambda spark, sf_dir: _page(spark, sf_dir, 1, 50, "size_large"), _LIVE + _PAGE_SQL.format(now=NOW, order="employees IS NULL, coalesce(employees, 0) DESC, org_roles DESC, effective_at DESC, id", of="live", low=0, high=50))
-register("o2_newest_of_company", lambda spark, sf_dir: Filters(company="Customer#000000011").apply(rows(spark, sf_dir), AS_OF).orderBy(F.desc("effective_at"), "id").limit(50).select("id", "effective_at"),
+register("o2_newest_of_company", lambda spark, sf_dir: Filters(company="Customer#000000011").apply(rows(spark, sf_dir, False), AS_OF).orderBy(F.desc("effective_at"), "id").limit(50).select("id", "effective_at"),
          "SELECT id, effective_at FROM rows WHERE closed_at IS NULL AND company = 'Customer#000000011' ORDER BY effective_at DESC, id LIMIT 50")
-register("a10_open_roles", lambda spark, sf_dir: stats.open_roles(standin.postings(spark, sf_dir)), "SELECT company, org_roles AS open_roles FROM open_roles")
+register("a10_open_roles", lambda spark, sf_dir: stats.open_roles(standin.postings(spark, sf_dir, False)), "SELECT company, org_roles AS open_roles FROM open_roles")
 register("a11_sources_by_kind", lambda spark, sf_dir: stats.sources_by_kind(standin.sources(spark, sf_dir)), "SELECT coalesce(kind, 'employer') AS kind, count(*) AS sources, count(*) FILTER (WHERE last_status = 'ok') AS healthy FROM sources GROUP BY 1")
 register("a27_source_status", lambda spark, sf_dir: stats.source_status(standin.sources(spark, sf_dir)), "SELECT coalesce(last_status, 'pending') AS status, count(*) AS sources FROM sources GROUP BY 1")
 _OPTIONS = " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS dimension, {c} AS key, count(*) AS count FROM rows WHERE closed_at IS NULL AND {c} IS NOT NULL GROUP BY {c} ORDER BY 3 DESC, 2 LIMIT 50)" for c in ("city", "company", "role_family", "seniority", "sector"))
 register("a26_filter_options", lambda spark, sf_dir: stats.filter_options(rows(spark, sf_dir)), _OPTIONS)
-register("a22_company_index", lambda spark, sf_dir: landing.company_index(live(spark, sf_dir)), """, n AS (SELECT company, count(*) AS n, trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM rows WHERE closed_at IS NULL GROUP BY company)
+register("a22_company_index", lambda spark, sf_dir: landing.company_index(live(spark, sf_dir, False)), """, n AS (SELECT company, count(*) AS n, trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM rows WHERE closed_at IS NULL GROUP BY company)
     SELECT slug, arg_min(company, (-n, company)) AS name, CAST(sum(n) AS BIGINT) AS postings FROM n GROUP BY slug""")
-register("a23_employer_figures", lambda spark, sf_dir: landing.employer_figures(rows(spark, sf_dir)), "SELECT company, count(*) AS open, count(*) FILTER (WHERE english_only) AS english, count(*) FILTER (WHERE visa_sponsorship) AS visa, max(employees) AS employees FROM rows WHERE closed_at IS NULL GROUP BY company")
+register("a23_employer_figures", lambda spark, sf_dir: landing.employer_figures(rows(spark, sf_dir, False)), "SELECT company, count(*) AS open, count(*) FILTER (WHERE english_only) AS english, count(*) FILTER (WHERE visa_sponsorship) AS visa, max(employees) AS employees FROM rows WHERE closed_at IS NULL GROUP BY company")
 register("a23_employer_top_skills", lambda spark, sf_dir: landing.employer_top(rows(spark, sf_dir), "skills"), _SKILL_SQL + """, c AS (SELECT company, s AS key, count(*) AS count FROM (SELECT company, unnest(skills) AS s FROM live) GROUP BY 1, 2)
     SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY company ORDER BY count DESC, key) <= 5""")
-register("a24_page_figures", lambda spark, sf_dir: landing.page_figures(live(spark, sf_dir)), """SELECT count(*) AS postings, count(DISTINCT company) AS employers, CAST(coalesce(round(100 * count(*) FILTER (WHERE english_only) / nullif(count(*), 0)), 0) AS BIGINT) AS no_dutch_percent,
+register("a24_page_figures", lambda spark, sf_dir: landing.page_figures(live(spark, sf_dir, False)), """SELECT count(*) AS postings, count(DISTINCT company) AS employers, CAST(coalesce(round(100 * count(*) FILTER (WHERE english_only) / nullif(count(*), 0)), 0) AS BIGINT) AS no_dutch_percent,
     count(*) FILTER (WHERE visa_sponsorship) AS visa, count(*) FILTER (WHERE coalesce(seniority IN ('intern', 'trainee', 'junior') OR experience = 'none', false)) AS entry_level FROM rows WHERE closed_at IS NULL""")
 _PAGES_SQL = """, live AS (SELECT *, list_distinct(list_concat([upper(city)], coalesce(also_in, []))) AS names FROM rows WHERE closed_at IS NULL),
     cities AS (SELECT city AS page_city, row_number() OVER (ORDER BY count(*) DESC, city) AS place FROM live WHERE city IS NOT NULL GROUP BY city HAVING count(*) >= 8 ORDER BY count(*) DESC, city LIMIT 14),
@@ -193,7 +202,7 @@ _PAGES_SQL = """, live AS (SELECT *, list_distinct(list_concat([upper(city)], co
         UNION ALL SELECT 'role_city', role_family, NULL, page_city, count(*) FROM placed WHERE place <= 8 GROUP BY role_family, page_city HAVING count(*) >= 20
         UNION ALL SELECT 'theme', NULL, theme, NULL, count(*) FROM theme WHERE theme IS NOT NULL GROUP BY theme HAVING count(*) >= 8
         UNION ALL SELECT 'theme_city', NULL, theme, page_city, count(*) FROM theme JOIN placed USING (id) WHERE theme IN ('english', 'visa', 'junior') AND place <= 6 GROUP BY theme, page_city HAVING count(*) >= 20)"""
-register("a25_landing_pages", lambda spark, sf_dir: landing.landing_pages(rows(spark, sf_dir), AS_OF), _PAGES_SQL + " SELECT kind, role, theme, city, postings FROM pages")
-register("o7_popular_pages", lambda spark, sf_dir: landing.popular(landing.landing_pages(rows(spark, sf_dir), AS_OF)), _PAGES_SQL + " SELECT * FROM pages ORDER BY postings DESC, kind, role NULLS FIRST, theme NULLS FIRST, city NULLS FIRST LIMIT 18")
-register("o7_related_pages", lambda spark, sf_dir: landing.related(landing.landing_pages(rows(spark, sf_dir), AS_OF), "building", "NATION_3"), _PAGES_SQL + """ SELECT * FROM pages WHERE coalesce(role = 'building' OR city = 'NATION_3', false) AND NOT (role IS NOT DISTINCT FROM 'building' AND city IS NOT DISTINCT FROM 'NATION_3')
+register("a25_landing_pages", lambda spark, sf_dir: landing.landing_pages(rows(spark, sf_dir, False), AS_OF), _PAGES_SQL + " SELECT kind, role, theme, city, postings FROM pages")
+register("o7_popular_pages", lambda spark, sf_dir: landing.popular(landing.landing_pages(rows(spark, sf_dir, False), AS_OF)), _PAGES_SQL + " SELECT * FROM pages ORDER BY postings DESC, kind, role NULLS FIRST, theme NULLS FIRST, city NULLS FIRST LIMIT 18")
+register("o7_related_pages", lambda spark, sf_dir: landing.related(landing.landing_pages(rows(spark, sf_dir, False), AS_OF), "building", "NATION_3"), _PAGES_SQL + """ SELECT * FROM pages WHERE coalesce(role = 'building' OR city = 'NATION_3', false) AND NOT (role IS NOT DISTINCT FROM 'building' AND city IS NOT DISTINCT FROM 'NATION_3')
     ORDER BY postings DESC, kind, role NULLS FIRST, theme NULLS FIRST, city NULLS FIRST LIMIT 14""")
