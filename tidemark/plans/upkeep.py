@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import agents, links, normalize, skills
-from tidemark.operators import ingest, upkeep
+from tidemark.operators import discovery, ingest, upkeep
 from tidemark.plans.stats import NOW
 from tidemark.sources import standin
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
@@ -246,6 +246,48 @@ register("x13_canonical_skills", lambda spark, sf_dir: standin.table(spark, sf_d
     , s AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Kubernetes' WHEN 1 THEN 'Machine Learning' WHEN 2 THEN 'Python' WHEN 3 THEN 'PostgreSQL' WHEN 6 THEN 'GCP' WHEN 7 THEN 'Python' END AS skill FROM customer)
     SELECT c_custkey, skill, CASE WHEN skill IS NULL THEN 'LLMs' ELSE skill || ',LLMs' END AS several, CASE WHEN c_custkey % 8 = 4 THEN 'knitting,chess' WHEN skill IS NULL THEN 'chess' ELSE skill || ',chess' END AS kept FROM s""")
 
+# ---------- discovery ----------
+
+
+def _customers(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), *(F.expr(e).alias(c) for c, e in columns.items()))
+
+
+_MARKUP = """concat('<a href="https://boards.greenhouse.io/Acme', page_id % 50, '">x</a> https://api.ashbyhq.com/posting-api/job-board/acme', if(page_id % 2 = 0, ' https://Careers.recruitee.com https://acme-', ' https://acme-'), page_id, '.recruitee.com/ https://t.wd3.myworkdayjobs.com/en-US/Site', page_id % 3,
+    ' https://boards.greenhouse.io/Acme', page_id % 50, if(page_id % 3 = 0, ' https://static.homerun.co/a.js https://acme.homerun.co', ''), ' apply.workable.com/api/v1/widget/accounts/w', page_id, ' apply.workable.com/j/ABC')""".replace("page_id", "c_custkey")
+register("x33_boards_on_pages", lambda spark, sf_dir: discovery.boards_on_pages(_customers(spark, sf_dir, html=_MARKUP)), """
+    , b AS (SELECT c_custkey AS k, list_filter([{'ats': 'greenhouse', 'slug': 'Acme' || (c_custkey % 50)}, {'ats': 'ashby', 'slug': 'acme'}, {'ats': 'workable', 'slug': 'w' || c_custkey}, {'ats': 'recruitee', 'slug': 'acme-' || c_custkey}, {'ats': 'workday', 'slug': 't.wd3/Site' || (c_custkey % 3)},
+        CASE WHEN c_custkey % 3 = 0 THEN {'ats': 'homerun', 'slug': 'acme'} END], lambda x: x IS NOT NULL) AS l FROM customer), e AS (SELECT k, unnest(l) AS b, unnest(range(len(l))) AS nth FROM b) SELECT k AS page_id, CAST(nth AS INTEGER) AS nth, b.ats AS ats, b.slug AS slug FROM e""")
+_LINKS = """concat('<a class=x href="/about">About us</a><a href=\\'jobs/all\\'><b>Open</b> list</a><a href="https://jobs.lever.co/acme', c_custkey, '">apply</a><a href="/team#top">Join us</a><a href="https://other.example/careers">elsewhere</a>', '<a href="https://www.acme.example/jobs/all">Vacatures</a><a href="https://other.example/x">jobs</a>')"""
+register("x33_careers_links", lambda spark, sf_dir: discovery.careers_links(_customers(spark, sf_dir, url="'https://www.acme.example/'", html=_LINKS)),
+         "SELECT c_custkey AS page_id, unnest([1, 2, 3]) AS rank, unnest(['https://jobs.lever.co/acme' || c_custkey, 'https://www.acme.example/jobs/all', 'https://www.acme.example/team']) AS href FROM customer")
+_ROBOTS = """concat('# file of ', c_custkey, '\\nUser-agent: *\\nDisallow: /private\\nAllow: /private/open*end$\\n', if(c_custkey % 3 = 0, 'User-agent: other\\nUser-agent: TideBot\\nDisallow: /jobs\\nDisallow:\\nAllow: /jobs/it\\n', ''), if(c_custkey % 4 = 0, 'User-Agent: *\\nDisallow: /*.pdf$ # files\\nAllow: /a+b\\nDisallow: /a+b\\n', ''))"""
+_PATH = "element_at(array('/private/x', '/private/open/the/end', '/private/open/the/end/not', '/jobs/it/1', '/jobs/hr', '/x.pdf', '/x.pdf?a', '/a+b', '/aab'), cast({k} % 9 + 1 as int))"
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _customers(spark, sf_dir, host="concat('h', c_custkey)", text=_ROBOTS)
+    urls = standin.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("concat('h', o_custkey + if(o_orderkey % 20 = 0, 100000000, 0))").alias("host"), F.expr(_PATH.format(k="o_orderkey")).alias("path"))
+    return discovery.with_robots_verdict(urls, discovery.robots_rules(files, "tidebot/1.0")).select("id", "allowed")
+
+
+register("x32_robots", _robots, """, u AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 9 AS p, o_orderkey % 20 = 0 AS other FROM orders)
+    SELECT id, CASE WHEN other THEN true WHEN c % 3 = 0 THEN p <> 4 ELSE p NOT IN (0, 2) AND NOT (c % 4 = 0 AND p = 5) END AS allowed FROM u""")
+
+
+def _entries_of_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight addresses in each of three sitemaps of a domain; the second has most postings, the third is on a platform."""
+    rows = standin.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("nth"))
+    rows = rows.select("k", "nth", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("at"))
+    return rows.selectExpr("concat('d', k) AS domain", "element_at(array('https://a.example/map1', 'https://a.example/map2', 'https://x.recruitee.com/map'), nth + 1) AS sitemap", "nth", "at",
+                           "if(at < case nth when 0 then 3 when 1 then 2 + k % 4 else 8 end, concat('https://a.example/jobs/', 1000 + at), concat('https://a.example/about/', at)) AS url", "at = k % 5 AS has_posting")
+
+
+register("x44_job_sitemaps", lambda spark, sf_dir: discovery.job_sitemaps(_entries_of_sitemaps(spark, sf_dir)), """, s AS (SELECT s_suppkey AS k, 2 + s_suppkey % 4 AS n, s_suppkey % 5 AS h FROM supplier)
+    SELECT 'd' || k AS domain, CASE WHEN n > 3 THEN 'https://a.example/map2' ELSE 'https://a.example/map1' END AS sitemap, CASE WHEN n > 3 THEN n ELSE 3 END AS jobs, 'https://a.example/jobs/' || (1000 + h) AS sample FROM s WHERE h < 3""")
+register("x45_guesses", lambda spark, sf_dir: _customers(spark, sf_dir, domain="concat(if(c_custkey % 2 = 0, 'https://www.', ''), 'Big-Firm', c_custkey, '.example', if(c_custkey % 3 = 0, '/', ''))").select("page_id", F.array_join(discovery.guessed_slugs(F.col("domain")), " ").alias("slugs"), F.array_join(discovery.careers_hosts(F.col("domain")), " ").alias("hosts")), """
+    SELECT c_custkey AS page_id, replace('big-firm# bigfirm# big_firm#', '#', CAST(c_custkey AS VARCHAR)) AS slugs, replace('www.big-firm#.example big-firm#.example werkenbij.big-firm#.example careers.big-firm#.example jobs.big-firm#.example werkenbijbig-firm#.nl www.werkenbijbig-firm#.nl werkenbij-big-firm#.nl', '#', CAST(c_custkey AS VARCHAR)) AS hosts FROM customer""")
+
 # ---------- page views ----------
 
 _REQUEST = {
