@@ -37,8 +37,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def stored(df):
-    """``df`` computed and kept in the checkpoint folder that all executors share; a local one only where none is set."""
+    """``df`` computed and kept in the checkpoint folder that all executors share; where none is set, a local session gets one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
