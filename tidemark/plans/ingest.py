@@ -157,10 +157,11 @@ def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.tracker(entries, standin.postings(spark, sf_dir, skills=False), standin.sources(spark, sf_dir))
 
 
-register("j6_tracker", lambda spark, sf_dir: _tracked(spark, sf_dir).select("name", "status", "live_postings"), """, live AS (SELECT company, count(*) AS n FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL GROUP BY company)
-    SELECT 'Eleven' AS name, CASE WHEN count(*) > 0 THEN 'covered' ELSE 'missing' END AS status, CAST(coalesce(sum(n), 0) AS BIGINT) AS live_postings FROM live WHERE company = 'Customer#000000011'
-    UNION ALL SELECT 'Third', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_3' UNION ALL SELECT 'Seventh', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_7' UNION ALL SELECT 'Nobody', 'missing', 0""")
-register("a12_tracker_summary", lambda spark, sf_dir: matching.tracker_summary(_tracked(spark, sf_dir)))
+_LIVE = """, live AS (SELECT company, count(*) AS n FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL GROUP BY company),
+    t AS (SELECT 'Eleven' AS name, CASE WHEN count(*) > 0 THEN 'covered' ELSE 'missing' END AS status, CAST(coalesce(sum(n), 0) AS BIGINT) AS live_postings FROM live WHERE company = 'Customer#000000011'
+    UNION ALL SELECT 'Third', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_3' UNION ALL SELECT 'Seventh', 'registered', CAST(coalesce(max(last_nl_count), 0) AS BIGINT) FROM sources WHERE slug = 'nation_7' UNION ALL SELECT 'Nobody', 'missing', 0)"""
+register("j6_tracker", lambda spark, sf_dir: _tracked(spark, sf_dir).select("name", "status", "live_postings"), _LIVE + " SELECT name, status, live_postings FROM t")
+register("a12_tracker_summary", lambda spark, sf_dir: matching.tracker_summary(_tracked(spark, sf_dir)), _LIVE + " SELECT status, count(*) AS entries, CAST(sum(live_postings) AS BIGINT) AS live_postings FROM t GROUP BY status")
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +171,9 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("j7_match_sample", lambda spark, sf_dir: matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False)))
 register("a21_recall_report", lambda spark, sf_dir: matching.recall_report(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False))))
-register("a21_missing_employers", lambda spark, sf_dir: matching.missing_employers(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False))))
+register("a21_missing_employers", lambda spark, sf_dir: matching.missing_employers(matching.match_sample(_sample(spark, sf_dir), standin.postings(spark, sf_dir, skills=False))), """
+    , a AS (SELECT id, CASE WHEN id % 60 = 0 THEN 'Unknown B.V.' ELSE company END AS company FROM postings WHERE id % 20 = 0 AND id % 3 = 0 AND id % 100 <> 0)
+    SELECT company, count(*) AS postings FROM a WHERE company NOT IN (SELECT company FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL) GROUP BY company ORDER BY postings DESC, company LIMIT 40""")
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
