@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 Three machines are compiled from a model file. The normaliser rewrites characters (space to U+2581) and
-puts one mark in front. The pieces are a trie whose arcs read characters; a state in which a piece ends
-has an arc back to the start that writes the piece at its weight, and a character that no piece
-covers passes by way of its bytes. The acceptor says in which order pieces may come: its states are the
+puts one mark in front. The pieces are a machine of one state with an arc for each piece, which reads its
+characters and writes it at its weight; a character that no piece covers passes by way of its bytes.
+The acceptor says in which order pieces may come: its states are the
 last pieces, its arcs the next ones, with a weight.
 
 The machines are composed with an input lazily: a state of the composition is a place in the text and a
 state of the acceptor, and only states that some path reaches at finite weight are made. The encoding
-is the path of least weight, found by relaxing arcs in order of their places (sums along a path, the
-least among paths: the tropical semiring). Among paths of one weight the one whose last piece is
+is the path of least weight, found by relaxing the arcs into each place in order of the places (sums
+along a path, the least among paths: the tropical semiring). Among paths of one weight the one whose last piece is
 longest wins, and so on towards the front.
 
 For a byte-pair model pieces weigh 0, and the acceptor's weight between two pieces is 0 where merging by
@@ -50,50 +50,32 @@ INFINITE = float("inf")
 
 
 class Normaliser:
-    """One state: an arc for each rewritten character, all others pass as they are; the way in writes ``prefix``."""
+    """One state: an arc for each rewritten character, none of which is written by another arc; all others pass as they are; the way in writes ``prefix``."""
 
     def __init__(self, arcs: dict[str, str], prefix: str):
-        self.arcs, self.prefix = {ord(c): out for c, out in arcs.items()}, prefix
+        self.arcs, self.prefix = arcs, prefix
 
     def __call__(self, text: str) -> str:
-        return self.prefix + text.translate(self.arcs) if text else ""
+        for c, out in self.arcs.items():
+            text = text.replace(c, out)
+        return self.prefix + text if text else ""
 
 
 class Pieces:
-    """A trie as arc tables: ``next[state]`` leads on by a character, ``final[state]`` is the piece that ends there and its weight."""
+    """One state, with an arc back to itself for each piece: it reads the piece's characters and writes the piece at its weight."""
 
     def __init__(self, weights: dict[str, float]):
-        self.next: list[dict[str, int]] = [{}]
-        self.final: list[tuple[str, float] | None] = [None]
-        for piece, weight in weights.items():
-            state = 0
-            for c in piece:
-                if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
-                    self.next.append({})
-                    self.final.append(None)
-                state = self.next[state][c]
-            self.final[state] = piece, weight
-        # a character without a piece of its own passes at more than any piece costs
+        self.weights = weights
+        self.longest = max(map(len, weights), default=1)
+        # the arc of a character without a piece of its own costs more than any piece
         self.uncovered = max([0.0, *weights.values()]) + 10.0
 
-    def arcs(self, text: str, start: int) -> list[tuple[str, float]]:
-        """The pieces that begin at ``start``, short ones first, with their weights."""
-        found, state, following, final = [], 0, self.next, self.final
-        for at in range(start, len(text)):
-            state = following[state].get(text[at])
-            if state is None:
-                break
-            if final[state]:
-                found.append(final[state])
-        if not found or len(found[0][0]) > 1:
-            found.insert(0, (text[start], self.uncovered))
-        return found
-
 
 class FreeOrder:
     """The acceptor of a unigram model: one state, every piece may follow at no weight."""
 
+    one_path = False
+
     def arc(self, state: str, piece: str) -> tuple[str, float]:
         return "", 0.0
 
@@ -101,6 +83,8 @@ class FreeOrder:
 class MergeOrder:
     """The acceptor of a byte-pair model. Its states are the last pieces; arcs are made when first asked for, by merging the pair's characters."""
 
+    one_path = True  # reaches each place at finite weight
+
     def __init__(self, score: dict[str, float]):
         self.score = score
         self.weights: dict[tuple[str, str], float] = {}
@@ -129,31 +113,59 @@ class MergeOrder:
 
 def shortest_path(text: str, pieces: Pieces, order: FreeOrder | MergeOrder) -> tuple[float, list[str]]:
     """The least weight of a path through the composition of ``text`` with the two machines, and its pieces."""
-    n = len(text)
+    if order.one_path:
+        return only_path(text, pieces, order)
+    n, weights = len(text), pieces.weights
     # at each place: state of the acceptor -> (weight, where its last piece began, the state there, that piece)
-    reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
-    reached[0][""] = (0.0, 0, "", "")
-    for start in range(n):
-        here = reached[start]
-        if not here:
-            continue
-        for piece, weight in pieces.arcs(text, start):
-            there = reached[start + len(piece)]
-            for state, (cost, *_) in here.items():
+    reached: list[dict[str, tuple]] = [{"": (0.0, 0, "", "")}]
+    for end in range(1, n + 1):
+        there: dict[str, tuple] = {}
+        for start in range(end - 1, max(-1, end - pieces.longest - 1), -1):
+            piece = text[start:end]
+            weight = weights.get(piece, pieces.uncovered if start == end - 1 else INFINITE)
+            if weight == INFINITE:
+                continue
+            for state, known in reached[start].items():
                 after, extra = order.arc(state, piece)
-                total = cost + weight + extra
-                # places come in order, so of equal weights the first has the longest last piece
-                if total < INFINITE and (after not in there or total < there[after][0]):
+                total = known[0] + weight + extra
+                # pieces come longer and longer, so of equal weights the last has the longest last piece
+                if total < INFINITE and (after not in there or total <= there[after][0]):
                     there[after] = (total, start, state, piece)
+        reached.append(there)
     if not n:
         return 0.0, []
-    state, best = min(reached[n].items(), key=lambda x: (x[1][0], x[1][1]))
-    out, (total, start, before, piece) = [], best
-    while True:
-        out.append(piece)
-        if not start:
-            return total, out[::-1]
+    state, (total, start, before, piece) = min(reached[n].items(), key=lambda x: (x[1][0], x[1][1]))
+    out = [piece]
+    while start:
         _, start, before, piece = reached[start][before]
+        out.append(piece)
+    return total, out[::-1]
+
+
+def only_path(text: str, pieces: Pieces, order: MergeOrder) -> tuple[float, list[str]]:
+    """The same where one path of finite weight reaches each place: the first finite arc into a place is its least, and no other is tried."""
+    n, weights, longest, known = len(text), pieces.weights, pieces.longest, order.weights
+    last, total = [""] * (n + 1), [0.0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(end - 1, max(-1, end - longest - 1), -1):
+            piece = text[start:end]
+            weight = weights.get(piece)
+            if weight is None:
+                if start < end - 1:
+                    continue
+                weight = pieces.uncovered
+            state = last[start]
+            extra = known.get((state, piece)) if state else 0.0
+            if extra is None:
+                extra = order.arc(state, piece)[1]
+            if extra < INFINITE:
+                last[end], total[end] = piece, total[start] + weight + extra
+                break
+    out, end = [], n
+    while end:
+        out.append(last[end])
+        end -= len(last[end])
+    return total[n], out[::-1]
 
 
 class Transducer:
