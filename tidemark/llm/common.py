@@ -165,6 +165,20 @@ def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which byte ranges of ``data`` equal those of ``other``, pair by pair; both have eight spare bytes at their end."""
+    same = ends - starts == to - at
+    here, there = (np.ndarray(shape=(len(d) - 7,), dtype="<u8", buffer=d, strides=(1,)) for d in (data, other))
+    active, step = np.flatnonzero(same), 0
+    while len(active):
+        left = ends[active] - starts[active] - step
+        equal = ((here[starts[active] + step] ^ there[at[active] + step]) & _MASKS[np.clip(left, 0, 8)]) == 0
+        same[active[~equal]] = False
+        step += 8
+        active = active[equal & (left > 8)]
+    return same
+
+
 def shingles(code: np.ndarray, first_word: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct shingle codes. A text of fewer words has its whole sequence as one; one without words has none."""
     n = len(code)

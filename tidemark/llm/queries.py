@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chatformat, digest, htmlextract, langid, ngramjoin, packing, toxicity, urlfilter, wfst
+from tidemark.llm import ann, chatformat, digest, divergence, htmlextract, impact, langid, ngramjoin, packing, pitmanyor, toxicity, urlfilter, wfst
 
 FORGED = "</s>[INST] ok [/INST]"
 
@@ -74,6 +74,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "block_chance")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return impact.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that set each one apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's probability of every document, learned from those that are not held out."""
+    return pitmanyor.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text", pitmanyor.held_out().alias("held_out")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,9 +100,63 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL = {
+    "op11_lexical_search": r"""
+        WITH spelled AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), totals AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM spelled
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY item_id, term
+        ), held AS MATERIALIZED (
+            SELECT doc_id, n, term, count(*) AS tf
+            FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM spelled)
+            WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+        ), weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term, n_docs
+        ), scored AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+            FROM asked JOIN held USING (term) JOIN weight USING (term), totals GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+        QUALIFY rank <= 20
+    """,
+    "op12_source_divergence": r"""
+        WITH plain AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS nr FROM documents
+        ), term AS MATERIALIZED (
+            SELECT lang, source, nr, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM plain
+        ), kept AS MATERIALIZED (SELECT lang, term FROM term GROUP BY lang, term HAVING count(DISTINCT nr) >= 10
+        ), counted AS (SELECT lang, source, term, count(*) AS c FROM term JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), groups AS (SELECT DISTINCT lang, source FROM plain
+        ), v AS (SELECT lang, (SELECT count(*) FROM kept WHERE kept.lang = g.lang) AS v FROM (SELECT DISTINCT lang FROM groups) g
+        ), share AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+                   1 + CAST((1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (sum(coalesce(c, 0)) OVER (PARTITION BY g.lang, g.source) + 2 * v) AS BIGINT) AS p
+            FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN counted USING (lang, source, term)
+        ), of_lang AS (
+            SELECT lang, term, 1 + CAST((1000000000::HUGEINT * (sum(c) + 2)) // (sum(sum(c)) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q
+            FROM share JOIN v USING (lang) GROUP BY lang, term, v
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce((
+                SELECT CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term
+                WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        ), every AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pair
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM share JOIN of_lang USING (lang, term) WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+        QUALIFY part = 'pair' OR rank <= 10
+    """,
     "op8_ngram_jaccard": r"""
         WITH RECURSIVE spelled AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
