@@ -10,7 +10,7 @@ With discount d, concentration s, c customers and T tables in a restaurant, its
 Table counts are sampled by Gibbs, a dish at a time: given the rest, P(t) is proportional to S_d(n, t) a^t,
 with S_d the generalised Stirling numbers and a = (s + d T) * parent's prediction. Up to EXACT customers
 the numbers come from their recurrence, beyond that from a series or the saddle point of their generating
-function, at 65 counts about the likeliest, so that a dish of a billion customers costs no more than one of
+function, at 33 counts about the likeliest, so that a dish of a billion customers costs no more than one of
 hundreds. Within a sweep dishes are independent given their
 restaurant's table count and the parent's prediction after the sweep before, so a restaurant of any size
 is spread over all tasks. Several chains run side by side, and what is used is the mean of their
@@ -46,8 +46,9 @@ SLICES = 8
 CHAINS = 4
 SWEEPS = 3
 EXACT = 256
+PLACES = 16  # table counts tried on either side of about the likeliest, for dishes of more customers
 GRID = np.exp2(np.arange(-6, 25, dtype=np.float64))
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BEGIN, END = np.uint64(0x8E5B9C3D7A1F2E41), np.uint64(0x3C6EF372FE94F82B)
 _STEP, _CHAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 STATE = "array<double>"
@@ -84,40 +85,51 @@ def stirling_table(d: float, most: int = EXACT) -> np.ndarray:
 
 
 def log_stirling(n: np.ndarray, t: np.ndarray, d: float, terms: int = 24) -> np.ndarray:
-    """log S_d(n, t) for large n, but for a term of n alone.
+    """log S_d(n, t) for large n (one a row) and some t of each (a row of them), but for a term of n alone.
 
     S_d(n, t) = n! / t! * [x^n] ((1 - (1 - x)^d) / d)^t. Where t is small beside n^d, by the binomial series of the power; else at the
     saddle point of the generating function.
     """
-    n, t = np.broadcast_arrays(np.asarray(n, dtype=np.float64), np.asarray(t, dtype=np.float64))
-    out = np.empty(n.shape)
+    n = np.asarray(n, dtype=np.float64)[:, None]
+    t = np.asarray(t, dtype=np.float64)
+    k = np.arange(1, terms + 1, dtype=np.float64)
+    first = log_gamma(n - d)
+    factor = (-1) ** (k + 1) * np.sin(np.pi * d * k) / np.pi * np.exp(log_gamma(1 + d * k) + log_gamma(n - d * k) - first)
     few = t < n**d
-    out[few], out[~few] = _series(n[few], t[few], d, terms), _saddle(n[~few], t[~few], d)
+    total, ways = np.zeros(t.shape), np.where(few, 1.0, 0.0)
+    for j in range(terms):
+        ways *= (t - j) / (j + 1)  # t over j + 1, which is 0 for t of j or less
+        total += factor[:, j, None] * ways
+    out = np.where(few, np.log(np.maximum(total, 1e-300)) + first - log_gamma(n + 1), 0.0)
+    row, place = np.nonzero(~few)
+    out[row, place] = _saddle(n[row, 0], t[row, place], d)
     return out - log_gamma(t + 1) - t * np.log(d)
 
 
-def _series(n: np.ndarray, t: np.ndarray, d: float, terms: int) -> np.ndarray:
-    total, first = np.zeros(n.shape), None
-    for k in range(1, terms + 1):
-        size = log_gamma(t + 1) - log_gamma(np.maximum(t - k, 0) + 1) - log_gamma(np.float64(k + 1)) + log_gamma(np.float64(1 + d * k)) + log_gamma(n - d * k) - log_gamma(n + 1)
-        first = size if first is None else first
-        total += np.where(t >= k, (-1) ** (k + 1) * np.sin(np.pi * d * k) * np.exp(size - first), 0)
-    return np.log(np.maximum(total, 1e-300)) - np.log(np.pi) + (0 if first is None else first)
-
-
 def _saddle(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    low, high = np.full(n.shape, -90.0), np.full(n.shape, -1e-9)
-    for _ in range(50):  # y = 1 - x at the saddle, in logarithms
-        middle = (low + high) / 2
-        y = np.exp(middle)
-        above = t * -np.expm1(middle) * d * y ** (d - 1) > n * -np.expm1(d * middle)
-        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    middle = _falling(lambda y, ly: t * -np.expm1(ly) * d * y ** (d - 1) > n * -np.expm1(d * ly), n.shape)
     y, x = np.exp(middle), -np.expm1(middle)
     g = -np.expm1(d * middle)
     bend = n * np.maximum(1 + x * ((1 - d) / y - d * y ** (d - 1) / g), 1e-12)
     return t * np.log(g) - n * np.log(x) - 0.5 * np.log(2 * np.pi * bend)
 
 
+def _falling(above, shape: tuple) -> np.ndarray:
+    """log y at which ``above(y, log y)`` turns false, by halving."""
+    low, high = np.full(shape, -90.0), np.full(shape, -1e-9)
+    for _ in range(25):
+        middle = (low + high) / 2
+        more = above(np.exp(middle), middle)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return (low + high) / 2
+
+
+def likeliest(n: np.ndarray, mass: np.ndarray, d: float) -> np.ndarray:
+    """About the mode of S_d(n, t) mass^t in t: where both n's saddle point and t are stationary, mass x (1 - x)^(d - 1) = n."""
+    at = _falling(lambda y, ly: mass * -np.expm1(ly) * y ** (d - 1) > n, n.shape)
+    return np.clip(np.round(mass * -np.expm1(d * at) / d), 1, n)
+
+
 def uniform(code: np.ndarray, sweep: int, chain: int) -> np.ndarray:
     """A number in (0, 1) for each dish, fixed by its code, the sweep and the chain."""
     with np.errstate(over="ignore"):
@@ -148,19 +160,12 @@ def draw_tables(n: np.ndarray, mass: np.ndarray, u: np.ndarray, d: float, table:
     rows = np.flatnonzero(n > EXACT)
     for a in range(0, len(rows), 1 << 10):
         some = rows[a : a + (1 << 10)]
-        size, own = n[some].astype(np.float64), log_mass[some]
-        below, above = np.ones(len(some)), size.copy()
-        for _ in range(64):  # the mode, as the weights rise and then fall
-            third = np.floor((above - below) / 3)
-            p, q = below + third, above - third
-            rising = log_stirling(size, p, d) + p * own < log_stirling(size, q, d) + q * own
-            below, above = np.where(rising, np.minimum(p + 1, above), below), np.where(rising, above, np.maximum(q - 1, below))
-            if (below >= above).all():
-                break
-        stride = np.maximum(1, np.ceil(6 * np.sqrt(below) / 32))
-        first = np.maximum(1, below - 32 * stride)
-        counts = np.minimum(first[:, None] + stride[:, None] * np.arange(65), size[:, None])
-        t[some] = counts[np.arange(len(some)), _picked(log_stirling(size[:, None], counts, d) + counts * own[:, None], u[some])].astype(np.int64)
+        size, own = n[some].astype(np.float64), np.exp(log_mass[some])
+        centre = likeliest(size, own, d)
+        stride = np.maximum(1, np.ceil(6 * np.sqrt(centre) / PLACES))
+        first = np.maximum(1, centre - PLACES * stride)
+        counts = np.minimum(first[:, None] + stride[:, None] * np.arange(2 * PLACES + 1), size[:, None])
+        t[some] = counts[np.arange(len(some)), _picked(log_stirling(size, counts, d) + counts * log_mass[some, None], u[some])].astype(np.int64)
     return t
 
 
