@@ -23,7 +23,11 @@ from tidemark.session import stored
 KIND_RANK = {"employer": 0, "board": 0, "agency": 1, "aggregator": 2}
 ATS_RANK = {"greenhouse": 0, "lever": 0, "ashby": 0, "recruitee": 0, "workable": 0, "jsonld": 5}
 # Language and country codes that sites put into paths.
-LANGUAGES = "en nl de fr es it pt pl el sv da fi no nb cs hu ro tr ja zh ko ru uk bg hr sk sl lt lv et ar he th vi id br cn jp kr se dk cz gr ua gb us be at ch".split()
+LANGUAGES = (
+    "en", "nl", "de", "fr", "es", "it", "pt", "pl", "el", "sv", "da", "fi", "no", "nb", "cs", "hu", "ro", "tr", "ja", "zh", "ko", "ru", "uk", "bg",
+    "hr", "sk", "sl", "lt", "lv", "et", "ar", "he", "th", "vi", "id", "br", "cn", "jp", "kr", "se", "dk", "cz", "gr", "ua", "gb", "us", "be", "at",
+    "ch",
+)
 STUB_LENGTH = 300
 # What bilingual sites put before a title, and Dutch words of titles with their English cognates.
 TITLE_PREFIX = r"(?iuU)^(?:stage|internship|afstudeerstage|graduation internship|vacature|vacancy)\s*[|:–-]\s*"
@@ -52,7 +56,7 @@ def _segments(url: Column) -> Column:
 
 def language_of(segment: Column) -> Column:
     code = F.regexp_extract(F.lower(segment), r"^([a-z]{2})(?:[-_][a-z]{2})?$", 1)
-    return F.when(code.isin(LANGUAGES), code)
+    return F.when(code.isin(*LANGUAGES), code)
 
 
 def language_stem(url: Column) -> Column:
@@ -228,6 +232,30 @@ def bilingual(rows: DataFrame, threshold: float = 0.55, lone_threshold: float =
     return best_first.mapInArrow(_greedy, "dup long, canon long")
 
 
+def without_cycles(links: DataFrame) -> DataFrame:
+    """``links`` (dup, canon, one of each dup) as they stand if taken by ascending dup, each refused that would close a cycle.
+
+    Every row has one link at most, so a cycle of any length is closed by the last of its links: that one is dropped. Walks are doubled,
+    with the greatest dup on the way, until all have ended or are longer than there are rows that have not ended, so each of those has
+    gone round its cycle. A link to itself is a cycle too. An empty table stays empty; rows without dup or canon are no links.
+    """
+    links = stored(links.where("dup is not null and canon is not null").select("dup", "canon"))
+    walks, length = links.select("dup", F.col("canon").alias("to"), F.col("dup").alias("top")), 1
+    while True:
+        onward = walks.select(F.col("dup").alias("to"), F.col("to").alias("next"), F.col("top").alias("next_top"))
+        met = stored(walks.join(onward, "to", "left").select("dup", "to", "top", "next", "next_top"))
+        going = met.where("next is not null")
+        number = going.count()
+        if not number:
+            return links
+        if length >= number:
+            break
+        walks, length = met.select("dup", F.coalesce("next", "to").alias("to"), F.greatest("top", "next_top").alias("top")), 2 * length
+    on_cycles = going.select(F.col("to").alias("dup")).distinct()
+    last = going.join(on_cycles, "dup").select(F.col("top").alias("dup")).distinct()
+    return links.join(last, "dup", "left_anti")
+
+
 def resolve_roots(links: DataFrame) -> DataFrame:
     """dup, root of links (dup, canon) without cycles: chains are followed by doubling until nothing changes."""
     roots = stored(links.select("dup", F.col("canon").alias("root")))
@@ -240,7 +268,11 @@ def resolve_roots(links: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(postings: DataFrame, sources: DataFrame) -> DataFrame:
-    """id, duplicate_of, also_in of all open postings: the root of each duplicate, and a root's further cities."""
+    """id, duplicate_of, also_in of all open postings: the root of each duplicate, and a root's further cities.
+
+    Rules in order; of one rule the links in order of the duplicate's id, none that would close a cycle. A row that an earlier rule has
+    marked stays as it is. No open posting gives no row; rows without a source are not seen; further columns are not read.
+    """
     rows = prepared(postings, sources)
     roots = None
     cities = None
@@ -256,12 +288,11 @@ def mark_duplicates(postings: DataFrame, sources: DataFrame) -> DataFrame:
         if roots is not None:
             up = roots.select(F.col("dup").alias("canon"), F.col("root"))
             pairs = pairs.join(roots.select("dup"), "dup", "left_anti").join(up, "canon", "left").select("dup", F.coalesce("root", "canon").alias("canon")).where("dup <> canon")
-        pairs = stored(pairs.groupBy("dup").agg(F.min("canon").alias("canon")))
-        # two rows that this rule marks with each other: the smaller id stays
-        back = pairs.select(F.col("canon").alias("dup"), F.col("dup").alias("canon"))
-        pairs = pairs.join(back.where("dup < canon"), ["dup", "canon"], "left_anti")
+        pairs = without_cycles(pairs.groupBy("dup").agg(F.min("canon").alias("canon")))
         links = pairs if roots is None else pairs.unionByName(roots.select("dup", F.col("root").alias("canon")))
         roots = resolve_roots(links)
-    folded_in = cities.join(roots.select(F.col("dup").alias("canon"), "root"), "canon", "left").groupBy(F.coalesce("root", "canon").alias("id")).agg(F.array_sort(F.collect_set("dup_city")).alias("also_in"))
+        if rule is per_city:  # cities go to the root of the moment; should a later rule mark it, they are not handed on
+            cities = stored(cities.join(roots.select(F.col("dup").alias("canon"), "root"), "canon", "left").select(F.coalesce("root", "canon").alias("id"), "dup_city"))
+    folded_in = cities.groupBy("id").agg(F.array_sort(F.collect_set("dup_city")).alias("also_in"))  # names of places, a few thousand at most
     out = rows.select("id").join(roots.select(F.col("dup").alias("id"), F.col("root").alias("duplicate_of")), "id", "left").join(folded_in, "id", "left")
     return out.select("id", "duplicate_of", F.when(F.col("duplicate_of").isNull(), F.col("also_in")).alias("also_in"))
