@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.employers import self_description
 from tidemark.functions.normalize import folded, norm_company, norm_title
 from tidemark.operators.filters import Filters
+from tidemark.operators.sections import self_description
 from tidemark.operators.stats import match_score
 
 MAX_LIST_ROWS = 20_000  # of hand-kept lists, which are broadcast up to this size
@@ -65,7 +65,8 @@ def sectors(postings: DataFrame, sources: DataFrame, curated: DataFrame, fragmen
     rows = postings.where("closed_at is null and duplicate_of is null and is_tech").join(sources.select("source_id", "kind"), "source_id")
     nth = F.row_number().over(Window.partitionBy("company").orderBy("id"))
     few = rows.withColumn("nth", nth).where(F.col("nth") <= intros)
-    few = few.withColumn("intro", self_description("company", F.left("description", F.lit(read_chars)), F.lit(intro_chars)))
+    said = self_description(few.select("company", "nth", F.left("description", F.lit(read_chars)).alias("text")), ["company", "nth"], F.col("company"), limit=intro_chars)
+    few = few.select("company", "nth", "kind").join(said, ["company", "nth"], "left").withColumn("intro", F.coalesce("intro", F.lit("")))
     own = few.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col("intro").alias("t")))), lambda x: x["t"]), "\n").alias("intro"), F.min_by("kind", "nth").alias("kind"))  # at most ``intros`` a company
     found = own.join(small(curated.select("company", F.col("sector").alias("c"))), "company", "left").join(listed_sectors(own, fragments).withColumnRenamed("sector", "l"), "company", "left")
     word = text_sector(F.concat_ws("\n", "company", "intro"), patterns)
