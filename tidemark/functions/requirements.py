@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.spans import after_last, before_first, first, search, spans
+from tidemark.functions.spans import after_last, before_first, first, let, search, spans
 
 FLAGS = "(?iuU)"
 
@@ -70,7 +70,7 @@ def years_asked(text: Column) -> Column:
         meant = search(s["after"], FLAGS + CONTEXT) | search(s["before"], FLAGS + CONTEXT)
         return ~other & meant & F.coalesce(least_years(s["match"]).between(1, 19), F.lit(False))
 
-    return first(F.filter(spans(text, YEARS, 40, 60), asks))
+    return F.when(search(text, "(?i)years?|yrs?|jaren|jaar"), first(F.filter(spans(text, YEARS, 40, 60), asks)))
 
 
 def least_years(match: Column) -> Column:
@@ -78,18 +78,24 @@ def least_years(match: Column) -> Column:
     return F.when(_group(match, 1) != "", 1).otherwise(F.ceil(_number(_group(match, 2), 1.0))).cast("int")
 
 
+def years(text: Column) -> Column:
+    """Least years of experience asked for (``years``), and as worded (``worded``): "1-3", "5+", "1.5" or "3", null where they start in months."""
+    return let(years_asked(text), lambda s: F.struct(least_years(s["match"]).alias("years"), _worded(s).alias("worded")))
+
+
 def find_years(text: Column) -> Column:
-    """Least years of experience asked for."""
-    return least_years(years_asked(text)["match"])
+    return years(text)["years"]
+
+
+def years_text(text: Column) -> Column:
+    return years(text)["worded"]
 
 
 def _short(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def years_text(text: Column) -> Column:
-    """Those years as worded: "1-3", "5+", "1.5" or "3"; null where they start in months."""
-    span = years_asked(text)
+def _worded(span: Column) -> Column:
     match = span["match"]
     low, high = _number(_group(match, 2), 0.5), _number(_group(match, 4), 0.5)
     open_end = (_group(match, 3) != "") | search(F.right(span["before"], F.lit(25)), FLAGS + AT_LEAST)
@@ -143,6 +149,11 @@ CLAUSE_END = r"[.!?;\n•|]"
 NOT_BEFORE = r"\b(?:no|not(?! only)|geen|niet|cannot|unable|without|never|nor|nooit)\b|n[’']t\b"
 NOT_AFTER = r"^\W{0,4}(?:[\w-]+\W+){0,4}?(?:is |are |will be |wordt |kunnen wij )?(?:not|niet|unavailable|nee|no)\b(?! (?:matter|longer)\b)"
 CONDITION = r"^\W*(?:if|als|in case|should|when)\b[^,]*,"
+# Every statement has one of these words.
+ANCHOR = (
+    r"vis[au]m?|sponsor|relocat|permit|vergunning|migrant|30\s?%|referent|immigration|verhuis|expat|right|eligib|authori[sz]|citizen|passport|national|residen|already|"
+    r"gerechtigd|mag werken|\bhsm\b|moving|\bmove\b|permitted to|allowed to|entitled to|legally"
+)
 YES, NO = r"^(?:yes|ja|available|possible|provided)\b", r"^(?:no|nee|not)\b"
 HEDGED = r"prefer\w*|a plus|an advantage|\bpr[eé]\b|\?|if applicable"
 
@@ -161,9 +172,9 @@ def _stance(s: Column) -> Column:
 def detect_visa(text: Column) -> Column:
     """Whether a visa or help with moving is offered: true, false where it is refused or the right to work is asked for, else null."""
     strong, weak = (F.transform(spans(text, FLAGS + p, 110, 60), _stance) for p in (VISA, MOVING))
-    refused = F.exists(
-        spans(text, FLAGS + NO_VISA, 110, 2000),
-        lambda s: ~search(F.concat(after_last(s["before"], CLAUSE_END), s["match"], F.regexp_extract(s["after"], f"^[^{CLAUSE_END[1:-1]}]*{CLAUSE_END}?", 0)), FLAGS + HEDGED),
-    )
-    said = lambda stances, what: F.coalesce(F.exists(stances, lambda x: x.eqNullSafe(F.lit(what))), F.lit(False))
-    return F.when(said(strong, True), True).when(F.coalesce(refused, F.lit(False)), False).when(said(weak, True), True).when(said(strong, False) | said(weak, False), False)
+    hedged = lambda s: search(F.concat(after_last(s["before"], CLAUSE_END), s["match"], F.regexp_extract(s["after"], f"^[^{CLAUSE_END[1:-1]}]*{CLAUSE_END}?", 0)), FLAGS + HEDGED)
+    refused = F.exists(spans(text, FLAGS + NO_VISA, 110, 2000), lambda s: ~hedged(s))
+    said = lambda stances, what: F.exists(stances, lambda x: x.eqNullSafe(F.lit(what)))
+    weaker = lambda strong: let(weak, lambda w: F.when(said(w, True), True).when(said(strong, False) | said(w, False), False))
+    answer = let(strong, lambda s: F.when(said(s, True), True).when(refused, False).otherwise(weaker(s)))
+    return F.when(search(text, "(?i)" + ANCHOR), answer)

@@ -10,26 +10,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; plain columns inside higher-order functions are computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
     """Every match from left to right: start, end, match, and up to so many characters before and after it."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-    upto = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, b: a + b)
-
-    def span(hit: Column, i: Column) -> Column:
-        start = upto(i) + F.length(F.get(gaps, i))
-        end = start + F.length(hit)
+    pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def placed(p: Column) -> Column:
+        lengths = F.zip_with(p["gaps"], p["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        return let(F.struct(p["gaps"].alias("gaps"), p["hits"].alias("hits"), lengths.alias("lengths")), found)
+
+    def found(p: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(p["lengths"], F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(F.get(p["gaps"], i))
+        return F.transform(p["hits"], lambda hit, i: let(F.struct(start(i).alias("start"), hit.alias("match")), span))
+
+    def span(s: Column) -> Column:
+        start, end = s["start"], s["start"] + F.length(s["match"])
         low = F.greatest(start - before, F.lit(0))
-        return F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            hit.alias("match"),
-            F.substring(text, low + 1, start - low).alias("before"),
-            F.substring(text, end + 1, F.lit(after)).alias("after"),
-        )
-
-    return F.transform(hits, span)
+        around = F.substring(text, low + 1, start - low).alias("before"), F.substring(text, end + 1, F.lit(after)).alias("after")
+        return F.struct(start.alias("start"), end.alias("end"), s["match"].alias("match"), *around)
+
+    return F.when(text.isNotNull(), let(pieces, placed))
 
 
 def first(array: Column) -> Column:

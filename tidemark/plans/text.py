@@ -15,10 +15,18 @@ from tidemark.sources.standin import POSTINGS_SQL
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def register(name: str, query, sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        ORACLE_SQL[name] = sql
+def register_in(queries: dict, oracles: dict):
+    """What adds a query, and its SQL if there is any, to a module's tables."""
+
+    def register(name: str, query, sql: str | None = None) -> None:
+        queries[name] = query
+        if sql:
+            oracles[name] = sql
+
+    return register
+
+
+register = register_in(QUERIES, ORACLE_SQL)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
