@@ -1,4 +1,4 @@
-"""Joins by name: sectors from employer lists, tracked employers, an outside sample, and readers' alerts."""
+"""Joins by name: sectors from employer lists, tracked employers, and an outside sample."""
 
 from __future__ import annotations
 
@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.normalize import folded, norm_company, norm_title
-from tidemark.operators.filters import Filters
 from tidemark.operators.sections import self_description
-from tidemark.operators.stats import match_score
 
 MAX_LIST_ROWS = 20_000  # of hand-kept lists, which are broadcast up to this size
 
@@ -170,42 +168,3 @@ def recall_report(matched: DataFrame) -> DataFrame:
 def missing_employers(matched: DataFrame, top: int = 40) -> DataFrame:
     lost = matched.where("tech and not agency and matched_id is null and not employer_known")
     return lost.groupBy("company").agg(F.count(F.lit(1)).alias("postings")).orderBy(F.desc("postings"), "company").limit(top)
-
-
-def due_alerts(users: DataFrame, as_of: str) -> DataFrame:
-    """Users whose daily or weekly mail is due, and from when on postings are new to them."""
-    now = F.lit(as_of).cast("timestamp_ntz")
-    waited = F.timestamp_diff("HOUR", F.col("alerts_sent_at"), now)
-    due = F.col("alerts").isin("daily", "weekly") & (F.col("alerts_sent_at").isNull() | (waited >= F.when(F.col("alerts") == "daily", 20).otherwise(6 * 24 + 20)))
-    window = now - F.when(F.col("alerts") == "daily", F.expr("interval 1 day")).otherwise(F.expr("interval 7 days"))
-    return users.where(due).withColumn("since", F.greatest(F.coalesce("alerts_sent_at", window), window))
-
-
-MAX_ALERT_USERS = 1_000
-
-
-def alert_rows(users: DataFrame, rows: DataFrame, profiles: dict[int, tuple[Filters, list[str]]], as_of: str, top: int = 15) -> DataFrame:
-    """user_id, rank, total, id of each due user's best new postings.
-
-    One scan serves a batch of at most MAX_ALERT_USERS users: every row is given to the users whose filters it passes, and
-    the ranks and totals are counted by user. Users without a profile get nothing; ties go to the smaller id.
-    """
-    if len(profiles) > MAX_ALERT_USERS:
-        raise ValueError(f"at most {MAX_ALERT_USERS} users a batch")
-    due = {r["user_id"]: r["since"] for r in due_alerts(users, as_of).where(F.col("user_id").isin(list(profiles))).select("user_id", "since").limit(len(profiles)).collect()}
-    if not due:
-        return rows.sparkSession.createDataFrame([], "user_id long, rank int, total long, id long")
-    told = []
-    for user, since in sorted(due.items()):
-        wanted, have = profiles[user]
-        passes = F.col("first_seen") > F.lit(str(since)).cast("timestamp_ntz")
-        for condition in wanted.conditions(as_of):
-            passes = passes & condition
-        told.append(F.when(passes, F.struct(F.lit(user).cast("long").alias("user_id"), match_score(have).cast("double").alias("score"))))
-    earliest = F.lit(str(min(due.values()))).cast("timestamp_ntz")
-    found = rows.where(F.col("first_seen") > earliest).select("id", "effective_at", F.explode(F.array_compact(F.array(*told))).alias("u")).select("u.user_id", "u.score", "id", "effective_at")
-    total = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("effective_at"), "id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(total, "user_id").select("user_id", "rank", "total", "id")
-

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import duplicates, ingest, matching
-from tidemark.plans.stats import NOW, ROWS_SQL
+from tidemark.operators import alerts, duplicates, ingest, matching
+from tidemark.operators.rows import with_positions
+from tidemark.plans.stats import NOW, ROWS_SQL, rows
 from tidemark.sources import standin
 from tidemark.sources.standin import AS_OF
 
@@ -177,13 +178,35 @@ register("a21_missing_employers", lambda spark, sf_dir: matching.missing_employe
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.filters import Filters
-    from tidemark.plans.stats import rows
-
-    users = spark.sql(f"SELECT * FROM VALUES (1L, 'weekly', CAST(NULL AS timestamp_ntz)), (2L, 'daily', timestamp_ntz'{AS_OF}' - interval 1 hour), (3L, 'weekly', timestamp_ntz'{AS_OF}' - interval 30 days) AS t(user_id, alerts, alerts_sent_at)")
-    return matching.alert_rows(users, rows(spark, sf_dir), {1: (Filters(), ["Brand#11"]), 2: (Filters(), []), 3: (Filters(exclude_agencies=True), [])}, AS_OF)
-
-
-_ALERT = "SELECT {u} AS user_id, CAST(row_number() OVER (ORDER BY {o}) AS INTEGER) AS rank, count(*) OVER () AS total, id FROM fresh WHERE {w} QUALIFY rank <= 15"
-register("m3_alerts", _alerts, f""", fresh AS (SELECT *, CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, ['Brand#11'])) / greatest(len(skills), 3) END AS score FROM rows WHERE closed_at IS NULL AND first_seen > {NOW} - INTERVAL 7 DAY)
-    {_ALERT.format(u=1, o='score DESC, effective_at DESC, id', w='true')} UNION ALL {_ALERT.format(u=3, o='effective_at DESC, id', w="kind <> 'agency'")}""")
+    """Every customer as a reader: daily or weekly, with conditions by key."""
+    key = "c_custkey"
+    customer = standin.table(spark, sf_dir, "customer").join(standin.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sent = F.expr(f"CASE {key} % 4 WHEN 0 THEN timestamp_ntz'{AS_OF}' - interval 19 hours WHEN 1 THEN timestamp_ntz'{AS_OF}' - interval 3 days WHEN 2 THEN timestamp_ntz'{AS_OF}' - interval 30 days END")
+    users = customer.select(F.col(key).alias("user_id"), F.expr(f"CASE {key} % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'daily' ELSE 'weekly' END").alias("alerts"), sent.alias("alerts_sent_at"))
+    lists = {
+        "roles": f"IF({key} % 2 = 0, array(upper(c_mktsegment), ' '), null)",
+        "cities": f"IF({key} % 3 = 0, array(n_name, 'remote'), null)",
+        "remote": f"CASE {key} % 7 WHEN 0 THEN array('remote', 'hybrid', 'onsite') WHEN 1 THEN array('hybrid') END",
+        "degrees": f"IF({key} % 11 = 0, array('phd', 'master'), null)",
+        "exclude": f"IF({key} % 13 = 0, array(concat('Customer#', lpad({key} - 1, 9, '0'))), null)",
+        "skills": f"IF({key} % 2 = 1, array('Brand#11', 'Brand#23'), null)",
+    }
+    none = {c: "null" for c in alerts.CONDITIONS if c not in lists}
+    flags = {"language": f"CASE {key} % 9 WHEN 0 THEN 'nl' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END", "visa": f"{key} % 8 = 0", "agencies": f"{key} % 6 = 0", "noenrol": f"{key} % 10 = 3"}
+    profiles = customer.where(f"{key} % 17 <> 1").select(F.col(key).alias("user_id"), *(F.expr(e).cast("array<string>").alias(c) for c, e in (lists | none).items()), *(F.expr(e).alias(c) for c, e in flags.items()))
+    return alerts.alert_rows(users, with_positions(rows(spark, sf_dir)), profiles, AS_OF)
+
+
+register("m3_alerts", _alerts, f""", u AS (SELECT c_custkey AS k, c_mktsegment, n_name, c_custkey % 17 <> 1 AS known, CASE c_custkey % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'daily' ELSE 'weekly' END AS alerts,
+        CASE c_custkey % 4 WHEN 0 THEN {NOW} - INTERVAL 19 HOUR WHEN 1 THEN {NOW} - INTERVAL 3 DAY WHEN 2 THEN {NOW} - INTERVAL 30 DAY END AS sent FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    due AS (SELECT *, greatest(coalesce(sent, TIMESTAMP '1900-01-01'), {NOW} - CASE alerts WHEN 'daily' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END) AS since FROM u
+        WHERE alerts <> 'off' AND (sent IS NULL OR sent <= {NOW} - CASE alerts WHEN 'daily' THEN INTERVAL 20 HOUR ELSE INTERVAL 164 HOUR END)),
+    met AS (SELECT k, id, effective_at, CASE WHEN NOT known OR k % 2 = 0 OR len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, ['Brand#11', 'Brand#23'])) / greatest(len(skills), 3) END AS score
+        FROM due JOIN rows ON first_seen > since AND closed_at IS NULL AND (NOT known OR (
+            (k % 2 <> 0 OR role_family = lower(c_mktsegment))
+            AND (k % 3 <> 0 OR coalesce(lower(city) = lower(n_name), false) OR remote OR coalesce(list_contains(also_in, n_name), false))
+            AND (k % 7 <> 1 OR remote_policy = 'hybrid') AND (k % 11 <> 0 OR degree IN ('phd', 'master'))
+            AND (k % 13 <> 0 OR lower(company) <> 'customer#' || lpad(CAST(k - 1 AS VARCHAR), 9, '0'))
+            AND (k % 9 <> 0 OR (coalesce(dutch_required, false) OR coalesce(posting_language = 'nl', false)) AND english_required IS NOT DISTINCT FROM false) AND (k % 9 <> 1 OR english_only IS NOT DISTINCT FROM true)
+            AND (k % 8 <> 0 OR visa_sponsorship IS NOT DISTINCT FROM true) AND (k % 6 <> 0 OR kind <> 'agency') AND (k % 10 <> 3 OR enrollment_required IS DISTINCT FROM true))))
+    SELECT k AS user_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, effective_at DESC, id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY k) AS total, id FROM met QUALIFY rank <= 15""")
