@@ -9,7 +9,7 @@ from tidemark.functions import normalize
 from tidemark.operators import ingest, upkeep
 from tidemark.plans.ingest import CRC_TABLE, crc_sql
 from tidemark.plans.stats import NOW
-from tidemark.sources import boards, standin, structured
+from tidemark.sources import boards, sitemaps, standin, structured
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -156,6 +156,29 @@ register("s8_home_facet", lambda spark, sf_dir: structured.home_facet(landing(sp
 register("s13_sitemap", lambda spark, sf_dir: boards.sitemap_urls(landing(spark, sf_dir, "concat('<urlset><url><loc> ', url, '?a=1&amp;b=2 </loc></url><url><loc>https://x.example/vacatures/', id, if(id % 3 = 0, '/apply', ''), '</loc></url></urlset>')")),
          """, l AS (SELECT source_id, 'https://x.example/vacatures/' || id AS url FROM postings WHERE id % 3 <> 0 UNION SELECT source_id, url || '?a=1&b=2' FROM postings), j AS (SELECT *, url LIKE '%/vacatures/%' AS job FROM l)
     SELECT CAST(source_id AS BIGINT) AS source_id, url FROM j WHERE job OR source_id NOT IN (SELECT source_id FROM j WHERE job)""")
+
+
+def _landed_sitemaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every source's sitemaps, made of its postings: an index of twelve children for even sources (job maps only for every fourth), else one list."""
+    rows = standin.postings(spark, sf_dir, skills=False).select(F.col("source_id").cast("long"), "id", "url")
+    child = F.when(F.col("source_id") % 2 == 0, F.concat(F.expr("if(source_id % 4 = 0, '/job-map-', '/map-')"), F.lpad((F.col("id") % 12).cast("string"), 2, "0"))).otherwise("/all")
+    place = F.expr("CASE id % 3 WHEN 0 THEN 'delft' WHEN 1 THEN 'gent' ELSE 'x-nl-' END")
+    own = F.concat(F.lit("<url><loc> https://x.example/"), F.expr("if(id % 5 = 0, 'about', 'vacatures')"), F.lit("/"), place, F.lit("/"), "id", F.expr("if(id % 7 = 0, '/apply', '')"), F.lit("?a=1&amp;b=2 </loc></url>"))
+    lists = rows.select("source_id", F.concat(F.lit("https://x.example"), child, F.lit(".xml")).alias("url"), F.struct("id", own.alias("entry")).alias("e"))
+    maps = lists.groupBy("source_id", "url").agg(F.array_sort(F.collect_list("e")).alias("e"))  # one made sitemap
+    maps = maps.select("source_id", "url", F.concat(F.lit("<urlset>"), F.array_join(F.transform("e", lambda x: x["entry"]), ""), F.lit("</urlset>")).alias("payload"))
+    index = maps.where("source_id % 2 = 0").groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), "").alias("payload"))
+    landed = maps.unionByName(index.select("source_id", F.lit("https://x.example/sitemap.xml").alias("url"), "payload"))
+    starts = rows.select("source_id").distinct().select("source_id", F.expr("if(source_id % 2 = 0, 'https://x.example/sitemap.xml', 'https://x.example/all.xml')").alias("url"))
+    return landed, starts
+
+
+register("s13_sitemap_pages", lambda spark, sf_dir: sitemaps.sitemap_pages(*_landed_sitemaps(spark, sf_dir)),
+         """, e AS (SELECT source_id, id, id % 12 AS c, 'https://x.example/' || CASE WHEN id % 5 = 0 THEN 'about' ELSE 'vacatures' END || '/' || CASE id % 3 WHEN 0 THEN 'delft' WHEN 1 THEN 'gent' ELSE 'x-nl-' END || '/' || id || CASE WHEN id % 7 = 0 THEN '/apply' ELSE '' END || '?a=1&b=2' AS url, id % 7 <> 0 AS page, id % 5 <> 0 AS job FROM postings),
+    k AS (SELECT DISTINCT source_id, c, dense_rank() OVER (PARTITION BY source_id ORDER BY c) AS place FROM e WHERE source_id % 2 = 0),
+    p AS (SELECT e.*, CASE WHEN source_id % 2 = 0 THEN place ELSE 0 END AS child FROM e LEFT JOIN k USING (source_id, c) WHERE page AND (source_id % 2 = 1 OR place <= CASE WHEN source_id % 4 = 0 THEN 10 ELSE 5 END)),
+    j AS (SELECT *, bool_or(job) OVER (PARTITION BY source_id, child) AS any_job FROM p), l AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM j WHERE job OR NOT any_job)
+    SELECT CAST(source_id AS BIGINT) AS source_id, row_number() OVER (PARTITION BY source_id ORDER BY child, id) AS nth, url FROM l WHERE n <= 2500 OR id % 3 <> 1""")
 register("s15_unique_ids", lambda spark, sf_dir: ingest.unique_ids(standin.postings(spark, sf_dir, skills=False).select("source_id", F.expr("concat('e', id % 97)").alias("external_id"), F.expr("concat('https://jobs.example/', source_id, '/', id % 194)").alias("url"), F.expr("concat('h', id)").alias("content_hash"))),
          """, r AS (SELECT source_id, 'e' || (id % 97) AS external_id, 'https://jobs.example/' || source_id || '/' || (id % 194) AS url, 'h' || id AS content_hash FROM postings), n AS (SELECT *, min(url) OVER w <> max(url) OVER w AS shared FROM r WINDOW w AS (PARTITION BY source_id, external_id))
     SELECT source_id, CASE WHEN shared THEN url ELSE external_id END AS external_id, url, max(content_hash) AS content_hash FROM n GROUP BY ALL""")
