@@ -6,7 +6,7 @@ State and snapshot are DataFrames; nothing is updated in place. The merge is one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Columns that a changed text brings along.
@@ -179,12 +179,16 @@ def probe_summary(probes: DataFrame) -> DataFrame:
     return probes.agg(F.count(F.lit(1)).alias("probed"), F.count_if(F.col("status") == "ok").alias("alive"), F.count_if(F.col("nl") > 0).alias("with_nl"), F.coalesce(F.sum("nl"), F.lit(0)).alias("nl"))
 
 
-def rotation(names: list[str], as_of: str, size: int = 3) -> list[str]:
-    """The platforms of the week: so many sorted names from a start that moves with the ISO week."""
-    from datetime import datetime
+def rotation(boards: DataFrame, as_of: str, size: int = 3) -> DataFrame:
+    """platform, turn: the platforms (``ats``) of boards whose turn it is: ``size`` of their names in order, from a start that moves with the ISO week.
 
-    ordered, week = sorted(names), datetime.fromisoformat(as_of).isocalendar().week
-    return [ordered[(week * size + k) % len(ordered)] for k in range(min(size, len(ordered)))]
+    Null names are none; fewer platforms than ``size`` have their turn every week.
+    """
+    names = boards.where("ats is not null").groupBy("ats").agg(F.count(F.lit(1)).alias("boards"))
+    place = F.row_number().over(Window.orderBy("ats")) - 1  # the platforms' names, some dozens at most
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    turn = F.pmod(F.col("place") - F.weekofyear(F.lit(as_of).cast("timestamp_ntz")) * size, F.col("n"))
+    return names.withColumns({"place": place, "n": n}).withColumn("turn", turn.cast("int")).where(F.col("turn") < size).select(F.col("ats").alias("platform"), "turn", "boards")
 
 
 def stalest(candidates: DataFrame, as_of: str, n: int) -> DataFrame:

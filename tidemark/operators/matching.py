@@ -112,11 +112,54 @@ def company_key(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
+ALIKE = 0.8  # least ratio of titles that are taken as one
+SHORT = 10  # titles of fewer letters meet by letters instead of pairs of letters
+
+
 @F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
+def _grams(text: Column, q: int) -> Column:
+    """The runs of ``q`` letters, each with its number among equal ones before it, so that common ones are counted by equality."""
+    runs = F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substr(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(runs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(runs, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def _letters_shared(a: Column, b: Column) -> Column:
+    """How many letters two texts have in common, repeats included."""
+    return F.size(F.array_intersect(_grams(a, 1), _grams(b, 1)))
+
+
+def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """k, t, pt: the pairs of distinct titles (k, t) and (k, pt) that may be alike: candidates for the exact ratio, and titles within titles.
+
+    A ratio of 0.8 leaves room for a fifth of both lengths in letters put in or left out, and each of those spoils two pairs of letters.
+    So of a title of n letters more than n / 5 - 1 of its pairs of letters are in a title alike: it is enough to meet by all but so many
+    of its rarest ones. Short titles meet by two thirds of their letters in the same way. A title within another meets it by its rarest.
+    Lengths and common letters are compared before a pair is given.
+    """
+    n = F.length("t")
+    of_left = F.when(n >= SHORT, _grams(F.col("t"), 2)).otherwise(_grams(F.col("t"), 1))
+    least = F.when(n >= SHORT, F.ceil(n * 0.2 - 1)).otherwise(F.ceil(n * 2 / 3))
+    index = right.select("k", "pt", F.explode(F.concat(_grams(F.col("pt"), 2), F.when(F.length("pt") < 2 * SHORT, _grams(F.col("pt"), 1)).otherwise(F.array().cast("array<string>")))).alias("g"))
+    often = index.groupBy("k", "g").agg(F.count(F.lit(1)).alias("often"))
+    own = left.select("k", "t", least.alias("least"), F.explode(of_left).alias("g")).join(often, ["k", "g"], "left")
+    ranked = own.groupBy("k", "t", "least").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "g"))).alias("gs"))  # one title's grams
+    probes = ranked.select("k", "t", F.explode(F.slice("gs", F.lit(1), F.greatest(F.size("gs") - F.col("least").cast("int") + 1, F.lit(1)))).alias("x")).where("x.o > 0").select("k", "t", F.col("x.g").alias("g"))
+    met = probes.join(index, ["k", "g"]).select("k", "t", "pt").distinct()
+    # titles of the right within titles of the left
+    back = left.select("k", "t", F.explode(_grams(F.col("t"), 2)).alias("g"))
+    rare = index.where("length(g) > 3").join(back.groupBy("k", "g").agg(F.count(F.lit(1)).alias("often")), ["k", "g"], "left")
+    rarest = rare.groupBy("k", "pt").agg(F.min_by("g", F.struct(F.coalesce("often", F.lit(0)), "g")).alias("g"))
+    within = rarest.join(back, ["k", "g"]).where((F.length("pt") >= 12) & F.contains("t", F.col("pt"))).select("k", "t", "pt")
+    m = F.length("pt")
+    close = (3 * F.least(n, m) >= 2 * F.greatest(n, m)) & (_letters_shared(F.col("t"), F.col("pt")) >= 0.4 * (n + m) - 1e-9)
+    contained = (n >= 12) & F.contains("pt", F.col("t"))
+    return met.where(close | contained).unionByName(within).distinct()
+
+
 def contained_names(small: DataFrame, big: DataFrame, n: int = 5) -> DataFrame:
     """small, big: the names of one column each, of which the first, of ``n`` letters at least, lies in the second.
 
@@ -143,9 +186,13 @@ def match_sample(sample: DataFrame, postings: DataFrame) -> DataFrame:
     around = contained_names(right.toDF("small"), left.toDF("big")).select(F.col("big").alias("key"), F.col("small").alias("pkey"))
     equal = left.join(right, F.col("key") == F.col("pkey"))
     keys = equal.unionByName(within).unionByName(around).distinct()
-    pairs = asked.join(keys, "key").join(live, "pkey")
+    # titles once each: of an employer's many postings the smallest id stands for all of one title
+    titled = live.where("pt <> ''").groupBy(F.col("pkey").alias("k"), "pt").agg(F.min("pid").alias("pid"))
+    wanted = asked.where("t <> ''").join(keys, "key").select("id", F.col("pkey").alias("k"), "t")
+    pairs = title_pairs(wanted.select("k", "t").distinct(), titled.select("k", "pt"))
     same = (F.col("t") == F.col("pt")) | ((F.length("t") >= 12) & F.contains("pt", F.col("t"))) | ((F.length("pt") >= 12) & F.contains("t", F.col("pt")))
-    hit = pairs.withColumn("ratio", F.when(same, 1.0).otherwise(title_ratio("t", "pt"))).where("t <> '' and pt <> '' and ratio >= 0.8")
+    texts = pairs.select("t", "pt").distinct().withColumn("ratio", F.when(same, 1.0).otherwise(title_ratio("t", "pt"))).where(F.col("ratio") >= ALIKE)
+    hit = wanted.join(pairs.join(texts.select("t", "pt"), ["t", "pt"]), ["k", "t"]).join(titled, ["k", "pt"])
     matched = hit.groupBy("id").agg(F.min("pid").alias("matched_id"))
     known = asked.join(keys.select("key").distinct(), "key", "left_semi").select("id", F.lit(True).alias("employer_known"))
     return sample.join(known, "id", "left").join(matched, "id", "left").withColumn("employer_known", F.coalesce("employer_known", F.lit(False)))

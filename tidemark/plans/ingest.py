@@ -150,7 +150,10 @@ def _fragments(spark: SparkSession) -> DataFrame:
 register("j5_listed_sectors", lambda spark, sf_dir: matching.listed_sectors(standin.postings(spark, sf_dir, skills=False), _fragments(spark)),
          "SELECT DISTINCT company, CASE company WHEN 'Customer#000000011' THEN 'finance' WHEN 'Customer#000000012' THEN 'health' ELSE 'retail' END AS sector FROM postings")
 register("x40_sectors", lambda spark, sf_dir: matching.sectors(_open(spark, sf_dir), standin.sources(spark, sf_dir), spark.createDataFrame([("Customer#000000013", "energy")], "company string, sector string"),
-                                                              spark.createDataFrame([("customer 000000014", "health")], "fragment string, sector string"), {"leisure": "walks|meetings|elsewhere", "it": "engineer|words"}))
+                                                              spark.createDataFrame([("customer 000000014", "health")], "fragment string, sector string"), {"leisure": "walks|meetings|elsewhere", "it": "engineer|words"}),
+         """, f AS (SELECT company, min(id) % 3 = 1 AS agency FROM postings WHERE closed_at IS NULL AND duplicate_of IS NULL AND is_tech GROUP BY company)
+    SELECT company, CASE company WHEN 'Customer#000000013' THEN 'energy' WHEN 'Customer#000000014' THEN 'health' ELSE CASE WHEN agency THEN 'staffing' ELSE 'leisure' END END AS sector,
+           CASE company WHEN 'Customer#000000013' THEN 'curated' WHEN 'Customer#000000014' THEN 'list' ELSE CASE WHEN agency THEN 'source' ELSE 'text' END END AS found_by FROM f""")
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import normalize
@@ -133,20 +133,18 @@ register("s9_still_listed", lambda spark, sf_dir: _smart(spark, sf_dir)[1], _DUE
 
 
 def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing pages of one posting each; odd boards were searched."""
+    """Listing pages of one posting each, numbered on each board; odd boards were searched."""
     rows = landing(spark, sf_dir, "to_json(named_struct('jobPostings', array(named_struct('title', title, 'externalPath', concat('/job/', id), 'locationsText', case id % 3 when 0 then 'Delft' when 1 then 'Gent' else 'Anywhere, Netherlands' end, 'bulletFields', if(id % 2 = 0, array(concat('R', id)), array())))))", "'acme.wd3/Careers'")
-    return rows.select("source_id", "slug", (F.col("id") % 2100).alias("offset"), (F.col("source_id") % 2 == 1).alias("by_search"), "payload", "id")
+    return rows.select("source_id", "slug", (F.row_number().over(Window.partitionBy("source_id").orderBy("id")) - 1).alias("offset"), (F.col("source_id") % 2 == 1).alias("by_search"), "payload", "id")
 
 
 def _workday(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = "to_json(named_struct('jobPostingInfo', named_struct('jobDescription', 'full', 'startDate', date_format(first_seen, 'yyyy-MM-dd'), 'country', named_struct('descriptor', if(id % 4 = 0, 'Belgium', 'Netherlands')))))"
     details = landing(spark, sf_dir, info).where("id % 7 <> 0").select("source_id", F.concat(F.lit("/job/"), "id").alias("path"), "payload")
-    # rows of one offset have no order of their own, so every listing page is given one of its own
-    pages_ = _listing_pages(spark, sf_dir).where("id < 2100")
-    return structured.workday(pages_, details).select(*_STATED)
+    return structured.workday(_listing_pages(spark, sf_dir), details).select(*_STATED)
 
 
-register("s8_workday", _workday, """, w AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS nth FROM postings WHERE id < 2000 AND (source_id % 2 = 0 OR id % 3 <> 1))
+register("s8_workday", _workday, """, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) - 1 AS page FROM postings), w AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS nth FROM o WHERE page < 2000 AND (source_id % 2 = 0 OR id % 3 <> 1))
     SELECT CAST(source_id AS BIGINT) AS source_id, CASE WHEN id % 2 = 0 THEN 'R' || id ELSE '/job/' || id END AS external_id, title, 'https://acme.wd3.myworkdayjobs.com/Careers/job/' || id AS url, CASE id % 3 WHEN 0 THEN 'Delft' WHEN 1 THEN 'Gent' ELSE 'Anywhere, Netherlands' END AS location, CAST(NULL AS VARCHAR) AS city,
            CASE WHEN id % 7 = 0 OR id % 4 <> 0 THEN 'NL' END AS country, CAST(NULL AS BOOLEAN) AS remote, CASE WHEN id % 7 <> 0 THEN 'full' END AS description_html, CASE WHEN id % 7 <> 0 THEN CAST(first_seen AS TIMESTAMP) END AS posted_at FROM w WHERE nth <= 400""")
 _FACETS = """concat('{"facets":[{"facetParameter":"', if(id % 2 = 0, 'Location_Country', 'city'), '","values":[{"descriptor":"Netherlands ","id":"flat', id, '","count":', id % 50, '}]},',

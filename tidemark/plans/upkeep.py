@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import agents, links, normalize, skills
-from tidemark.operators import discovery, ingest, upkeep
+from tidemark.operators import discovery, headcounts, ingest, upkeep
 from tidemark.plans.stats import NOW
 from tidemark.sources import standin
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
@@ -118,8 +118,8 @@ register("l22_imported_candidates", lambda spark, sf_dir: upkeep.imported_candid
 register("l22_new_candidates", lambda spark, sf_dir: ingest.new_candidates(standin.table(spark, sf_dir, "supplier").selectExpr("concat('ats', s_suppkey % 3) AS kind", f"{_RESULTS} AS key"), _candidates(spark, sf_dir)),
          "SELECT 'ats' || (s_suppkey % 3) AS kind, s_name AS key FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 9 <> 0")
 register("o4_stalest", lambda spark, sf_dir: ingest.stalest(_candidates(spark, sf_dir), AS_OF, 10), f", {_CANDIDATES} SELECT * FROM candidates WHERE (status = 'ok' AND nl = 0 AND checked_at < {NOW} - INTERVAL 90 DAY) OR (status <> 'ok' AND checked_at < {NOW} - INTERVAL 7 DAY) ORDER BY checked_at, key LIMIT 10")
-register("o5_rotation", lambda spark, sf_dir: spark.createDataFrame([(n,) for n in ingest.rotation(["lever", "ashby", "workable", "greenhouse", "recruitee", "personio", "teamtailor"], AS_OF)], "platform string"),
-         f", p AS (SELECT unnest(['ashby', 'greenhouse', 'lever', 'personio', 'recruitee', 'teamtailor', 'workable']) AS platform, unnest(range(7)) AS k) SELECT platform FROM p WHERE k IN (SELECT (week({NOW}) * 3 + i) % 7 FROM range(3) r(i))")
+register("o5_rotation", lambda spark, sf_dir: ingest.rotation(standin.table(spark, sf_dir, "part").select(F.col("p_brand").alias("ats")), AS_OF),
+         f", p AS (SELECT p_brand AS platform, row_number() OVER (ORDER BY p_brand) - 1 AS place, count(*) OVER () AS n, count(*) AS boards FROM part GROUP BY p_brand), t AS (SELECT *, (place - week({NOW}) * 3 % n + n) % n AS turn FROM p) SELECT platform, CAST(turn AS INTEGER) AS turn, boards FROM t WHERE turn < 3")
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,3 +305,25 @@ register("c6_recorded", lambda spark, sf_dir: agents.recorded(standin.table(spar
     SELECT event_id, kind, path, CAST(trunc(value) AS BIGINT) AS ms, CASE WHEN kind = 'page' AND event_id % 5 = 0 THEN 'search.example' END AS referrer, CASE WHEN query LIKE '%utm_source=mail' THEN 'mail' END AS utm_source, CASE WHEN event_id % 3 = 0 THEN 'NL' END AS country, 'curl' AS browser, true AS bot,
            left(sha256('salt|1.2.3.4|curl/8.0'), 16) AS visitor, CASE WHEN search THEN CASE WHEN found IS NOT NULL THEN 'search' END WHEN kind = 'api' AND path = '/api/gap' THEN 'gap' WHEN kind = 'api' AND path = '/api/auth/request' THEN 'login_request' ELSE event END AS event,
            CASE WHEN search THEN found END AS detail FROM s""")
+
+
+def _headcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as an employer, with entries and articles made of its numbers."""
+    c = standin.table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    companies = c.select(F.col("c_name").alias("company"), F.expr("if(k % 7 = 0, null, array(concat('c', k, '.example')))").alias("domains"))
+    claim = lambda n, year: f"""concat('{{"mainsnak":{{"datavalue":{{"value":{{"amount":"+', {n}, '"}}}}}},"qualifiers":{{"{headcounts.AT}":[{{"datavalue":{{"value":{{"time":"+', {year}, '-01-01T00:00:00Z"}}}}}}]}}}}')"""
+    payload = f"""concat('{{"labels":{{"nl":{{"value":"', if(k % 3 = 0, upper(c_name), 'Other'), ' B.V."}}}},"aliases":{{"en":[{{"value":"x"}}]}},"claims":{{"{headcounts.SITE}":[{{"mainsnak":{{"datavalue":{{"value":"https://www.c', k + k % 2, '.example/nl"}}}}}}],',
+        '"{headcounts.COUNTRY}":[{{"mainsnak":{{"datavalue":{{"value":{{"id":"', if(k % 9 < 6, 'Q55', 'Q31'), '"}}}}}}}}],"{headcounts.HEADCOUNT}":[', {claim('k % 500', '2015 + k % 5')}, ',', {claim('k % 400', '2017')}, ',{{"mainsnak":{{}}}}]}}}}')"""
+    entries = c.select(F.col("c_name").alias("company"), F.lit(2).alias("nth"), F.concat(F.lit("Q"), "k").alias("entry_id"), F.expr(payload).alias("payload"))
+    empty = c.select(F.col("c_name").alias("company"), F.lit(1).alias("nth"), F.lit("Q0").alias("entry_id"), F.lit('{"claims":{}}').alias("payload"))
+    text = """concat('{{Infobox company\\n| website = [https://c', k, '.example/en site]\\n| num_employees = {{formatnum:', k % 900 + 1000, '}} (2021)\\n}}\\n', if(k % 4 < 2, c_name, 'Somebody'), ' is a firm.')"""
+    articles = c.select(F.col("c_name").alias("company"), F.expr("if(k % 2 = 0, 'nl', 'en')").alias("lang"), F.lit(1).alias("nth"), F.expr("if(k % 8 = 2, lower(c_name), 'Some page')").alias("title"), F.expr(text).alias("wikitext"))
+    listed = c.select(F.col("c_name").alias("company"), "k")
+    return headcounts.headcounts(companies, entries.unionByName(empty), articles, listed.where("k % 10 = 1"), listed.where("k % 10 = 2"))
+
+
+register("j13_headcounts", _headcounts, """, c AS (SELECT c_custkey AS k, c_name AS company, c_custkey % 7 <> 0 AS has FROM customer WHERE c_custkey % 10 NOT IN (1, 2)),
+    kb AS (SELECT *, has AND k % 2 = 0 OR k % 3 = 0 AND k % 9 < 6 AS fits FROM c), y AS (SELECT *, 2015 + k % 5 AS y FROM kb)
+    SELECT company, CASE WHEN y >= 2017 THEN k % 500 ELSE k % 400 END AS employees, CAST(greatest(y, 2017) AS VARCHAR) AS as_of, 'wikidata:Q' || k AS source FROM y WHERE fits
+    UNION ALL
+    SELECT company, k % 900 + 1000, '2021', CASE WHEN k % 2 = 0 THEN 'nl' ELSE 'en' END || 'wiki:' || CASE WHEN k % 8 = 2 THEN lower(company) ELSE 'Some page' END FROM y WHERE NOT fits AND has AND (k % 4 < 2 OR k % 8 = 2)""")
