@@ -334,3 +334,43 @@ def test_html_extraction_against_slices(spark):
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+BODY = " ".join(f"Sentence number {k} of the article speaks of things." for k in range(15))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><body><article><p>{}</p></article></body></html>",
+        "<html><head><meta charset=x><p>{}</p>",
+        "<body><article data-title='The hidden life'><p>{}</p></article>",
+        "<body onload='hidden()'><article data-hidden='false'><p>{}</p></article>",
+        "<body><article><div title='Hidden gems'><p>{}</p></div></article>",
+        "<body><article><div data-role='banner'><p>{}</p></div></article>",
+        "<body><nav><ul><li><a href=/>Home</a><article><p>{}</p></article>",
+        "<body><nav><ul><li><a href=/>Home</a></ul><div><p>{}</p></div>",
+        "<title>Unclosed<body><article><p>{}</p></article>",
+        "<body><iframe src=x><article><p>{}</p></article>",
+        "<body><article><p>{} <span class='ad'>Buy <b>now</b></span></p></article>",
+        "<body><article><p>{}</p><span class='ad'><div>Buy</div></span></article>",
+        "<body><article><xmp>{}</xmp></article>",
+        "<body><article><p><math><mi>{}</mi></math></p></article>",
+        "<body><article><p hidden>Not this</p><p>{}</p></article>",
+        "<body><article><p>{}</p><p style='display: none'>Nor this</p><p aria-hidden=true>nor this</article>",
+    ],
+)
+def test_ordinary_pages_keep_their_article_and_nothing_else(html):
+    text, _ = htmlextract.text_of(htmlextract.parse(html.format(BODY)), None)
+    assert text.removeprefix("Home\n\n") == BODY
+
+
+def test_text_in_a_line_stays_one_block_around_an_advert():
+    text, _ = htmlextract.text_of(htmlextract.parse(f"<article><p>{BODY} before <span class='ad'>Buy</span> after <em>all</em>.</p></article>"), None)
+    assert text == f"{BODY} before after all."
+
+
+def test_callers_columns_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/c", f"<p>{BODY}", "h", "p", "old")], "page_id long, url string, html string, _host string, _paths string, text string")
+    row = htmlextract.extract(pages).first()
+    assert (row["_host"], row["_paths"], row["text"]) == ("h", "p", BODY)

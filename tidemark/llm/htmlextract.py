@@ -15,7 +15,9 @@ class or id counts as furniture by all its parts; an element that is only so nam
 where it holds most of the page's text and no article outside it.
 
 Edge cases: null or empty html gives an empty text; a null url belongs to the host ``''``; unclosed
-and misnested tags close as in browsers' simple cases; a tag that never ends is text; ties between
+and misnested tags close as in browsers' simple cases: what cannot stand in a head ends it, an article
+ends an open menu, an unclosed title, frame or script ends where the next block begins; a page that is
+all furniture keeps what holds most of it; a tag that never ends is text; ties between
 paths go to the first in alphabetical order; repeated rows vote each; an empty table gives an empty
 result; other columns than html stay, those named like a result column are replaced.
 """
@@ -36,14 +38,17 @@ from tidemark.llm.urlfilter import host_of
 
 WINNERS = 3
 _MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:(?:"[^"]*"|'[^']*'|[^'">])*+>)|[^>]*>)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "video", "audio", "canvas", "xmp"}
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "video", "audio", "canvas"}
+# What may stand in a head; anything else that starts ends it.
+_IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _FURNITURE = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head"}
 _FORM = {"form", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTAINER = {"html", "body", "main", "article", "section", "div", "td", "center"}
 _BLOCK = _CONTAINER | _HEADINGS | _FURNITURE | _FORM | {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "blockquote", "pre", "figure", "figcaption", "header", "address", "details", "summary", "hr", "hgroup", "search"}
+_NEXT_BLOCK = re.compile(rf"<(?:{'|'.join(sorted(_BLOCK))})(?=[\s/>])", re.I)
 # Start tags that end an open element of these names.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # A class or id names furniture if all its parts do, or are such as say where or what kind of box it is: "main-nav", but not "side-effects".
@@ -57,6 +62,9 @@ _NEUTRAL = re.compile(r"(?:list|box|area|wrap|wrapper|wrapping|container|block|i
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
+_TELLING = {"class", "id", "role", "hidden", "aria-hidden", "style"}
+
+
 class Page:
     """Open elements as nodes (parent, label, furniture) and the text blocks under them."""
 
@@ -96,7 +104,10 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
     noise, name = _ALWAYS if tag in _FURNITURE else _BY_NAME if tag in _FORM else _KEPT, tag
     if len(attributes) > 4:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), a or b or c
+            key = key.lower()
+            if key not in _TELLING:
+                continue
+            value = a or b or c
             if key == "class":
                 name += "".join("." + re.sub(r"\d+", "N", x) for x in sorted(value.split())[:3])
             if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
@@ -109,7 +120,17 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
 
 
 def _settle(page: Page) -> None:
-    """Decide which nodes are furniture: what is only named so stays if it holds most of the page's text, and no article or main stands outside it."""
+    """Decide which nodes are furniture: what is only named so stays if it holds most of the page's text, and no article or main stands outside it.
+
+    Where that leaves no text at all, the same holds for every kind of furniture: an element that was never closed may hold the page.
+    """
+    _judge(page)
+    if page.blocks and all(page.noise[node] for node, _, _ in page.blocks):
+        page.own, page.noise = [min(own, _BY_NAME) for own in page.own], []
+        _judge(page)
+
+
+def _judge(page: Page) -> None:
     n = len(page.parent)
     always = [False] * n
     for node in range(n):
@@ -131,7 +152,7 @@ def _settle(page: Page) -> None:
 
 def parse(html: str) -> Page:
     page = Page()
-    stack = [(0, "")]  # node of the nearest block element, tag
+    stack = [(0, "", None)]  # node of the nearest block element, tag, and for furniture inside a line the text and links around it
     texts: list[str] = []
     links = in_link = 0
     at, size = 0, len(html)
@@ -146,13 +167,16 @@ def parse(html: str) -> Page:
         links = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal in_link
-        for _, tag in stack[depth:]:
+        nonlocal in_link, texts, links
+        while len(stack) > depth:
+            _, tag, around = stack[-1]
             if tag == "a":
                 in_link -= 1
-        if any(tag in _BLOCK for _, tag in stack[depth:]):
-            close_block()
-        del stack[depth:]
+            if tag in _BLOCK or around is not None:
+                close_block()
+            stack.pop()
+            if around is not None:
+                texts, links = around
 
     while at < size:
         found = _MARKUP.search(html, at)
@@ -181,12 +205,30 @@ def parse(html: str) -> Page:
         if tag in _RAW:
             if not found[3].endswith("/>"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                if end:
+                    at = end.end()
+                else:  # never closed: it ends where the next block begins
+                    following = _NEXT_BLOCK.search(html, at)
+                    at = following.start() if following else size
+            continue
+        if tag == "xmp":  # its markup is text
+            end = re.compile(r"</xmp\s*>", re.I).search(html, at)
+            close_block()
+            texts.append(html[at : end.start() if end else size])
+            close_block()
+            at = end.end() if end else size
             continue
         if tag == "br":
             texts.append(" ")
             continue
         block = tag in _BLOCK
+        if len(stack) > 1 and tag not in _IN_HEAD and any(name == "head" for _, name, _ in stack):
+            pop_to(next(depth for depth, x in enumerate(stack) if x[1] == "head"))
+        if tag in ("article", "main"):  # an open menu was never closed
+            for depth in range(1, len(stack)):
+                if stack[depth][1] in ("nav", "menu"):
+                    pop_to(depth)
+                    break
         if block:
             close_block()
             for depth in range(len(stack) - 1, 0, -1):
@@ -208,7 +250,11 @@ def parse(html: str) -> Page:
             node = len(page.label) - 1
         if tag == "a":
             in_link += 1
-        stack.append((node, tag))
+        around = None
+        if noise and not block:
+            around, texts, links = (texts, links), [], 0
+        stack.append((node, tag, around))
+    pop_to(1)
     close_block()
     _settle(page)
     return page
@@ -330,14 +376,18 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     """``pages`` without html, with text, n_chars and the container path used."""
     small_batches(pages.sparkSession)
     won = written(winners(votes(pages, html_col, url_col)), "host-paths")
-    kept = pages.drop("text", "n_chars", "container", "_host", "_paths").withColumn("_host", host_of(F.col(url_col)))
-    rows = kept.join(won.select(F.col("host").alias("_host"), F.col("paths").alias("_paths")), "_host", "left").drop("_host")
-    own = [c for c in rows.columns if c not in (html_col, "_paths")]
+    kept = pages.drop("text", "n_chars", "container")
+    host, paths = "_host", "_paths"
+    while {host.lower(), paths.lower()} & {c.lower() for c in kept.columns}:  # the caller's columns stay
+        host, paths = "_" + host, "_" + paths
+    kept = kept.withColumn(host, host_of(F.col(url_col)))
+    rows = kept.join(won.select(F.col("host").alias(host), F.col("paths").alias(paths)), host, "left").drop(host)
+    own = [c for c in rows.columns if c not in (html_col, paths)]
     schema = T.StructType([*rows.select(*own).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("container", T.StringType())])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_of(parse(h or ""), p) for h, p in zip(batch[html_col].to_pylist(), batch["_paths"].to_pylist())]
+            found = [text_of(parse(h or ""), p) for h, p in zip(batch[html_col].to_pylist(), batch[paths].to_pylist())]
             texts = [t for t, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in own), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([p for _, p in found], pa.string())],
