@@ -148,6 +148,56 @@ def test_digest_rows_from_files_and_plans(spark, tmp_path):
         assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b"), (3, None)]
 
 
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4, 5])
+def test_a_batch_that_failed_is_offered_again(spark, monkeypatch, fails_at):
+    """Whichever write fails, the batch under its id loses nothing, and meanwhile counts against nobody."""
+    docs = frame(spark, [(k, f"text {k % 60}") for k in range(90)])
+    index, writes = digest.fresh_index(spark, 4), []
+
+    def failing(real):
+        def write(*args, **kwargs):
+            writes.append(1)
+            if len(writes) == fails_at:
+                raise RuntimeError("the driver is lost")
+            return real(*args, **kwargs)
+
+        return write
+
+    with monkeypatch.context() as patched:
+        writer = type(docs.write)
+        for name in ("saveAsTable", "json"):
+            patched.setattr(writer, name, failing(getattr(writer, name)))
+        patched.setattr(digest, "written", failing(digest.written))
+        with pytest.raises(RuntimeError):
+            digest.drop_copies(docs, index, batch="monday").count()
+    later = digest.DigestIndex(spark, index.path, 4)
+    other = digest.drop_copies(frame(spark, [(200, "text 1"), (201, "text 2")]), later, batch="tuesday")
+    assert sorted(r.doc_id for r in other.collect()) == [200, 201]
+    assert sorted(r.doc_id for r in digest.drop_copies(docs, later, batch="monday").collect()) == [0, *range(3, 60)]
+    assert sorted(r.doc_id for r in digest.drop_copies(docs, later, batch="monday").collect()) == [0, *range(3, 60)]  # again under its id
+    assert digest.drop_copies(docs, later).count() == 0
+    labels = digest.label_copies(frame(spark, [(1000, "text 1"), (1001, "text 7"), (1002, "new")]), later).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in labels) == [(1000, 200, False), (1001, 7, False), (1002, 1002, True)]
+
+
+def test_a_compacted_index_knows_the_same(spark):
+    index = digest.fresh_index(spark, 4)
+    for k in range(3):
+        digest.drop_copies(frame(spark, [(10 * k + j, f"text {10 * k + j}") for j in range(8)]), index, batch=f"b{k % 2}")
+    copy = index.compacted(index.path + "-compact")
+    assert copy.read().count() == index.known().count() == 16 and copy.read().inputFiles().__len__() <= 4
+    again = digest.DigestIndex(spark, copy.path)
+    assert digest.drop_copies(frame(spark, [(99, "text 11"), (98, "other")]), again).collect()[0].doc_id == 98
+
+
+def test_rows_out_of_explode_are_told_apart(spark, tmp_path):
+    frame(spark, [(k, f"text {k}") for k in range(40)]).write.parquet(str(tmp_path / "docs"))
+    twice = spark.read.parquet(str(tmp_path / "docs")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert digest.drop_copies(twice, digest.fresh_index(spark, 4)).count() == 40
+    joined = spark.read.parquet(str(tmp_path / "docs")).join(spark.range(2).withColumnRenamed("id", "copy"))
+    assert digest.drop_copies(joined, digest.fresh_index(spark, 4)).count() == 40
+
+
 def brute_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

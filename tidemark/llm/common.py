@@ -74,16 +74,25 @@ class Stored:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-ROW = "_row_of_origin"
+ROW = "_row_of_origin_"  # the library's own column
+
+
+def _read_as_stored(df: DataFrame) -> bool:
+    """Whether rows are those of one set of files, each once: nothing but choices of columns and rows lies between."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
 
 
 def told_apart(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """``columns`` of ``docs`` (all unless named) and ROW, the file and position that each row was read from.
 
-    Documents that were not read from Parquet files are numbered, and stored, so that every reader sees the same numbers.
+    Documents that do not come straight from Parquet files, but out of joins, ``explode`` or the like, are numbered, and stored, so that
+    every reader sees the same numbers.
     """
     columns = columns or ("*",)
-    if "_metadata" not in docs.columns:
+    if "_metadata" not in docs.columns and _read_as_stored(docs):
         try:
             return docs.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(ROW))
         except AnalysisException:  # other formats have no positions, other plans no files
