@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import agents, links, normalize, skills
-from tidemark.operators import discovery, headcounts, ingest, upkeep
+from tidemark.operators import copying, discovery, headcounts, ingest, upkeep
 from tidemark.plans.stats import NOW
 from tidemark.sources import standin
 from tidemark.sources.standin import AS_OF, POSTINGS_SQL
@@ -327,3 +327,13 @@ register("j13_headcounts", _headcounts, """, c AS (SELECT c_custkey AS k, c_name
     SELECT company, CASE WHEN y >= 2017 THEN k % 500 ELSE k % 400 END AS employees, CAST(greatest(y, 2017) AS VARCHAR) AS as_of, 'wikidata:Q' || k AS source FROM y WHERE fits
     UNION ALL
     SELECT company, k % 900 + 1000, '2021', CASE WHEN k % 2 = 0 THEN 'nl' ELSE 'en' END || 'wiki:' || CASE WHEN k % 8 = 2 THEN lower(company) ELSE 'Some page' END FROM y WHERE NOT fits AND has AND (k % 4 < 2 OR k % 8 = 2)""")
+
+
+def _renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings and their boards under new ids."""
+    tables = {"postings": standin.postings(spark, sf_dir, skills=False).select("id", "source_id", "duplicate_of", "title"), "sources": standin.sources(spark, sf_dir).where("source_id % 7 <> 3").select("source_id", "slug")}
+    return copying.renumbered(tables, {"postings": "id", "sources": "source_id"}, [("postings", "source_id", "sources"), ("postings", "duplicate_of", "postings")])["postings"]
+
+
+register("l26_renumbered_postings", _renumbered, """, p AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM postings), s AS (SELECT source_id, row_number() OVER (ORDER BY source_id) AS n FROM sources WHERE source_id % 7 <> 3)
+    SELECT p.n AS id, s.n AS source_id, d.n AS duplicate_of, title FROM postings JOIN p USING (id) LEFT JOIN s ON s.source_id = postings.source_id LEFT JOIN p d ON d.id = duplicate_of""")
