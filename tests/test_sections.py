@@ -115,6 +115,21 @@ def test_visa_statements(spark):
     assert df.withColumn("got", requirements.detect_visa(F.col("t"))).where("not got <=> want").collect() == []
 
 
+DEGREES = [
+    ("Cook", "You have a completed hbo or wo education.", "hbo"), ("Cook", "You have a Bachelor's or Master's degree.", "bsc"), ("Cook", "You hold a Master's degree; a PhD is a plus.", "msc"), ("Cook", "You have a PhD in physics.", "phd"),
+    ("Cook", "A degree is not required, skills matter.", "none"), ("Cook", "Nice to have: fluency. A bachelor's degree in CS.", "bsc"), ("PhD position", "This PhD project is about robots. You have an MSc in mechanics.", "msc"), ("Postdoc in X", "Work with four other PhD's.", "phd"),
+    ("Cook", "HBO level, or an MBO 4 background combined with long experience", "hbo"), ("Cook", "BS degree in engineering is a plus", "unknown"), ("Scrum Master", "As Scrum Master you coach teams.", "unknown"), ("Cook", "4 years of relevant experience (or PhD)", "unknown"),
+    ("Cook", "Supervising bachelor students and transcripts of your MSc", "unknown"), ("Cook", "MBO-4, hbo is een pre", "mbo"), ("Cook", "A degree in Computer Science", "unknown"), ("Cook", "", "unknown"), (None, None, "unknown"),
+]
+
+
+def test_degrees_asked_for(spark):
+    df = spark.createDataFrame(DEGREES, "title string, t string, want string").withColumn("core", F.lit(None).cast("string"))
+    assert df.withColumn("got", requirements.detect_degree(F.col("title"), F.col("core"), F.col("t"))).where("not got <=> want").select("t", "want", "got").collect() == []
+    part = df.limit(1).select(requirements.detect_degree(F.col("title"), F.lit("An MSc degree."), F.lit("Our people have an MBO diploma. An MSc degree.")).alias("d"))
+    assert part.first().d == "msc"
+
+
 @pytest.mark.parametrize("text", ["3 years of experience. " * 300, "visa " * 2000, "no " * 3000 + "visa sponsorship"])
 def test_long_texts(spark, text):
     df = spark.createDataFrame([(text,)], "t string")

@@ -178,3 +178,83 @@ def detect_visa(text: Column) -> Column:
     weaker = lambda strong: let(weak, lambda w: F.when(said(w, True), True).when(said(strong, False) | said(w, False), False))
     answer = let(strong, lambda s: F.when(said(s, True), True).when(refused, False).otherwise(weaker(s)))
     return F.when(search(text, "(?i)" + ANCHOR), answer)
+
+
+# Degrees asked for, lowest level first (a bachelor's and an hbo degree are one level); a PhD position is none that is asked for.
+DEGREES = {
+    "mbo": r"\bmbo\w*(?!['’]s\b)",
+    "bsc": r"\bb\.?\s?sc\b|\bbachelor\w*|\bbs\b (?:\(or higher\) )?(?:degree|in)\b|\bb\.?tech\b|\bb\.?eng\b",
+    "hbo": (
+        r"\bhbo\w*(?!['’]s\b)|\bhogeschool(?:opleiding|diploma|niveau)|\bhts\b|\bheao\b|\bhlo\b|\buniversity of applied sciences (?:degree|diploma|level|education)|"
+        r"\bhigher professional education|\b(?:degree|diploma|education|opleiding) (?:from|at) (?:a |an )?university of applied sciences"
+    ),
+    "msc": (
+        r"\bm\.?\s?sc\b(?![\s-]*(?:(?:and|en|or|of|/)\s*ph\.?d\s*)?(?:students|studenten|theses|projects|interns?))|(?-i:\bMS)\s*(?:degree|in\b|or PhD|/\s?PhD)|\bmasters? of (?:een )?ph\.?d\b|"
+        r"(?<!scrum )(?<!certified )(?<!quiz)\bmasters?(?:['’]s?)?(?:\s+(?:degree|diploma|in\b(?! (?:excel|het|de|the|multitask|problem|communic|organi|plannen|verbind|sales))|level|or\b|"
+        r"opleiding|programme|program|student|graduate|of (?:science|engineering|arts|business|laws|philosophy|computer|information|applied|data))|\s*/\s*(?:phd|ph\.d|doctor))|"
+        r"\bmaster(?:diploma|opleiding|niveau|titel|degree|studie|student|s?graad)\w*|\bwo\b|\buniversity master|\b(?:afgeronde|completed|finished|behaalde) (?:\w+ )?masters?\b|"
+        r"\buniversitair\w* (?:opleiding|niveau|diploma|master|denkniveau|werk|achtergrond|studie)|"
+        r"\bacademisch\w* (?:werk[- ] en )?(?:denk)?(?:niveau|opleiding|achtergrond|diploma|master)|\buniversity degree"
+    ),
+    "phd": (
+        r"(?<!your )(?<!this )(?<!the )(?<!our )(?<!during )(?<!funded )(?<!year )(?<!other )(?<!doing a )(?<!start a )(?<!starting a )(?<!towards a )(?<!for a )(?<!pursue a )"
+        r"(?<!her )(?<!his )(?<!their )(?<!my )(?<!possession of a )\bph\.?\s?d\.?(?:['’]s)?\b(?!['’]s\b)"
+        r"(?![\s-]*(?:\d|,?\s*(?:and|or|&|/)\s*post-?doc|position|project|candidate|student|researcher|vacanc|programme|program|track|thesis|research|defen[cs]e|trajector|"
+        r"supervis|fellow|scholarship|journey|stud|level position|opportunit|network|intern|salary|allowance|contract|traineeship|school|course|life|period|phase))|"
+        r"\bdoctorate\b|(?<!possession of a )\bdoctoral degree|\bgepromoveerd|\bpromotieonderzoek (?:afgerond|voltooid)"
+    ),
+}
+# Statements that no degree is needed; that one is only a plus; that it is another's, or stands for experience; further entries of a list.
+NO_DEGREE = (
+    r"(no|without a?|regardless of) (?:formal )?(?:degree|diploma)|degree (?:is )?not (?:required|necessary|needed|a must)|"
+    r"(?:don't|do not|doesn't|does not) (?:need|require) (?:a |any )?(?:formal )?(?:[\w-]+,? ){0,4}(?:or )?(?:degrees?|diplomas?)\b|"
+    r"geen (?:specifiek |formeel )?diploma (?:vereist|nodig|noodzakelijk)|diploma (?:is )?niet (?:vereist|nodig|noodzakelijk)"
+)
+PLUS = r"a plus|is a bonus|\bbonus\b|nice[- ]to[- ]have|an advantage|\bpluspunt|\bpr[eé]\b|\bvoordeel\b|\bextra\b"
+ANY_DEGREE = r"\b(?:ph\.?d|m\.?sc|b\.?sc|master|bachelor|hbo|mbo|wo\b|universit|academisch|doctora)"
+OTHER_ITEM = r"\b(?:en|and|or|of)\b[^,]*?(?:opleiding|diploma|certific\w*|degree|course|cursus)"
+OTHERS_BEFORE = r"supervis\w*|mentor\w*|teach\w*|lectur\w*|tutor\w*|begeleid\w*|transcripts?|grades?\b|cijferlijst\w*|courses followed|list of courses|\bwe educate\b|\bmixed\b|students?\s*\(\s*$"
+OTHERS_AFTER = r"^(?:['’]s?)?\s*(?:(?:and|or|/|&|,)\s*(?:\w+\s)?(?:master|msc|m\.sc|bachelor|bsc|b\.sc)\w*(?:['’]s?)?\s*)?(?:teaching|onderwijs|lectures)\b"
+FOR_EXPERIENCE = r"(?:experience|ervaring)[^.;\n]{0,15}\(?\s*(?:or|of)\s*(?:a\s+)?$"
+OTHER_ROUTE_BEFORE = r"(?:\bof|\bor)\s+\(?(?:een |an |a )?(?:\w+\s)?$"
+OTHER_ROUTE_AFTER = r"^[^.;\n]{0,70}?(?:experience|ervaring|who has reached|heeft bereikt)"
+POSTDOC = r"\bpost[- ]?doc\w*|\bpostdoctoral"
+DEGREE_WORD = (
+    r"ph\.?\s?d|doctora|gepromoveerd|promotie|m\.?\s?sc|\bms\b|master|\bwo\b|universit|academisch|b\.?\s?sc|bachelor|\bbs\b|b\.?tech|b\.?eng|hbo|hogeschool|\bhts\b|heao|\bhlo\b|"
+    r"applied sciences|higher professional|mbo|degree|diploma"
+)
+
+
+def _asks_degree(text: Column, level: str) -> Column:
+    """Whether a degree of the level is asked of the reader, in some clause, as more than a plus or another way in."""
+
+    def asked(s: Column) -> Column:
+        before, after = after_last(s["before"], CLAUSE_END), before_first(F.left(s["after"], F.lit(90)), CLAUSE_END)
+        ahead, behind = before_first(after, FLAGS + PLUS), after_last(before, FLAGS + PLUS)
+        plus_after = search(after, FLAGS + PLUS) & ~search(ahead, FLAGS + ANY_DEGREE) & ~search(ahead, FLAGS + OTHER_ITEM)
+        plus_before = search(before, FLAGS + PLUS) & ~search(behind, FLAGS + ANY_DEGREE)
+        others = search(before, FLAGS + OTHERS_BEFORE) | search(F.left(s["after"], F.lit(60)), FLAGS + OTHERS_AFTER)
+        instead = F.lit(False)
+        if level == "phd":
+            instead = search(s["before"], FLAGS + FOR_EXPERIENCE)
+        elif level == "mbo":
+            instead = search(F.right(s["before"], F.lit(25)), FLAGS + OTHER_ROUTE_BEFORE) & search(s["after"], FLAGS + OTHER_ROUTE_AFTER)
+        return ~(plus_after | plus_before | others | instead)
+
+    return F.coalesce(F.exists(spans(text, FLAGS + DEGREES[level], 60, 120), asked), F.lit(False))
+
+
+def _lowest_degree(text: Column) -> Column:
+    asked = None
+    for level in DEGREES:
+        asked = F.when(_asks_degree(text, level), level) if asked is None else asked.when(_asks_degree(text, level), level)
+    return F.when(search(text, "(?iu)" + DEGREE_WORD), asked)
+
+
+def detect_degree(title: Column, core: Column, text: Column) -> Column:
+    """The lowest degree asked for (mbo, hbo, bsc, msc, phd), by the part about the job or else the whole text; 'none' where none is needed, else 'unknown'.
+
+    A degree without a level says nothing. ``core`` may be null (see sections.job_text); a null text asks for nothing.
+    """
+    found = F.coalesce(_lowest_degree(core), _lowest_degree(text), F.lit("unknown"))
+    return F.when(search(text, FLAGS + NO_DEGREE), "none").when(search(title, FLAGS + POSTDOC), "phd").otherwise(found)

@@ -73,3 +73,12 @@ register("x27_self_description", lambda spark, sf_dir: sections.self_description
     read AS (SELECT *, coalesce(sum(length(b)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bare),
     said AS (SELECT doc_id, left(string_agg(b, chr(10) ORDER BY n), 2000) AS t FROM read WHERE before <= 2000 GROUP BY doc_id)
     SELECT doc_id, sha256(t) AS intro_sha256, length(t) AS n FROM said""")
+
+_HELD = "element_at(array('an MBO diploma', 'an HBO degree', 'a BSc degree', 'a Master''s degree', 'a doctorate'), cast({k} % 5 + 1 as int))"
+_FIRST, _SECOND = _HELD.format(k="doc_id"), _HELD.format(k="(doc_id + 1 + doc_id % 3)")
+_DEGREE = f"""CASE doc_id div 5 % 4 WHEN 0 THEN concat('You have ', {_FIRST}, '.') WHEN 1 THEN concat('You have ', {_FIRST}, ' or ', {_SECOND}, '.')
+    WHEN 2 THEN concat('Having ', {_FIRST}, ' is a plus.') ELSE concat('A degree is not required, though you may have ', {_FIRST}, '.') END"""
+
+register("x19_degree", lambda spark, sf_dir: planted(spark, sf_dir, _DEGREE).select("doc_id", requirements.detect_degree(F.lit("Engineer"), F.lit(None).cast("string"), F.col("text")).alias("degree")),
+    """WITH d AS (SELECT doc_id, [0, 2, 1, 3, 4][doc_id % 5 + 1] AS a, [0, 2, 1, 3, 4][(doc_id + 1 + doc_id % 3) % 5 + 1] AS b, doc_id // 5 % 4 AS m FROM documents)
+    SELECT doc_id, CASE m WHEN 2 THEN 'unknown' WHEN 3 THEN 'none' ELSE ['mbo', 'bsc', 'hbo', 'msc', 'phd'][CASE m WHEN 0 THEN a ELSE least(a, b) END + 1] END AS degree FROM d""")
