@@ -139,7 +139,7 @@ def recent(views: DataFrame, now: str, include_bots: bool = False, window: int =
 def rollup(views: DataFrame, first_day: str, last_day: str, top: int = ROLLUP_TOP) -> DataFrame:
     """day, dim, key, hits, humans, uniques for each finished day of the range: the total, and people by country, referrer and page.
 
-    One pass with grouping sets; a day without hits gives no rows. Written by overwriting the days'
+    One pass over the views, each stacked into a row per dimension; a day without hits gives no rows. Written by overwriting the days'
     partitions, so running it again changes nothing.
     """
     rows = views.where("kind <> 'event'").withColumn("day", F.to_date("ts")).where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))

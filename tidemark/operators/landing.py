@@ -64,7 +64,7 @@ def landing_pages(rows: DataFrame, as_of: str, max_cities: int = 14, role_cities
     """kind, role, theme, city, postings of every page with enough postings.
 
     A row is in a city's page if its own city or one of its others is that city. One pass counts all
-    city, role and role-in-city pages with grouping sets; themes are counted as flags of the same rows.
+    city, role and role-in-city pages as aggregates of the same rows, united; themes are counted as flags.
     """
     live = rows.where("closed_at is null")
     own = live.where(F.col("city").isNotNull()).groupBy("city").agg(F.count(F.lit(1)).alias("n"))

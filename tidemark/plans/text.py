@@ -117,8 +117,10 @@ _SKILL_TEXTS = [f"We use {a.lower() if k % 2 else a} and ({b}) daily." for k, (a
 _FOUND_SKILLS = ", ".join(f"CASE WHEN regexp_matches(t, {_sql('(?i)' + rx)}) THEN {_sql(name)} END" for name, rx in _PLAIN_SKILLS.items())
 register("x12_find_skills", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select(F.explode(skills.find_skills(F.concat_ws(" ", "title", F.expr(_pick(_SKILL_TEXTS))), _PLAIN_SKILLS)).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {POSTINGS_SQL}, s AS (SELECT id, title || ' ' || {_picked(_SKILL_TEXTS)} AS t FROM postings), f AS (SELECT unnest([{_FOUND_SKILLS}]) AS skill FROM s) SELECT skill, count(*) AS n FROM f WHERE skill IS NOT NULL GROUP BY skill")
-register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select("id", text.detect_seniority(F.when(F.col("id") % 3 == 0, "Senior Engineer").when(F.col("id") % 3 == 1, "Stage Data").otherwise("Engineer"), F.col("years_experience")).alias("seniority")),
-         f"WITH {POSTINGS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'senior' WHEN id % 3 = 1 THEN 'intern' WHEN years_experience >= 5 THEN 'senior' WHEN years_experience >= 3 THEN 'medior' WHEN years_experience IS NOT NULL THEN 'junior' ELSE 'unknown' END AS seniority FROM postings")
+_TITLES = [("Senior Engineer", "senior"), ("Stage Data", "intern"), ("Data Traineeship", "trainee"), ("Junior Cook", "junior"), ("Medior Tester", "medior"), ("Principal Engineer", "staff"), ("Head of Data", "manager"), ("Tech Lead Java", "lead"), ("Product Manager", ""), ("Engineer", ""),
+           ("Backstage Host", ""), ("Starter", "trainee"), ("Landscape Architect", ""), ("Solution architect", "lead"), ("Sr. Nurse", "senior"), ("Afstudeerder Bouw", "intern"), ("Senior Account Manager", "senior"), ("Associate", "junior"), ("Headline Writer", ""), ("WERKSTUDENT", "intern")]
+register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select("id", text.detect_seniority(F.expr(_pick([t for t, _ in _TITLES])), F.col("years_experience")).alias("seniority")),
+         f"WITH {POSTINGS_SQL} SELECT id, coalesce(nullif({_picked([x for _, x in _TITLES])}, ''), CASE WHEN years_experience >= 5 THEN 'senior' WHEN years_experience >= 3 THEN 'medior' WHEN years_experience IS NOT NULL THEN 'junior' ELSE 'unknown' END) AS seniority FROM postings")
 _PAY = "CASE id % 7 WHEN 0 THEN concat('We offer € ', id % 60 + 10, '.000 - € ', id % 60 + 20, '.000 per year.') WHEN 1 THEN concat('EUR ', id % 9 + 1, ',500 per month') WHEN 2 THEN concat('€', id % 80 + 10, 'k-€', id % 80 + 5, 'k') WHEN 3 THEN concat('a laptop of €2500, and salaris euro ', id % 9 + 2, '250 tot eur ', id % 9 + 3, '250 bruto per maand') WHEN 4 THEN '€500 for a laptop' WHEN 5 THEN 'EUR 450.000 - EUR 600.000' END"
 _LOW = "CASE id % 7 WHEN 0 THEN (id % 60 + 10) * 1000 WHEN 1 THEN (id % 9 + 1) * 12000 + 6000 WHEN 2 THEN (id % 80 + 10) * 1000 WHEN 3 THEN ((id % 9 + 2) * 1000 + 250) * 12 END"
 _HIGH = "CASE id % 7 WHEN 0 THEN (id % 60 + 20) * 1000 WHEN 3 THEN ((id % 9 + 3) * 1000 + 250) * 12 END"
@@ -132,13 +134,26 @@ register("x9_html_to_text", lambda spark, sf_dir: standin.table(spark, sf_dir, "
     e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM d),
     f AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM e)
     SELECT page_id, sha1(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))) AS hash FROM f""")
-register("c1_parse_agent", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.parse_agent(F.when(F.col("event_id") % 3 == 0, "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36").when(F.col("event_id") % 3 == 1, "Mozilla/5.0 (compatible; Googlebot/2.1)")).alias("a")).select("event_id", "a.*"),
-         "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Googlebot' ELSE 'Unknown' END AS browser, CASE event_id % 3 WHEN 0 THEN 'Windows' WHEN 1 THEN 'Other' ELSE 'Unknown' END AS os, CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'bot' ELSE 'unknown' END AS device, event_id % 3 <> 0 AS bot FROM events")
+# user agents of every system and browser, some of them crawlers': (text, what it is)
+_SYSTEMS = [("iPhone; CPU iPhone OS 17_0 like Mac OS X", "iOS", "mobile"), ("iPad; CPU OS 16_0 like Mac OS X", "iOS", "tablet"), ("Linux; Android 14; Mobile", "Android", "mobile"), ("Linux; Android 13; Tablet", "Android", "tablet"),
+            ("Windows NT 10.0; Win64", "Windows", "desktop"), ("Macintosh; Intel Mac OS X 10_15", "macOS", "desktop"), ("X11; CrOS x86_64", "ChromeOS", "desktop"), ("X11; Linux x86_64", "Linux", "desktop"), ("SymbianOS/9.1", "Other", "desktop")]
+_BROWSERS = [("Chrome/120.0 Safari/537.36 Edg/120.0", "Edge"), ("Chrome/119.0 Safari/537.36 OPR/105", "Opera"), ("SamsungBrowser/23.0 Chrome/115.0 Safari/537.36", "Samsung Internet"), ("Gecko/20100101 Firefox/121.0", "Firefox"), ("AppleWebKit/605 CriOS/120 Safari/604", "Chrome"), ("Version/17.0 Safari/605", "Safari"), ("Konqueror/5.0", "Other")]
+_CRAWLERS = [("", None), (" ", None), (" rv:1", None), (" (compatible; Googlebot/2.1)", "Googlebot"), (" bingbot/2.0", "bingbot"), (" GPTBot/1.1", "GPTBot"), (" PetalBot", "PetalBot"), (" my-crawler 1", "Bot"), (" HeadlessChrome/119", "Headless"), (" UptimeRobot/2.0", "Uptime monitor"), (" Slackbot-LinkExpanding", "Slackbot")]
+_AT = ("event_id", "(event_id {div} 9)", "(event_id {div} 63)")
+_spark_at, _duck_at = ([x.replace("{div}", d) for x in _AT] for d in ("div", "//"))
+_AGENT = f"if(event_id % 101 = 0, null, concat('Mozilla/5.0 (', {_pick([x[0] for x in _SYSTEMS], _spark_at[0])}, ') ', {_pick([x[0] for x in _BROWSERS], _spark_at[1])}, {_pick([x[0] for x in _CRAWLERS], _spark_at[2])}))"
+_CRAWLER = f"nullif({_picked([x[1] or '' for x in _CRAWLERS], _duck_at[2])}, '')"
+register("c1_parse_agent", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.parse_agent(F.expr(_AGENT)).alias("a")).select("event_id", "a.*"),
+         f"""WITH a AS (SELECT event_id, event_id % 101 = 0 AS none, {_CRAWLER} AS crawler, {_picked([x[1] for x in _BROWSERS], _duck_at[1])} AS browser, {_picked([x[1] for x in _SYSTEMS], _duck_at[0])} AS os, {_picked([x[2] for x in _SYSTEMS], _duck_at[0])} AS device FROM events)
+    SELECT event_id, CASE WHEN none THEN 'Unknown' ELSE coalesce(crawler, browser) END AS browser, CASE WHEN none THEN 'Unknown' ELSE os END AS os,
+           CASE WHEN none THEN 'unknown' WHEN crawler IS NOT NULL THEN 'bot' ELSE device END AS device, none OR crawler IS NOT NULL AS bot FROM a""")
 register("c2_classify_path", lambda spark, sf_dir: standin.page_views(spark, sf_dir).groupBy(agents.classify_path(F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
          "SELECT CASE event_type WHEN 'error' THEN 'api' ELSE 'page' END AS kind, count(*) AS n FROM events GROUP BY 1")
 register("c3_referrer", lambda spark, sf_dir: standin.table(spark, sf_dir, "pages").select("page_id", agents.referrer_host(F.col("url"), "ththre.example.com").alias("host")),
          r"SELECT page_id, nullif(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', ''), 'ththre.example.com') AS host FROM pages")
 register("c4_visitor", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.visitor_id(F.lit("salt"), F.col("visitor"), F.col("browser")).alias("visitor")),
          "SELECT event_id, left(sha256('salt|' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '|' || CASE WHEN user_id % 10 = 9 THEN 'Bot' || (user_id % 3) ELSE 'Browser' || (user_id % 5) END), 16) AS visitor FROM events")
-register("c5_search_detail", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.search_detail(F.format_string("q=data+engineer&page=%d&city=Delft&remote=false", F.col("event_id") % 3)).alias("detail")),
-         "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'q=data engineer&city=Delft' END AS detail FROM events")
+_QUERY = "concat('page=', event_id % 3, '&q=', if(user_id % 5 = 0, '', concat('data+', repeat('x', cast(event_id % 60 as int)), user_id)), '&city=', if(user_id % 3 = 0, 'Den%20Haag', ''), '&remote=', user_id % 2 = 0, if(event_id % 7 = 0, '&ids=1,2', '&ids='), '&junk=', user_id, '&skill=C%2B%2B')"
+register("c5_search_detail", lambda spark, sf_dir: standin.table(spark, sf_dir, "events").select("event_id", agents.search_detail(F.expr(_QUERY)).alias("detail")),
+         """SELECT event_id, CASE WHEN event_id % 3 = 1 AND event_id % 7 <> 0 THEN concat_ws('&', CASE WHEN user_id % 5 <> 0 THEN 'q=' || left('data ' || repeat('x', CAST(event_id % 60 AS INTEGER)) || user_id, 40) END,
+            CASE WHEN user_id % 3 = 0 THEN 'city=Den Haag' END, 'skill=C++', CASE WHEN user_id % 2 = 0 THEN 'remote=true' END) END AS detail FROM events""")
