@@ -117,10 +117,10 @@ _SKILL_TEXTS = [f"We use {a.lower() if k % 2 else a} and ({b}) daily." for k, (a
 _FOUND_SKILLS = ", ".join(f"CASE WHEN regexp_matches(t, {_sql('(?i)' + rx)}) THEN {_sql(name)} END" for name, rx in _PLAIN_SKILLS.items())
 register("x12_find_skills", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select(F.explode(skills.find_skills(F.concat_ws(" ", "title", F.expr(_pick(_SKILL_TEXTS))), _PLAIN_SKILLS)).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {POSTINGS_SQL}, s AS (SELECT id, title || ' ' || {_picked(_SKILL_TEXTS)} AS t FROM postings), f AS (SELECT unnest([{_FOUND_SKILLS}]) AS skill FROM s) SELECT skill, count(*) AS n FROM f WHERE skill IS NOT NULL GROUP BY skill")
-_TITLES = [("Senior Engineer", "senior"), ("Stage Data", "intern"), ("Data Traineeship", "trainee"), ("Junior Cook", "junior"), ("Medior Tester", "medior"), ("Principal Engineer", "staff"), ("Head of Data", "manager"), ("Tech Lead Java", "lead"), ("Product Manager", ""), ("Engineer", ""),
+_LEVEL_TITLES = [("Senior Engineer", "senior"), ("Stage Data", "intern"), ("Data Traineeship", "trainee"), ("Junior Cook", "junior"), ("Medior Tester", "medior"), ("Principal Engineer", "staff"), ("Head of Data", "manager"), ("Tech Lead Java", "lead"), ("Product Manager", ""), ("Engineer", ""),
            ("Backstage Host", ""), ("Starter", "trainee"), ("Landscape Architect", ""), ("Solution architect", "lead"), ("Sr. Nurse", "senior"), ("Afstudeerder Bouw", "intern"), ("Senior Account Manager", "senior"), ("Associate", "junior"), ("Headline Writer", ""), ("WERKSTUDENT", "intern")]
-register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select("id", text.detect_seniority(F.expr(_pick([t for t, _ in _TITLES])), F.col("years_experience")).alias("seniority")),
-         f"WITH {POSTINGS_SQL} SELECT id, coalesce(nullif({_picked([x for _, x in _TITLES])}, ''), CASE WHEN years_experience >= 5 THEN 'senior' WHEN years_experience >= 3 THEN 'medior' WHEN years_experience IS NOT NULL THEN 'junior' ELSE 'unknown' END) AS seniority FROM postings")
+register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select("id", text.detect_seniority(F.expr(_pick([t for t, _ in _LEVEL_TITLES])), F.col("years_experience")).alias("seniority")),
+         f"WITH {POSTINGS_SQL} SELECT id, coalesce(nullif({_picked([x for _, x in _LEVEL_TITLES])}, ''), CASE WHEN years_experience >= 5 THEN 'senior' WHEN years_experience >= 3 THEN 'medior' WHEN years_experience IS NOT NULL THEN 'junior' ELSE 'unknown' END) AS seniority FROM postings")
 _PAY = "CASE id % 7 WHEN 0 THEN concat('We offer € ', id % 60 + 10, '.000 - € ', id % 60 + 20, '.000 per year.') WHEN 1 THEN concat('EUR ', id % 9 + 1, ',500 per month') WHEN 2 THEN concat('€', id % 80 + 10, 'k-€', id % 80 + 5, 'k') WHEN 3 THEN concat('a laptop of €2500, and salaris euro ', id % 9 + 2, '250 tot eur ', id % 9 + 3, '250 bruto per maand') WHEN 4 THEN '€500 for a laptop' WHEN 5 THEN 'EUR 450.000 - EUR 600.000' END"
 _LOW = "CASE id % 7 WHEN 0 THEN (id % 60 + 10) * 1000 WHEN 1 THEN (id % 9 + 1) * 12000 + 6000 WHEN 2 THEN (id % 80 + 10) * 1000 WHEN 3 THEN ((id % 9 + 2) * 1000 + 250) * 12 END"
 _HIGH = "CASE id % 7 WHEN 0 THEN (id % 60 + 20) * 1000 WHEN 3 THEN ((id % 9 + 3) * 1000 + 250) * 12 END"
