@@ -34,6 +34,19 @@ def test_title_pairs_keep_all_that_are_alike_and_few_others(spark):
     assert len(got) < 0.1 * len(left) * len(right)
 
 
+def test_employers_of_few_titles_meet_directly_and_others_by_letters(spark):
+    rng = random.Random(13)
+    title = lambda: " ".join(rng.choices(WORDS, k=3))
+    left, right = ({(k, title()) for k, n in sizes for _ in range(n)} for sizes in ((("one", 1), ("many", 40), ("alone", 3)), (("one", 60), ("many", 50))))
+    frames = [spark.createDataFrame(sorted(side), f"k string, {c} string") for side, c in ((left, "t"), (right, "pt"))]
+    alike = lambda a, b: a == b or len(a) >= 12 and a in b or len(b) >= 12 and b in a or difflib.SequenceMatcher(None, a, b).ratio() >= 0.8
+    every = {(k, a, b) for k, a in left for j, b in right if j == k}
+    for few in (0, 5, 64):
+        got = [tuple(r) for r in matching.employers_title_pairs(*frames, few=few).collect()]
+        assert len(got) == len(set(got)) and {p for p in every if alike(*p[1:])} <= set(got) <= every
+        assert (len(got) == len(every)) == (few == 64)
+
+
 def test_sample_equals_all_pairs(spark):
     rng = random.Random(12)
     names = ["Acme B.V.", "Acme", "Acme Widgets", "Bolt", "Big Bolt Holland", "", None]
