@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import agents, normalize, positions, skills, text
 from tidemark.operators import duplicates, landing
+from tidemark.operators.rows import by_distinct
 
 
 def values(spark, function, inputs):
@@ -86,3 +87,21 @@ def test_patterns_against_plain_python(spark):
     assert values(spark, positions.position, titles) == [position_of(t) for t in titles]
     assert values(spark, text.title_level, titles) == [first(text.LEVELS, t) for t in titles]
     assert values(spark, skills.find_skills, titles) == [[name for name, rx in skills.TAXONOMY.items() if re.search(rx, t, re.I)] for t in titles]
+
+
+def test_facts_of_distinct_texts_reach_every_row_and_are_computed_once(spark):
+    rows = spark.createDataFrame([(k, [None, "Chrome/1", "x Googlebot/2", ""][k % 4]) for k in range(400)], "id long, agent string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        @F.udf("string")
+        def upper(t):
+            seen.add(1)
+            return None if t is None else t.upper()
+
+        return upper(text)
+
+    out = by_distinct(rows, F.col("agent"), up=counted).where("up is not null")
+    assert sorted(out.columns) == ["agent", "id", "up"]
+    assert {(r.id, r.up) for r in out.collect()} == {(k, ["", "CHROME/1", "X GOOGLEBOT/2", ""][k % 4]) for k in range(400) if k % 4}
+    assert seen.value == 4  # the filter is not pushed down to the rows
