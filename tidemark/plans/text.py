@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import agents, normalize, skills, text
 from tidemark.operators import duplicates
 from tidemark.operators.landing import slugify
-from tidemark.operators.rows import with_positions
+from tidemark.operators.rows import by_distinct, with_positions
 from tidemark.sources import standin
 from tidemark.sources.standin import POSTINGS_SQL
 
@@ -115,7 +115,7 @@ register("x26_positions", lambda spark, sf_dir: with_positions(standin.postings(
 _PLAIN_SKILLS = {name: rx for name, rx in skills.TAXONOMY.items() if not any(x in rx for x in ("(?=", "(?!", "(?<"))}
 _SKILL_TEXTS = [f"We use {a.lower() if k % 2 else a} and ({b}) daily." for k, (a, b) in enumerate(zip(skills.TAXONOMY, [*skills.TAXONOMY][7:] + [*skills.TAXONOMY][:7]))]
 _FOUND_SKILLS = ", ".join(f"CASE WHEN regexp_matches(t, {_sql('(?i)' + rx)}) THEN {_sql(name)} END" for name, rx in _PLAIN_SKILLS.items())
-register("x12_find_skills", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select(F.explode(skills.find_skills(F.concat_ws(" ", "title", F.expr(_pick(_SKILL_TEXTS))), _PLAIN_SKILLS)).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")),
+register("x12_find_skills", lambda spark, sf_dir: by_distinct(standin.postings(spark, sf_dir, skills=False), F.concat_ws(" ", "title", F.expr(_pick(_SKILL_TEXTS))), found=lambda t: skills.find_skills(t, _PLAIN_SKILLS)).select(F.explode("found").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {POSTINGS_SQL}, s AS (SELECT id, title || ' ' || {_picked(_SKILL_TEXTS)} AS t FROM postings), f AS (SELECT unnest([{_FOUND_SKILLS}]) AS skill FROM s) SELECT skill, count(*) AS n FROM f WHERE skill IS NOT NULL GROUP BY skill")
 _LEVEL_TITLES = [("Senior Engineer", "senior"), ("Stage Data", "intern"), ("Data Traineeship", "trainee"), ("Junior Cook", "junior"), ("Medior Tester", "medior"), ("Principal Engineer", "staff"), ("Head of Data", "manager"), ("Tech Lead Java", "lead"), ("Product Manager", ""), ("Engineer", ""),
            ("Backstage Host", ""), ("Starter", "trainee"), ("Landscape Architect", ""), ("Solution architect", "lead"), ("Sr. Nurse", "senior"), ("Afstudeerder Bouw", "intern"), ("Senior Account Manager", "senior"), ("Associate", "junior"), ("Headline Writer", ""), ("WERKSTUDENT", "intern")]
@@ -124,7 +124,7 @@ register("x20_seniority", lambda spark, sf_dir: standin.postings(spark, sf_dir,
 _PAY = "CASE id % 7 WHEN 0 THEN concat('We offer € ', id % 60 + 10, '.000 - € ', id % 60 + 20, '.000 per year.') WHEN 1 THEN concat('EUR ', id % 9 + 1, ',500 per month') WHEN 2 THEN concat('€', id % 80 + 10, 'k-€', id % 80 + 5, 'k') WHEN 3 THEN concat('a laptop of €2500, and salaris euro ', id % 9 + 2, '250 tot eur ', id % 9 + 3, '250 bruto per maand') WHEN 4 THEN '€500 for a laptop' WHEN 5 THEN 'EUR 450.000 - EUR 600.000' END"
 _LOW = "CASE id % 7 WHEN 0 THEN (id % 60 + 10) * 1000 WHEN 1 THEN (id % 9 + 1) * 12000 + 6000 WHEN 2 THEN (id % 80 + 10) * 1000 WHEN 3 THEN ((id % 9 + 2) * 1000 + 250) * 12 END"
 _HIGH = "CASE id % 7 WHEN 0 THEN (id % 60 + 20) * 1000 WHEN 3 THEN ((id % 9 + 3) * 1000 + 250) * 12 END"
-register("x22_salary", lambda spark, sf_dir: standin.postings(spark, sf_dir, skills=False).select("id", text.parse_salary(F.expr(_PAY)).alias("s")).select("id", "s.low", "s.high"),
+register("x22_salary", lambda spark, sf_dir: by_distinct(standin.postings(spark, sf_dir, skills=False).select("id"), F.expr(_PAY), s=text.parse_salary).select("id", "s.low", "s.high"),
          f"WITH {POSTINGS_SQL}, p AS (SELECT id, {_LOW} AS low, {_HIGH} AS high FROM postings) SELECT id, CASE WHEN low BETWEEN 20000 AND 400000 THEN low END AS low, CASE WHEN low BETWEEN 20000 AND 400000 THEN high END AS high FROM p")
 register("x9_html_to_text", lambda spark, sf_dir: standin.table(spark, sf_dir, "pages").select("page_id", F.sha1(text.html_to_text(F.col("html"))).alias("hash")), r"""
     WITH a AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
@@ -143,7 +143,7 @@ _AT = ("event_id", "(event_id {div} 9)", "(event_id {div} 63)")
 _spark_at, _duck_at = ([x.replace("{div}", d) for x in _AT] for d in ("div", "//"))
 _AGENT = f"if(event_id % 101 = 0, null, concat('Mozilla/5.0 (', {_pick([x[0] for x in _SYSTEMS], _spark_at[0])}, ') ', {_pick([x[0] for x in _BROWSERS], _spark_at[1])}, {_pick([x[0] for x in _CRAWLERS], _spark_at[2])}))"
 _CRAWLER = f"nullif({_picked([x[1] or '' for x in _CRAWLERS], _duck_at[2])}, '')"
-register("c1_parse_agent", lambda spark, sf_dir: standin.page_views(spark, sf_dir).select("event_id", agents.parse_agent(F.expr(_AGENT)).alias("a")).select("event_id", "a.*"),
+register("c1_parse_agent", lambda spark, sf_dir: by_distinct(standin.page_views(spark, sf_dir).select("event_id"), F.expr(_AGENT), a=agents.parse_agent).select("event_id", "a.*"),
          f"""WITH a AS (SELECT event_id, event_id % 101 = 0 AS none, {_CRAWLER} AS crawler, {_picked([x[1] for x in _BROWSERS], _duck_at[1])} AS browser, {_picked([x[1] for x in _SYSTEMS], _duck_at[0])} AS os, {_picked([x[2] for x in _SYSTEMS], _duck_at[0])} AS device FROM events)
     SELECT event_id, CASE WHEN none THEN 'Unknown' ELSE coalesce(crawler, browser) END AS browser, CASE WHEN none THEN 'Unknown' ELSE os END AS os,
            CASE WHEN none THEN 'unknown' WHEN crawler IS NOT NULL THEN 'bot' ELSE device END AS device, none OR crawler IS NOT NULL AS bot FROM a""")
