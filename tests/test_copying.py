@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import copying
 
@@ -34,3 +35,18 @@ def test_every_reference_means_the_same_row(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         copying.copy_tables(tables, keys, refs, str(tmp_path))
     assert copying.dense_ids(tables["postings"].limit(0)).count() == 0
+
+
+def test_null_references_are_spread_over_tasks(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.col("id") + 1).cast("int").alias("up"), F.col("id").cast("string").alias("name"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = copying.renumbered({"t": rows}, {"t": "id"}, [("t", "up", "t")])["t"]
+        tasks = {r["p"]: r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(tasks) > 1 and max(tasks.values()) < 2000
+    assert {(r.id, r.up, r.name) for r in out.collect()} == {(k + 1, k + 2 if k % 100 == 0 else None, str(k)) for k in range(4000)}
