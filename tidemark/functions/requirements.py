@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.spans import after_last, before_first, first, let, search, spans
+from tidemark.functions.spans import after_last, before_first, first, led, let, search, spans
 
 FLAGS = "(?iuU)"
 
@@ -19,11 +19,13 @@ NUMBERS = {
 }
 HALVES = ("half", "een half", "a half", "half a")
 _NUMBER = r"(?:\d{1,2}(?:[.,]5)?|" + "|".join(sorted([*NUMBERS, "half"], key=lambda w: -len(w))) + ")"
-YEARS = (
-    FLAGS + r"(?<![\d.,])(?:(?=\d)|\b)(\d{1,2}\s*(?:months?|maanden)\s*(?:to|tot|[-–—])\s*)?"
+YEARS = FLAGS + led(
+    "a_h ach and dri ele een eig fif fiv fou hal neg nin one sev six ten thr tie twa twe two vie vij zes zev één",
+    r"(?<![\d.,])(?:(?=\d)|\b)(\d{1,2}\s*(?:months?|maanden)\s*(?:to|tot|[-–—])\s*)?"
     r"((?:een |a )?half(?: a)?|" + _NUMBER + r")(?:\s*\(\d{1,2}\+?\))?"
     r"\s*(?:(\+|plus|or more|of meer)|(?:[-–—]|to|till|until|tot|t/m|à|and|en|or|of)\s*(" + _NUMBER + r")\+?)?"
-    r"(?:\s*\([^()]{0,25}\))?[\s-]*(?:years?|yrs?|jaren|jaar)\b"
+    r"(?:\s*\([^()]{0,25}\))?[\s-]*(?:years?|yrs?|jaren|jaar)\b",
+    digits=True,
 )
 # Words of experience; those that make a number of years one of something else, after it and before it.
 EXPERIENCE = r"experience|ervaring|expertise|track record|background|hands[- ]on|relevant"
@@ -104,23 +106,26 @@ def _worded(span: Column) -> Column:
 
 
 # Statements that a visa is arranged, weaker ones of help with moving, and statements that it is not.
-VISA = (
+VISA = led(
+    "and ass erk hel hig hou hsm imm ken or_ rec reg spo sup vis we_ wor",
     r"vis(?:a|um)[- ]?sponsor\w*|sponsor(?:ship|ing|s)? (?:of |for )?(?:a |your |the |work |residence |their )*(?:visas?|permits?)\b|visa (?:support|assistance|help)|"
     r"(?:support|assist|help)\w* (?:\w+ ){0,3}?(?:with |throughout |during |in )(?:the |your |any )?(?:\w+ )?vis(?:a|um)\b|"
     r"vis(?:a|um)[- ]?(?:application|process|procedure|aanvra)\w*|highly skilled migrants?|kennismigrant\w*|\bHSM[- ](?:visa|permit|status|scheme|sponsor\w*)|"
     r"erkend referent|recogni[sz]ed (?:sponsor|referent)|work permit (?:support|sponsorship|application)|immigration (?:support|sponsorship|assistance|services)|"
     r"sponsorship provided\W{0,3}yes|vis(?:a|um)\s*(?:\+|and|&)\s*housing (?:is )?provided|housing\s*(?:\+|and|&)\s*vis(?:a|um) (?:is |are )?provided|"
     r"(?:or|and) (?:be )?eligible for (?:visa )?sponsorship|regelen (?:we|wij) (?:een |je |jouw )?(?:visum|verblijfsvergunning|werkvergunning)|"
-    r"we (?:can |will |do |are able to |gladly |happily )?sponsor (?:your |a |the |work |residence |relocation )*(?:visas?|permits?|relocation|candidates|you)\b"
+    r"we (?:can |will |do |are able to |gladly |happily )?sponsor (?:your |a |the |work |residence |relocation )*(?:visas?|permits?|relocation|candidates|you)\b",
 )
-MOVING = (
+MOVING = led(
+    "30 ass exp hel mak rel sup ver",
     r"relocation (?:package|support|assistance|budget|team|help|bonus|allowance|expenses|services|compensation|reimbursement)|relocati(?:e|on)[- ]?pakket\w*|"
     r"relocatie[- ]?ondersteuning|verhuispakket|help(?:s|ing)? you (?:to )?relocate|"
     r"(?:assist|support|help)\w* (?:you |candidates |employees |people )?(?:\w+ )?(?:with|in|throughout) (?:your |the )?(?:relocation|moving|move)\b|assistance with relocation|"
     r"(?:assist\w*|support\w*|help\w*) (?:to |for )?(?:candidates|employees|people|those|anyone) who (?:relocate|move)|make your move (?:to \w+ )?(?:as )?smooth|"
-    r"relocation (?:is |are )?(?:offered|provided|covered|reimbursed)|30\s?%[- ]?(?:tax )?(?:ruling|regeling|facility)|expat (?:support|services|package|centre|center|desk)"
+    r"relocation (?:is |are )?(?:offered|provided|covered|reimbursed)|30\s?%[- ]?(?:tax )?(?:ruling|regeling|facility)|expat (?:support|services|package|centre|center|desk)",
 )
-NO_VISA = (
+NO_VISA = led(
+    "alr aut can do_ doe don dut eea eli eu_ eu- eu/ eum eur euw gee gel ger has hav hol in_ leg mus n't n’t ned nee nev no per pos rel req rig sho spo una val vis wer wil wit won zon",
     r"(?:\bno\b|\bnot\b(?! only)|cannot|unable to|n[’']t\b|\bnever\b)(?:\s+[\w’'-]+){0,3}?\s+"
     r"(?:offer\w*|provid\w*|sponsor\w*|support\w*|assist\w*|apply for|help with|facilitat\w*)(?:\s+[\w’'/-]+){0,3}?\s+"
     r"(?:vis(?:a|um)\w*|sponsor\w*|relocat\w*|work permits?|work or residence permits?|residence permits?|work visas?|immigration)|"
@@ -142,7 +147,7 @@ NO_VISA = (
     r"(?:do not|don't|does not|doesn't|won't|will not) (?:currently |now or in the future )?(?:require|need) (?:a |any )?(?:visa|sponsorship|work permit)|"
     r"geen\W{0,15}(?:vis(?:a|um)\w*|sponsor\w*|relocat\w*|verhuis\w*)|(?:vis(?:a|um)\w*|sponsor\w*|relocat\w*)[^.\n]{0,40}\b(?:niet|geen)\b\W{0,3}(?:mogelijk|bieden|aan)|"
     r"geldige [\w -]{0,20}?(?:werk|verblijfs)[- ]?(?:vergunning|visum)|(?:nederlandse |eu-?)?werkvergunning (?:is )?(?:vereist|noodzakelijk|verplicht)|"
-    r"in nederland mag werken|gerechtigd (?:zijn )?(?:om )?in nederland te (?:wonen en te )?werken|zonder werkvergunning"
+    r"in nederland mag werken|gerechtigd (?:zijn )?(?:om )?in nederland te (?:wonen en te )?werken|zonder werkvergunning",
 )
 # What ends a clause, negates in one (before and after a statement), makes it conditional, answers a form's field, or hedges.
 CLAUSE_END = r"[.!?;\n•|]"
@@ -150,9 +155,10 @@ NOT_BEFORE = r"\b(?:no|not(?! only)|geen|niet|cannot|unable|without|never|nor|no
 NOT_AFTER = r"^\W{0,4}(?:[\w-]+\W+){0,4}?(?:is |are |will be |wordt |kunnen wij )?(?:not|niet|unavailable|nee|no)\b(?! (?:matter|longer)\b)"
 CONDITION = r"^\W*(?:if|als|in case|should|when)\b[^,]*,"
 # Every statement has one of these words.
-ANCHOR = (
+ANCHOR = led(
+    "30 all alr aut cit eli ent exp ger hsm imm leg mag mig mov nat pas per ref rel res rig spo ver vis",
     r"vis[au]m?|sponsor|relocat|permit|vergunning|migrant|30\s?%|referent|immigration|verhuis|expat|right|eligib|authori[sz]|citizen|passport|national|residen|already|"
-    r"gerechtigd|mag werken|\bhsm\b|moving|\bmove\b|permitted to|allowed to|entitled to|legally"
+    r"gerechtigd|mag werken|\bhsm\b|moving|\bmove\b|permitted to|allowed to|entitled to|legally",
 )
 YES, NO = r"^(?:yes|ja|available|possible|provided)\b", r"^(?:no|nee|not)\b"
 HEDGED = r"prefer\w*|a plus|an advantage|\bpr[eé]\b|\?|if applicable"
@@ -182,33 +188,37 @@ def detect_visa(text: Column) -> Column:
 
 # Degrees asked for, lowest level first (a bachelor's and an hbo degree are one level); a PhD position is none that is asked for.
 DEGREES = {
-    "mbo": r"\bmbo\w*(?!['’]s\b)",
-    "bsc": r"\bb\.?\s?sc\b|\bbachelor\w*|\bbs\b (?:\(or higher\) )?(?:degree|in)\b|\bb\.?tech\b|\bb\.?eng\b",
-    "hbo": (
+    "mbo": led("mbo", r"\bmbo\w*(?!['’]s\b)"),
+    "bsc": led("b", r"\bb\.?\s?sc\b|\bbachelor\w*|\bbs\b (?:\(or higher\) )?(?:degree|in)\b|\bb\.?tech\b|\bb\.?eng\b"),
+    "hbo": led(
+        "deg dip edu hbo hea hig hlo hog hts opl uni",
         r"\bhbo\w*(?!['’]s\b)|\bhogeschool(?:opleiding|diploma|niveau)|\bhts\b|\bheao\b|\bhlo\b|\buniversity of applied sciences (?:degree|diploma|level|education)|"
-        r"\bhigher professional education|\b(?:degree|diploma|education|opleiding) (?:from|at) (?:a |an )?university of applied sciences"
+        r"\bhigher professional education|\b(?:degree|diploma|education|opleiding) (?:from|at) (?:a |an )?university of applied sciences",
     ),
-    "msc": (
+    "msc": led(
+        "aca afg beh com fin m uni wo",
         r"\bm\.?\s?sc\b(?![\s-]*(?:(?:and|en|or|of|/)\s*ph\.?d\s*)?(?:students|studenten|theses|projects|interns?))|(?-i:\bMS)\s*(?:degree|in\b|or PhD|/\s?PhD)|\bmasters? of (?:een )?ph\.?d\b|"
         r"(?<!scrum )(?<!certified )(?<!quiz)\bmasters?(?:['’]s?)?(?:\s+(?:degree|diploma|in\b(?! (?:excel|het|de|the|multitask|problem|communic|organi|plannen|verbind|sales))|level|or\b|"
         r"opleiding|programme|program|student|graduate|of (?:science|engineering|arts|business|laws|philosophy|computer|information|applied|data))|\s*/\s*(?:phd|ph\.d|doctor))|"
         r"\bmaster(?:diploma|opleiding|niveau|titel|degree|studie|student|s?graad)\w*|\bwo\b|\buniversity master|\b(?:afgeronde|completed|finished|behaalde) (?:\w+ )?masters?\b|"
         r"\buniversitair\w* (?:opleiding|niveau|diploma|master|denkniveau|werk|achtergrond|studie)|"
-        r"\bacademisch\w* (?:werk[- ] en )?(?:denk)?(?:niveau|opleiding|achtergrond|diploma|master)|\buniversity degree"
+        r"\bacademisch\w* (?:werk[- ] en )?(?:denk)?(?:niveau|opleiding|achtergrond|diploma|master)|\buniversity degree",
     ),
-    "phd": (
+    "phd": led(
+        "doc gep ph pro",
         r"(?<!your )(?<!this )(?<!the )(?<!our )(?<!during )(?<!funded )(?<!year )(?<!other )(?<!doing a )(?<!start a )(?<!starting a )(?<!towards a )(?<!for a )(?<!pursue a )"
         r"(?<!her )(?<!his )(?<!their )(?<!my )(?<!possession of a )\bph\.?\s?d\.?(?:['’]s)?\b(?!['’]s\b)"
         r"(?![\s-]*(?:\d|,?\s*(?:and|or|&|/)\s*post-?doc|position|project|candidate|student|researcher|vacanc|programme|program|track|thesis|research|defen[cs]e|trajector|"
         r"supervis|fellow|scholarship|journey|stud|level position|opportunit|network|intern|salary|allowance|contract|traineeship|school|course|life|period|phase))|"
-        r"\bdoctorate\b|(?<!possession of a )\bdoctoral degree|\bgepromoveerd|\bpromotieonderzoek (?:afgerond|voltooid)"
+        r"\bdoctorate\b|(?<!possession of a )\bdoctoral degree|\bgepromoveerd|\bpromotieonderzoek (?:afgerond|voltooid)",
     ),
 }
 # Statements that no degree is needed; that one is only a plus; that it is another's, or stands for experience; further entries of a list.
-NO_DEGREE = (
+NO_DEGREE = led(
+    "deg dip do_ doe don gee no_ reg wit",
     r"(no|without a?|regardless of) (?:formal )?(?:degree|diploma)|degree (?:is )?not (?:required|necessary|needed|a must)|"
     r"(?:don't|do not|doesn't|does not) (?:need|require) (?:a |any )?(?:formal )?(?:[\w-]+,? ){0,4}(?:or )?(?:degrees?|diplomas?)\b|"
-    r"geen (?:specifiek |formeel )?diploma (?:vereist|nodig|noodzakelijk)|diploma (?:is )?niet (?:vereist|nodig|noodzakelijk)"
+    r"geen (?:specifiek |formeel )?diploma (?:vereist|nodig|noodzakelijk)|diploma (?:is )?niet (?:vereist|nodig|noodzakelijk)",
 )
 PLUS = r"a plus|is a bonus|\bbonus\b|nice[- ]to[- ]have|an advantage|\bpluspunt|\bpr[eé]\b|\bvoordeel\b|\bextra\b"
 ANY_DEGREE = r"\b(?:ph\.?d|m\.?sc|b\.?sc|master|bachelor|hbo|mbo|wo\b|universit|academisch|doctora)"
@@ -219,9 +229,10 @@ FOR_EXPERIENCE = r"(?:experience|ervaring)[^.;\n]{0,15}\(?\s*(?:or|of)\s*(?:a\s+
 OTHER_ROUTE_BEFORE = r"(?:\bof|\bor)\s+\(?(?:een |an |a )?(?:\w+\s)?$"
 OTHER_ROUTE_AFTER = r"^[^.;\n]{0,70}?(?:experience|ervaring|who has reached|heeft bereikt)"
 POSTDOC = r"\bpost[- ]?doc\w*|\bpostdoctoral"
-DEGREE_WORD = (
+DEGREE_WORD = led(
+    "aca app b deg dip doc gep hbo hea hig hlo hog hts m ph pro uni wo",
     r"ph\.?\s?d|doctora|gepromoveerd|promotie|m\.?\s?sc|\bms\b|master|\bwo\b|universit|academisch|b\.?\s?sc|bachelor|\bbs\b|b\.?tech|b\.?eng|hbo|hogeschool|\bhts\b|heao|\bhlo\b|"
-    r"applied sciences|higher professional|mbo|degree|diploma"
+    r"applied sciences|higher professional|mbo|degree|diploma",
 )
 
 
