@@ -135,3 +135,32 @@ def test_long_texts(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     row = df.select(requirements.find_years(F.col("t")), requirements.detect_visa(F.col("t"))).first()
     assert row[0] == (3 if "years" in text else None) and row[1] == (False if "sponsorship" in text else None)
+
+
+def test_lines_are_cut_after_texts_have_been_dealt_over_tasks(spark):
+    texts = spark.range(50).selectExpr("id", "concat('Requirements', char(10), '- Python ', id) as text").coalesce(1)
+    for found in (sections.job_text(texts, ["id"]), sections.self_description(texts, ["id"], F.lit("Acme"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        last = plan[plan.rindex("Generate") :]
+        assert "Exchange hashpartitioning(id" in last and plan.count("Exchange hashpartitioning(id") == 1  # below the cut, and nowhere above it
+
+
+def test_patterns_are_led_by_all_letters_that_fold_and_white_space_is_unicodes(spark):
+    points = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    letters = "abcdefghijklmnopqrstuvwxyzé"
+    led = [F.rlike("c", F.lit(f"(?iuU){x}")) != F.rlike("c", F.lit("(?iuU)" + spans.led(x, x))) for x in letters]
+    assert points.select(*(F.max(e.cast("int")).alias(f"e{k}") for k, e in enumerate(led))).first() == (0,) * len(led)
+    assert points.where((F.concat(F.lit("a"), sections._strip(F.concat("c", F.lit("b"), "c"))) == "ab") != F.rlike("c", F.lit(r"(?U)\s"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["YEARS", "VISA", "MOVING", "NO_VISA", "ANCHOR", "NO_DEGREE", "DEGREE_WORD", *requirements.DEGREES, "ROLE_CUE", "SELF", "ASKS"])
+def test_led_patterns_find_what_the_plain_ones_find(spark, name):
+    """Against the same pattern without what leads it, over pieces of the pattern and statements run together."""
+    led = requirements.DEGREES.get(name) or getattr(requirements, name, None) or getattr(sections, name)
+    plain = "(?iuU)" + led[led.index("(?:", led.index("))(?:") + 2) :]
+    rng, pieces = random.Random(3), [t for t, *_ in YEARS + VISA if t] + [t for _, t, _ in DEGREES if t] + PIECES + re.findall(r"[\w' ]+", plain)
+    texts = [(rng.choice(["", " ", ", ", "\n"]).join(rng.choices(pieces, k=4)),) for _ in range(1500)]
+    texts += [(t.upper(),) for (t,) in texts[:300]] + [(t.replace("s", "ſ").replace("i", "ı").replace("k", "K"),) for (t,) in texts[:300]]
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    rows = spark.createDataFrame(texts, "t string").select(found(plain).alias("want"), found("(?iuU)" + led.removeprefix("(?iuU)")).alias("got"))
+    assert rows.where("want <> got").count() == 0 and rows.where("size(want) > 0").count() > 0
