@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions
 from test_operators import open_rows
 
 from tidemark.operators import duplicates
@@ -170,3 +171,19 @@ def test_all_rules_equal_the_walk_over_rows(spark, seed):
 
 def test_no_postings(spark):
     assert duplicates.mark_duplicates(open_rows(spark, [{"id": 1, "url": "https://x/1", "closed_at": dt.datetime(2026, 9, 2)}]), sources(spark)).count() == 0
+
+
+def test_titles_without_their_city_need_no_pattern_for_names_they_do_not_hold(spark):
+    rows = [("Cook in The Hague", "The Hague", "cook"), ("Cook - Den Haag", "The Hague", "cook"), ("Delft", "Delft", "delft"), ("Delfter cook", "Delft", "delfter cook"), ("Cook", None, "cook"), (None, "Delft", ""), ("Cook", "", "cook")]
+    df = spark.createDataFrame(rows, "title string, city string, want string")
+    assert df.withColumn("got", duplicates.title_without_city(functions.col("title"), functions.col("city"))).where("not got <=> want").collect() == []
+
+
+def test_rules_read_stored_rows(spark, monkeypatch):
+    kept, plain = [], duplicates.stored
+    monkeypatch.setattr(duplicates, "stored", lambda df: kept.append(df.columns) or plain(df))
+    postings = spark.sql("select id, cast(id % 2 as int) source_id, 'A' company, concat('Cook ', id) title, 'Delft' city, concat('https://a.nl/', id) url, timestamp_ntz'2001-01-01' first_seen, timestamp_ntz'2001-01-01' posted_at, cast(null as timestamp_ntz) closed_at, true is_tech, 'en' posting_language, array('x') skills_required, array('x') also_in, 'junior' seniority, 1 years_experience, 'it' role_family, repeat('words and words ', 9) description, 'h' content_hash from range(6)")
+    sources = spark.sql("select cast(id as int) source_id, 'lever' ats, 'employer' kind from range(2)")
+    assert duplicates.mark_duplicates(postings, sources).count() == 6
+    assert {"key", "description"} <= set(kept[0]) and "key" in kept[1] and "description" not in kept[1]
+    assert any("signature" in columns for columns in kept)
