@@ -107,7 +107,8 @@ def personio(landing: DataFrame) -> DataFrame:
     """XML: positions with an id and a name."""
     items = F.regexp_extract_all("payload", F.lit(r"(?s)(<position>.*?</position>)"), F.lit(1))
     position = "id string, name string, office string, createdAt string, jobDescriptions struct<jobDescription:array<struct<value:string>>>"
-    rows = landing.select("source_id", "slug", F.explode(items).alias("xml")).select("source_id", "slug", F.from_xml("xml", position).alias("j")).where("trim(j.id) <> '' and trim(j.name) <> ''")
+    # read inside the generator, which no condition passes: else it would be read anew for each of them
+    rows = landing.select("source_id", "slug", F.explode(F.transform(items, lambda xml: F.from_xml(xml, position))).alias("j")).where("trim(j.id) <> '' and trim(j.name) <> ''")
     number = F.trim("j.id")
     return _raw(rows, external_id=number, title=F.trim("j.name"), url=F.concat(F.lit("https://"), F.col("slug"), F.lit(".jobs.personio.de/job/"), number), location=_filled(F.trim("j.office")), description_html=_joined(F.transform("j.jobDescriptions.jobDescription", lambda d: d["value"]), "\n"), posted_at=parse_time(F.col("j.createdAt")))
 
