@@ -14,8 +14,8 @@ longest wins, and so on towards the front.
 
 For a byte-pair model pieces weigh 0, and the acceptor's weight between two pieces is 0 where merging by
 score leaves their boundary standing and infinite where it does not: a sequence is what merging yields
-if and only if every neighbouring pair is, so one path of finite weight reaches each place. For a
-unigram model pieces weigh their negative score and every order is free.
+if and only if every neighbouring pair is, so one path of finite weight reaches each place, and the first
+one that is found to the end, depth first, is the least. For a unigram model pieces weigh their negative score and every order is free.
 
 A text is cut at places that no piece can span, so equal segments are solved once; a worker keeps a
 bounded number of them. No shuffle.
@@ -28,6 +28,7 @@ empty table gives an empty result; other columns stay, those named like a result
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,6 +68,10 @@ class Pieces:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.longest = max(map(len, weights), default=1)
+        # the length of the longest piece that begins with so many characters
+        self.reach: dict[str, int] = {}
+        for piece in weights:
+            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
         # the arc of a character without a piece of its own costs more than any piece
         self.uncovered = max([0.0, *weights.values()]) + 10.0
 
@@ -143,29 +148,33 @@ def shortest_path(text: str, pieces: Pieces, order: FreeOrder | MergeOrder) -> t
 
 
 def only_path(text: str, pieces: Pieces, order: MergeOrder) -> tuple[float, list[str]]:
-    """The same where one path of finite weight reaches each place: the first finite arc into a place is its least, and no other is tried."""
-    n, weights, longest, known = len(text), pieces.weights, pieces.longest, order.weights
-    last, total = [""] * (n + 1), [0.0] * (n + 1)
-    for end in range(1, n + 1):
-        for start in range(end - 1, max(-1, end - longest - 1), -1):
-            piece = text[start:end]
-            weight = weights.get(piece)
-            if weight is None:
-                if start < end - 1:
-                    continue
-                weight = pieces.uncovered
-            state = last[start]
-            extra = known.get((state, piece)) if state else 0.0
-            if extra is None:
-                extra = order.arc(state, piece)[1]
-            if extra < INFINITE:
-                last[end], total[end] = piece, total[start] + weight + extra
-                break
-    out, end = [], n
-    while end:
-        out.append(last[end])
-        end -= len(last[end])
-    return total[n], out[::-1]
+    """The same where one path of finite weight reaches each place, so that the first one found to the end is the least.
+
+    Pieces are tried depth first, the longest first. A place from which no arc leads on is not entered again: one path reaches it.
+    """
+    n, weights, reach, known = len(text), pieces.weights, pieces.reach, order.weights
+    out, at, last, dead = [], 0, "", set()
+    length = min(reach.get(text[:2], 1), n)
+    while at < n:
+        while length:
+            piece = text[at : at + length]
+            if (piece in weights or length == 1) and at + length not in dead:
+                extra = known.get((last, piece)) if last else 0.0
+                if extra is None:
+                    extra = order.arc(last, piece)[1]
+                if extra < INFINITE:
+                    break
+            length -= 1
+        if length:
+            out.append(piece)
+            at, last = at + length, piece
+            length = min(reach.get(text[at : at + 2], 1), n - at)
+        else:
+            dead.add(at)
+            length = len(out.pop())
+            at, last = at - length, out[-1] if out else ""
+            length -= 1
+    return sum([weights.get(piece, pieces.uncovered) for piece in out], 0.0), out
 
 
 class Transducer:
@@ -221,7 +230,7 @@ class Transducer:
                 ids += [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 ids.append(known)
-        return np.array(ids, dtype=np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encoded(self, text: str) -> bytes:
         """The tokens of a text as 32-bit numbers."""
