@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,6 +24,9 @@ from tidemark.functions.normalize import detect_city, parse_time
 from tidemark.sources.boards import _filled, _iso2, _jobs, _joined, _nested, _raw
 
 _SCRIPT = re.compile(r"<script[^>]*type\s*=\s*[\"']?[^\"'>]*ld\+json[^>]*>(.*?)</script\s*>", re.I | re.S)
+_TYPE = re.compile(r"schema\.org/JobPosting", re.I)
+_NONE: dict[str, str] = {}
+_WRITTEN = json.JSONEncoder(ensure_ascii=False).encode
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ADDRESS = ("addressLocality", "addressRegion", "addressCountry", "streetAddress")
 _BLOCKS = {"p", "div", "li", "ul", "ol", "br", "tr", "td", "h1", "h2", "h3", "h4"}
@@ -58,21 +62,27 @@ class _Microdata(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__()
-        self.open: list[dict] = []  # elements from the posting's own on
+        self.open: list[tuple] = []  # elements from the posting's own on: tag, property, value, where its text and markup begin
+        self.text: list[str] = []  # of the posting that is open, each piece once
+        self.markup: list[str] = []
         self.found: list[dict] = []
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
-        given = {k: v or "" for k, v in attributes}
-        if not self.open:
-            if not re.search(r"schema\.org/JobPosting", given.get("itemtype", ""), re.I):
-                return
-            self.found.append({"@type": "JobPosting"})
-        for element in self.open:
-            element["markup"].append(self.get_starttag_text() or "")
+        self.start(tag, attributes, self.get_starttag_text() or "")
+
+    def start(self, tag: str, attributes: list, raw: str) -> None:
+        given = {k: v or "" for k, v in attributes} if attributes else _NONE
+        if self.open:
+            self.markup.append(raw)
             if tag in _BLOCKS:
-                element["text"].append(" ")
+                self.text.append(" ")
+        elif _TYPE.search(given.get("itemtype", "")):
+            self.found.append({"@type": "JobPosting"})
+            self.text, self.markup = [], []
+        else:
+            return
         value = given.get("content") or given.get("datetime") or (given.get("href") if tag == "a" else None)
-        self.open.append({"tag": tag, "property": given.get("itemprop"), "value": value, "text": [], "markup": []})
+        self.open.append((tag, given.get("itemprop"), value, len(self.text), len(self.markup)))
         if tag in _VOID:
             self._close()
 
@@ -82,46 +92,81 @@ class _Microdata(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        for element in self.open:
-            element["text"].append(data)
-            element["markup"].append(data)
+        if self.open:
+            self.text.append(data)
+            self.markup.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(e["tag"] == tag for e in self.open):
+        if self.open and self.open[-1][0] == tag:
+            self._close()
+        elif any(e[0] == tag for e in self.open):
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
-        element = self.open.pop()
-        for outer in self.open:
-            outer["markup"].append("" if element["tag"] in _VOID else f"</{element['tag']}>")
-        name, posting = element["property"], self.found[-1]
-        if name and self.open:
-            text = " ".join("".join(element["text"]).split())
-            value = element["value"] or ("".join(element["markup"]) if name == "description" else text)
-            around = [e["property"] for e in self.open]
+        tag, name, value, text_at, markup_at = self.open.pop()
+        posting = self.found[-1]
+        if name and self.open and name not in ("address", "baseSalary"):
+            inside = lambda outer: any(e[1] == outer for e in self.open)
+            text = value or " ".join("".join(self.text[text_at:]).split())
             if name == "jobLocation":
                 posting.setdefault("jobLocation", {"address": {}})
             elif name == "hiringOrganization":
-                posting.setdefault("hiringOrganization", {}).setdefault("name", element["value"] or text)
-            elif "jobLocation" in around and name in _ADDRESS:
-                posting.setdefault("jobLocation", {"address": {}})["address"].setdefault(name, element["value"] or text)
-            elif "hiringOrganization" in around and name == "name":
-                posting.setdefault("hiringOrganization", {}).setdefault("name", element["value"] or text)
-            if name not in ("jobLocation", "hiringOrganization", "address", "baseSalary"):
-                posting.setdefault(name, value)
-        return element["tag"]
+                posting.setdefault("hiringOrganization", {}).setdefault("name", text)
+            else:
+                if name in _ADDRESS and inside("jobLocation"):
+                    posting.setdefault("jobLocation", {"address": {}})["address"].setdefault(name, text)
+                elif name == "name" and inside("hiringOrganization"):
+                    posting.setdefault("hiringOrganization", {}).setdefault("name", text)
+                posting.setdefault(name, value or ("".join(self.markup[markup_at:]) if name == "description" else text))
+        if self.open and tag not in _VOID:
+            self.markup.append(f"</{tag}>")
+        return tag
+
+    def read(self, html: str) -> list[dict]:
+        """The postings of a page. Pages of plain tags are cut by one pattern, which sees in them what the parser would; all others are parsed."""
+        at, start, data, end = 0, self.start, self.handle_data, self.handle_endtag
+        for part in _PLAIN.finditer(html):
+            if part.start() != at:
+                break
+            at = part.end()
+            text, tag, attributes, slash, closed = part.groups()
+            if text is not None:
+                data(unescape(text) if "&" in text else text)
+            elif tag is not None:
+                tag = tag.lower()
+                if tag in _NOT_PLAIN:
+                    at = -1
+                    break
+                start(tag, [(k.lower(), v[1:-1] if v else None) for k, v in _ATTRIBUTE.findall(attributes)] if attributes else [], part.group())
+                if slash and tag not in _VOID:
+                    end(tag)
+            elif closed is not None:
+                end(closed.lower())
+        if at != len(html):
+            self.__init__()
+            self.feed(html)
+            self.close()
+        return self.found
+
+
+# Text; tags with quoted attributes without references, or none; comments and document types that hold nothing special. Whatever the
+# parser has other rules for is not plain.
+_PLAIN = re.compile(
+    r"""([^<]+)|<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9:_-]*(?:=(?:"[^"&]*"|'[^'&]*'))?)*)[ \t\n\r\f]*(/?)>"""
+    r"""|</([a-zA-Z][a-zA-Z0-9]*)>|<!--[^<>-]*-->|<![dD][oO][cC][tT][yY][pP][eE] [a-zA-Z]+>"""
+)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)(?:=("[^"]*"|'[^']*'))?""")
+# what such elements hold is no markup, or not in every release of the parser
+_NOT_PLAIN = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
 
 
 def page_objects(html: str | None) -> list[str]:
     """A page's JobPosting objects as JSON: those of its JSON-LD scripts, or without any its microdata."""
     found = [p for script in _SCRIPT.findall(html or "") for p in postings_in(list(objects_in(script)))]
     if not found and "schema.org/jobposting" in (html or "").lower():
-        reader = _Microdata()
-        reader.feed(html)
-        reader.close()
-        found = [p for p in reader.found if p.get("title") or p.get("name")]
-    return [json.dumps(p, ensure_ascii=False) for p in found]
+        found = [p for p in _Microdata().read(html) if p.get("title") or p.get("name")]
+    return [_WRITTEN(p) for p in found]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
