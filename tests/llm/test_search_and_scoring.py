@@ -250,6 +250,37 @@ def test_lm_of_nothing(spark):
     assert {(r["train_tokens"], r["base_score"], round(r["score"], 9)) for r in none} == {(0, 0.0, 0.0)}
 
 
+def test_lm_moves_fewer_rows_than_there_are_tokens(spark):
+    """Pairs, tokens and their predictions travel between tasks in packed rows, not one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).select("doc_id", "text", pitmanyor.held_out().alias("held_out")).repartition(2)
+    store, context = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    moved = lambda: sum(s.shuffleWriteRecords() for s in context._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    before = moved()
+    tokens = sum(r["n_tokens"] for r in pitmanyor.score_corpus(docs).collect())
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    assert tokens > 50000 and moved() - before < tokens / 4
+
+
+@pytest.mark.parametrize("side", [1, 3])
+def test_lm_cells_hold_every_pair_and_its_count(spark, side):
+    docs = lm_rows(spark).select("doc_id", "text", "held_out").repartition(4)
+    blocks = pitmanyor.block_rows(docs, side, 2).where("what like 'pairs-%'")
+    model_cells = pitmanyor.cells(blocks).collect()
+    got = Counter()
+    for r in model_cells:
+        us, ws, runs, iw, n = (pitmanyor.unpacked(pa.scalar(bytes(r[k]), pa.binary())) for k in ("us", "ws", "runs", "iw", "n"))
+        for u, w, k in zip(np.repeat(us, runs).tolist(), ws[iw].tolist(), n.tolist()):
+            assert (u, w) not in got
+            got[u, w] = k
+    want = Counter()
+    for r in lm_rows(spark).collect():
+        before, token, _ = pitmanyor.word_pairs(pa.array([r["text"] or ""], pa.large_string()))
+        for u, w in zip(before.tolist(), token.tolist()):
+            want[u, w] += not r["held_out"]
+    assert dict(got) == dict(want)
+
+
 def test_lm_beats_word_shares_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", pitmanyor.held_out().alias("held_out"))
     by = {r["held_out"]: r for r in pitmanyor.perplexity(pitmanyor.score_corpus(docs, slices=2)).collect()}

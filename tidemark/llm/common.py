@@ -66,6 +66,21 @@ class Stored:
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_split(self, df: DataFrame, name: str, column: str, values: list[str]) -> dict[str, DataFrame]:
+        """``df`` stored with a folder for each value of a column: a table for each of ``values``, which can be dropped as NAME-VALUE."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        with settings(self.spark, **FREED_SHUFFLES):
+            df.write.partitionBy(column).parquet(path)
+        context, rest, found = self.spark.sparkContext, df.drop(column).schema, {}
+        for value in values:
+            folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+            if folder.getFileSystem(context._jsc.hadoopConfiguration()).exists(folder):
+                self.paths.setdefault(f"{name}-{value}", []).append(f"{path}/{column}={value}")
+                found[value] = self.spark.read.schema(rest).parquet(f"{path}/{column}={value}")
+            else:
+                found[value] = self.spark.createDataFrame([], rest)
+        return found
+
     def drop(self, *names: str) -> None:
         """Delete the tables of these names."""
         context = self.spark.sparkContext
